@@ -102,9 +102,9 @@ def positions(
     slices: int = SLICES,
 ) -> DataFrame:
     """0-based position of each row in its group's order, and optionally the group's size."""
-    out = running(df, by, order, {"__p": F.lit(1).cast("bigint")}, slices, totals=size is not None)
-    out = out.withColumn(pos, F.col("__p") - 1).drop("__p")
-    return out.withColumnRenamed("__p_total", size) if size is not None else out
+    out = running(df, by, order, {"__rank1": F.lit(1).cast("bigint")}, slices, totals=size is not None)
+    out = out.withColumn(pos, F.col("__rank1") - 1).drop("__rank1")
+    return out.withColumnRenamed("__rank1_total", size) if size is not None else out
 
 
 def neighbour(

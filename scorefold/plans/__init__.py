@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["panel", "facts"]
+MODULES = ["panel", "facts", "cohort", "text", "audit"]
 
 
 def load_all() -> None:

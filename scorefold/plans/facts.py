@@ -197,14 +197,14 @@ def _(spark, sf):
     return T.rotated_systematic(cands(spark, sf), "cause", ["state", "year"]).select("state", "year", "cause", "n")
 
 
-@query("best_constant", f"""WITH {R}, it AS (SELECT cause AS family, record_id, round(size / 1000.0::DOUBLE, 1) AS answer FROM records WHERE year = 1998),
+@query("best_constant", f"""WITH {R}, it AS (SELECT cause || '/' || year AS family, record_id, round(size / 1000.0::DOUBLE, 1) AS answer FROM records),
 iv AS (SELECT *, answer - greatest(0.005 * answer, 1.0::DOUBLE) AS lo, answer + greatest(0.005 * answer, 1.0::DOUBLE) AS hi FROM it),
 cand AS (SELECT DISTINCT family, v FROM (SELECT family, answer AS v FROM iv UNION ALL SELECT family, lo FROM iv UNION ALL SELECT family, hi FROM iv)),
 s AS (SELECT cand.family, v, count(*) AS inside FROM cand JOIN iv ON cand.family = iv.family AND v BETWEEN lo AND hi GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY inside DESC, v) AS rk FROM s)
 SELECT b.family, round(v, 6) AS best_constant, n, round(inside / n::DOUBLE, 6) AS accuracy FROM b JOIN (SELECT family, count(*) AS n FROM it GROUP BY family) c ON b.family = c.family WHERE rk = 1""")
 def _(spark, sf):
-    it = V.records(spark, sf).where("year = 1998").select(F.col("cause").alias("family"), F.round(F.col("size") / 1000.0, 1).alias("answer"))
+    it = V.records(spark, sf).select(F.concat_ws("/", "cause", F.col("year").cast("string")).alias("family"), F.round(F.col("size") / 1000.0, 1).alias("answer"))
     half = F.greatest(0.005 * F.col("answer"), F.lit(1.0))
     it = it.withColumn("lo", F.col("answer") - half).withColumn("hi", F.col("answer") + half)
     out = T.best_constant(it, "family", "lo", "hi", "answer")
