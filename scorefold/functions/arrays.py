@@ -56,7 +56,8 @@ def lin_features(today: str = "today", prev: str = "prev", acres: str = "acres",
     """Seventeen-column design: logs, clipped change, missing indicators and one-hot containment bands."""
     from scorefold.functions.columns import PCT_EDGES, band
 
-    rc = F.coalesce(F.greatest(F.lit(-RC_CLIP), F.least(F.lit(RC_CLIP), F.log(F.greatest(c(today), F.lit(1.0)) / F.greatest(c(prev), F.lit(1.0))))), F.lit(0.0))
+    change = F.log(F.greatest(c(today), F.lit(1.0)) / F.greatest(c(prev), F.lit(1.0)))  # greatest skips nulls: guard prev
+    rc = F.when(c(prev).isNotNull(), F.greatest(F.lit(-RC_CLIP), F.least(F.lit(RC_CLIP), change))).otherwise(0.0)
     log1 = lambda x: F.when(c(x) >= 0, F.log1p(c(x))).otherwise(0.0)
     miss = lambda x: c(x).isNull().cast("double")
     out = {

@@ -123,7 +123,8 @@ def parse_choice(raw: Column | str, options: Column | str) -> Column:
     body = nonempty(F.regexp_extract(t, r"(?s)(\{.*\})", 1))
     answer = F.coalesce(F.get_json_object(body, "$.answer"), nonempty(F.regexp_extract(t, r'"answer"\s*:\s*"([^"]*)"', 1)))
     score = F.coalesce(F.get_json_object(body, "$.applicability_score"), nonempty(F.regexp_extract(t, r'"applicability_score"\s*:\s*([0-9.]+)', 1)))
-    score = F.least(F.greatest(score.try_cast("double"), F.lit(0.0)), F.lit(1.0))
+    value = score.try_cast("double")
+    score = F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
     n = lambda x: norm_text(x, CHOICE_KEEP, upper=False)
     na, low = n(answer), n(t)
     exact = F.filter(opts, lambda o: n(o) == na)

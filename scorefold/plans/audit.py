@@ -245,9 +245,9 @@ def _(spark, sf):
     return o.groupBy(k.alias("block")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sig_round", "SELECT l_orderkey, l_linenumber, CAST(printf('%.3e', l_extendedprice) AS DOUBLE) AS v FROM lineitem")
+@query("sig_round", "SELECT l_orderkey, l_linenumber, CAST(printf('%.3e', l_extendedprice / 7.3::DOUBLE) AS DOUBLE) AS v FROM lineitem")
 def _(spark, sf):
-    return V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", C.sig_round("l_extendedprice", 4).alias("v"))
+    return V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", C.sig_round(F.col("l_extendedprice") / 7.3, 4).alias("v"))
 
 
 HEX = "0123456789abcdef"
@@ -294,7 +294,7 @@ def _(spark, sf):
 
 FEATS = ["f_pers", "f_acres", "f_pct", "f_day", "f_change", "f_new", "f_aerial"]
 FEAT_SQL = """CASE WHEN prev IS NOT NULL THEN ln(greatest(today, 1) / greatest(prev, 1)) END AS f_change, ln(greatest(today, 1)) AS f_pers, CASE WHEN acres IS NOT NULL THEN ln(1 + greatest(acres, 0)) END AS f_acres,
- least(greatest(pct, 0), 100) AS f_pct, ln(greatest(day_of_run, 1)) AS f_day, CASE WHEN new_acres IS NOT NULL THEN ln(1 + greatest(new_acres, 0)) END AS f_new, CASE WHEN aerial IS NOT NULL THEN ln(1 + greatest(aerial, 0)) END AS f_aerial"""
+ CASE WHEN pct IS NOT NULL THEN least(greatest(pct, 0), 100) END AS f_pct, ln(greatest(day_of_run, 1)) AS f_day, CASE WHEN new_acres IS NOT NULL THEN ln(1 + greatest(new_acres, 0)) END AS f_new, CASE WHEN aerial IS NOT NULL THEN ln(1 + greatest(aerial, 0)) END AS f_aerial"""
 
 
 @query("report_features", f"WITH {V.PAIRS}, f AS (SELECT analogue_id, {FEAT_SQL} FROM pairs) SELECT analogue_id, " + ", ".join(f"round({f}, 6) AS {f}" for f in FEATS) + " FROM f")
@@ -305,7 +305,7 @@ def _(spark, sf):
     return p.select("analogue_id", *[F.round(c, 6).alias(n) for n, c in AR.report_features().items()])
 
 
-@query("lin_features", f"""WITH {V.PAIRS}, f AS (SELECT *, coalesce(greatest(-1.5, least(1.5, ln(greatest(today, 1) / greatest(prev, 1)))), 0) AS rc FROM pairs)
+@query("lin_features", f"""WITH {V.PAIRS}, f AS (SELECT *, CASE WHEN prev IS NULL THEN 0 ELSE greatest(-1.5, least(1.5, ln(greatest(today, 1) / greatest(prev, 1)))) END AS rc FROM pairs)
 SELECT analogue_id, round(rc, 6) AS recent_change, CASE WHEN rc = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS flat_yesterday, round(CASE WHEN acres >= 0 THEN ln(1 + acres) ELSE 0 END, 6) AS log1p_acres, CASE WHEN acres IS NULL THEN 1.0::DOUBLE ELSE 0.0 END AS acres_missing,
 CASE WHEN pct < 10 THEN 1.0::DOUBLE ELSE 0.0 END AS pct_band_0, CASE WHEN pct >= 90 THEN 1.0::DOUBLE ELSE 0.0 END AS pct_band_4, CASE WHEN pct IS NULL THEN 1.0::DOUBLE ELSE 0.0 END AS pct_missing FROM f""")
 def _(spark, sf):
@@ -316,7 +316,7 @@ def _(spark, sf):
     return pairs(spark, sf).select("analogue_id", *[F.round(f[n], 6).alias(n) for n in want])
 
 
-CLS = """cls AS (SELECT *, today / greatest(prev, 1) AS r FROM pairs),
+CLS = """cls AS (SELECT *, CASE WHEN prev IS NOT NULL THEN today / greatest(prev, 1) END AS r FROM pairs),
 cl AS (SELECT *, CASE WHEN r IS NULL THEN 'u' WHEN r < 1 - 0.1::DOUBLE THEN 'f' WHEN r > 1 + 0.1::DOUBLE THEN 'r' ELSE 'h' END AS p3, CASE WHEN r IS NULL THEN 'u' WHEN r < 0.75 THEN 'F' WHEN r < 1 - 0.1::DOUBLE THEN 'f' WHEN r > 1.25 THEN 'R' WHEN r > 1 + 0.1::DOUBLE THEN 'r' ELSE 'h' END AS p5,
  CASE WHEN acres IS NOT NULL AND acres_prev IS NOT NULL THEN CASE WHEN acres > acres_prev THEN 'y' ELSE 'n' END WHEN new_acres IS NOT NULL THEN CASE WHEN new_acres > 0 THEN 'y' ELSE 'n' END ELSE 'u' END AS a FROM cls),
 cx AS (SELECT *, CASE WHEN r IS NULL THEN 'u' WHEN today = prev THEN CASE WHEN prev2 = today THEN 'ee' ELSE 'e' END WHEN p3 = 'h' THEN 's' ELSE p3 END AS p5s FROM cl)"""

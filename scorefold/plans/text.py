@@ -153,7 +153,7 @@ ch1 AS (SELECT *, regexp_extract(raw, '"answer"\\s*:\\s*"([^"]*)"', 1) AS a0, co
 ch2 AS (SELECT *, {nz('a0')} AS na, {nz('raw')} AS low FROM ch1),
 ch3 AS (SELECT *, coalesce({', '.join(f"CASE WHEN na = '{o}' THEN '{o}' END" for o in CHOICES)}, {', '.join(f"CASE WHEN contains(na, '{o}') THEN '{o}' END" for o in BY_LEN)}) AS by_answer,
  list_filter([{', '.join(f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){o}($|[^a-z0-9])') THEN '{o}' END" for o in CHOICES)}], lambda x: x IS NOT NULL) AS named FROM ch2),
-ch AS (SELECT doc_id, CASE WHEN has THEN by_answer WHEN len(named) = 1 THEN named[1] END AS choice, least(greatest(s0, 0.0), 1.0) AS score, raw, has FROM ch3)"""
+ch AS (SELECT doc_id, CASE WHEN has THEN by_answer WHEN len(named) = 1 THEN named[1] END AS choice, CASE WHEN s0 IS NOT NULL THEN least(greatest(s0, 0.0), 1.0) END AS score, raw, has FROM ch3)"""
 
 
 @query("parse_choice", f"WITH {CHOICE_SQL} SELECT doc_id, coalesce(choice, '') AS choice, score::DOUBLE AS score, CASE WHEN raw = '' THEN 'empty' WHEN choice IS NULL THEN CASE WHEN has THEN 'no_option' ELSE 'no_json' END ELSE '' END AS failure FROM ch")
