@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorefold.operators.ordered import carried
+from scorefold.operators.ordered import neighbours_both
 
 
 def reference_row(frames: DataFrame, seq: str, offset: str, ident: str, payload: Sequence[str]) -> DataFrame:
@@ -35,8 +35,7 @@ def asof_matched_gap(targets: DataFrame, frames: DataFrame, seq: str, offset: st
     f = frames.where(F.col(offset) <= latest).select(seq, F.col(offset).alias("at"), F.lit(0).alias("side"), F.col(ident).alias("id"), F.struct(F.col(offset).alias("o"), F.col(ident).alias("i")).alias("ref"))
     t = targets.select(seq, (F.col(offset) - gap).alias("at"), F.lit(1).alias("side"), F.col(ident).alias("id"), F.col(offset).alias("target_offset"))
     both = f.unionByName(t, allowMissingColumns=True)
-    back = carried(both, [seq], ["at", "side", "id"], F.col("ref"), "prev_ref")
-    both_ways = carried(back, [seq], ["at", "side", "id"], F.col("ref"), "next_ref", backward=True)
+    both_ways = neighbours_both(both, [seq], ["at", "side", "id"], F.col("ref"), "prev_ref", "next_ref")
     d0, d1 = F.col("at") - F.col("prev_ref.o"), F.col("next_ref.o") - F.col("at")
     pick = F.when(d1.isNull() | (d0 <= d1), F.col("prev_ref")).otherwise(F.col("next_ref"))
     out = both_ways.where(F.col("side") == 1).withColumn("__p", pick)

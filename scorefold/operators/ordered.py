@@ -152,6 +152,27 @@ def carried(
     return res.withColumn(out, F.coalesce("__near", "__far")).drop(_O, _K, "__near", "__far", "__cv")
 
 
+def neighbours_both(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], value: Column, before: str, after: str, slices: int = SLICES) -> DataFrame:
+    """Last non-null ``value`` at or before, and first at or after, each row - one slicing for both directions."""
+    by = list(by)
+    cut = sliced(df.withColumn("__cv", value), by, order, slices)
+    present = F.when(F.col("__cv").isNotNull(), F.col(_O))
+    edges = cut.groupBy(*by, _K).agg(F.max_by("__cv", present).alias("__e0"), F.min_by("__cv", present).alias("__e1"))
+    over = _grouped(by).orderBy(_K)
+    edges = edges.select(
+        *by, _K,
+        F.last("__e0", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1)).alias("__f0"),
+        F.first("__e1", ignorenulls=True).over(over.rowsBetween(1, W.unboundedFollowing)).alias("__f1"),
+    )
+    inside = W.partitionBy(*by, _K).orderBy(_O)
+    res = cut.withColumns({
+        "__n0": F.last("__cv", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)),
+        "__n1": F.first("__cv", ignorenulls=True).over(inside.rowsBetween(0, W.unboundedFollowing)),
+    }).join(edges, by + [_K])
+    res = res.withColumns({before: F.coalesce("__n0", "__f0"), after: F.coalesce("__n1", "__f1")})
+    return res.drop(_O, _K, "__cv", "__n0", "__n1", "__f0", "__f1")
+
+
 def asof_sum(
     probe: DataFrame, hist: DataFrame, by: Sequence[str], probe_at: str, hist_at: str, value: str, out: str, probe_id: Sequence[str],
     slices: int = SLICES,

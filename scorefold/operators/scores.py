@@ -216,16 +216,21 @@ def cumulative_confusion(df: DataFrame, by: Sequence[str], score: str = "score",
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, out: str = "rho", slices: int = SLICES) -> DataFrame:
     """Rank correlation with averaged ties. Equal (x, y) rows are merged first, so the rank joins see distinct pairs."""
-    by = list(by)
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__c"))
+    return weighted_spearman(cells, by, x, y, "__c", out, slices)
+
+
+def weighted_spearman(cells: DataFrame, by: Sequence[str], x: str, y: str, weight: str, out: str = "rho", slices: int = SLICES) -> DataFrame:
+    """Rank correlation over distinct (x, y) cells with whole-number weights."""
+    by = list(by)
 
     def ranks(col: str, name: str) -> DataFrame:
-        h = cells.groupBy(*by, col).agg(F.sum("__c").alias("__n"))
+        h = cells.groupBy(*by, col).agg(F.sum(weight).alias("__n"))
         r = running(h, by, [col], {"__cum": F.col("__n")}, slices)
         return r.select(*by, col, (F.col("__cum") - (F.col("__n") - 1) / 2.0).alias(name))
 
     j = cells.join(ranks(x, "__rx"), by + [x]).join(ranks(y, "__ry"), by + [y])
-    w, a, b = F.col("__c"), F.col("__rx"), F.col("__ry")
+    w, a, b = F.col(weight), F.col("__rx"), F.col("__ry")
     m = j.groupBy(*by).agg(
         F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * a).alias("saa"),
         F.sum(w * b * b).alias("sbb"), F.sum(w * a * b).alias("sab"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["panel", "facts", "cohort", "text", "audit", "scores", "retrieve"]
+MODULES = ["panel", "facts", "cohort", "text", "audit", "scores", "retrieve", "calibration", "resample"]
 
 
 def load_all() -> None:

@@ -245,9 +245,9 @@ def _(spark, sf):
     return o.groupBy(k.alias("block")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sig_round", "SELECT l_orderkey, l_linenumber, CAST(printf('%.3e', l_extendedprice / 7.3::DOUBLE) AS DOUBLE) AS v FROM lineitem")
+@query("sig_round", "SELECT l_orderkey, l_linenumber, CAST(printf('%.3e', sqrt(l_extendedprice)) AS DOUBLE) AS v FROM lineitem")
 def _(spark, sf):
-    return V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", C.sig_round(F.col("l_extendedprice") / 7.3, 4).alias("v"))
+    return V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", C.sig_round(F.sqrt("l_extendedprice"), 4).alias("v"))
 
 
 HEX = "0123456789abcdef"
