@@ -162,8 +162,18 @@ def round_half_even(x: Column | str, digits: int = 0) -> Column:
 
 
 def shown(x: Column | str, digits: int = 2) -> Column:
-    """The value a reader sees in a fixed-decimal display."""
-    return F.format_string(f"%.{digits}f", c(x)).cast("double")
+    """The value a reader sees in a fixed-decimal display: half-even on the exact binary value, as C and Python print it.
+
+    The JVM's formatter rounds the shortest decimal text instead (1.005 shows as 1.01). Here the value splits into a
+    single-precision part and the rest, whose products with the scale are both exact, so the comparison with one half is too.
+    """
+    v, scale = c(x), 10.0**digits
+    high = v.cast("float").cast("double")
+    a, b = high * scale, (v - high) * scale
+    base = F.floor(a + b).cast("double")
+    over, under = a - base - 0.5, 0 - b
+    k = F.when(over > under, base + 1).when(over < under, base).otherwise(F.when(F.pmod(base, F.lit(2.0)) == 0, base).otherwise(base + 1))
+    return k / scale
 
 
 def all_of(conds: Sequence[Column]) -> Column:

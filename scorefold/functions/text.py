@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scorefold.functions.columns import c
+from scorefold.functions.columns import c, shown
 
 # Answer line, numbers with thousands commas, characters trimmed around a stated answer.
 ANSWER_LINE = r"(?im)^\s*ANSWER\s*:\s*(.+)$"
@@ -252,7 +252,7 @@ def render_lines(pairs: Sequence[tuple[str, Column]], title: Column, question: C
 def grounding_lines(draws: Column | str) -> Column:
     """Text block of displayed analogues (array of structs today, next): one line each with the two-decimal ratio."""
     d = c(draws)
-    line = lambda r: F.format_string("- %.0f -> %.0f (ratio %.2f)", r["today"], r["next"], r["next"] / F.greatest(r["today"], F.lit(1.0)))
+    line = lambda r: F.format_string("- %.0f -> %.0f (ratio %.2f)", shown(r["today"], 0), shown(r["next"], 0), shown(r["next"] / F.greatest(r["today"], F.lit(1.0))))
     return F.when(F.size(d) > 0, F.array_join(F.transform(d, line), "\n")).otherwise(F.lit("none matched"))
 
 

@@ -83,7 +83,7 @@ def join_climatology(items: DataFrame, clim: DataFrame, month: Column) -> DataFr
 def arm_freshness(files: DataFrame, key: Sequence[str], arm: str, modified: str, a: str, b: str, limit_minutes: float, overrides: DataFrame | None = None) -> DataFrame:
     """Minutes between the two files of an arm pair; stale beyond the limit unless the pair is listed as accepted."""
     g = files.groupBy(*key).agg(F.max(F.when(F.col(arm) == a, F.col(modified))).alias("ta"), F.max(F.when(F.col(arm) == b, F.col(modified))).alias("tb"))
-    minutes = F.abs(F.unix_micros("ta") - F.unix_micros("tb")) / 60e6
+    minutes = F.abs(F.unix_micros(F.col("ta").cast("timestamp")) - F.unix_micros(F.col("tb").cast("timestamp"))) / 60e6
     out = g.select(*key, minutes.alias("minutes"), (minutes > limit_minutes).cast("int").alias("stale"))
     if overrides is not None:
         ok = overrides.select(*key).distinct().withColumn("__ok", F.lit(1))

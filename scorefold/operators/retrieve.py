@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scorefold.functions.arrays import report_features
-from scorefold.functions.columns import hash_int
+from scorefold.functions.columns import hash_int, shown
 from scorefold.operators.ordered import asof_sum, percentiles, positions, top_rows
 from scorefold.session import checkpointed
 
@@ -282,9 +282,8 @@ def analogue_prediction(items: DataFrame, draws: DataFrame) -> DataFrame:
     x = outcome_ratio()
     g = draws.groupBy("item_id").agg(F.count(F.lit(1)).alias("drawn"), F.median(x).alias("median_ratio"), F.avg((F.abs(x - 1) > MOVE).cast("double")).alias("share_moved"))
     j = items.join(g, "item_id", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).withColumn("median_ratio", F.coalesce("median_ratio", F.lit(1.0)))
-    shown = F.format_string("%.2f", F.col("median_ratio")).cast("double")
     return j.withColumns({
-        "prediction": F.col("persistence") * F.col("median_ratio"), "prediction_displayed": F.bround(F.col("persistence") * shown, 0),
+        "prediction": F.col("persistence") * F.col("median_ratio"), "prediction_displayed": F.bround(F.col("persistence") * shown("median_ratio"), 0),
         "prediction_half_up": F.floor(F.col("persistence") * F.col("median_ratio") + 0.5).cast("double"),
     })
 

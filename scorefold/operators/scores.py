@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scorefold.functions.columns import MOVED, moved
+from scorefold.functions.columns import MOVED, moved, shown
 from scorefold.operators.ordered import SLICES, average_ranks, percentiles, positions, running, top_rows, value_counts
 
 
@@ -407,7 +407,7 @@ def copy_agreement(log: DataFrame, by: Sequence[str], ratios: str = "ratios") ->
     med = F.when(
         F.size(ratios) % 2 == 1, F.get(F.array_sort(ratios), (F.size(ratios) / 2).cast("int"))
     ).otherwise((F.get(F.array_sort(ratios), (F.size(ratios) / 2).cast("int")) + F.get(F.array_sort(ratios), (F.size(ratios) / 2).cast("int") - 1)) / 2.0)
-    rows = log.where(F.col("prediction").isNotNull() & (F.size(ratios) > 0)).withColumn("__shown", F.format_string("%.2f", med).cast("double"))
+    rows = log.where(F.col("prediction").isNotNull() & (F.size(ratios) > 0)).withColumn("__shown", shown(med))
     rows = rows.withColumn("__rule", F.bround(F.col("persistence") * F.col("__shown"), 0))
     rows = rows.withColumn("__dev", F.abs(F.col("prediction") - F.col("__rule")))
     agg = rows.groupBy(*by).agg(

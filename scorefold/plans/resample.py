@@ -176,9 +176,9 @@ def _(spark, sf):
     return S.rounded(R.bootstrap_iid_spearman(paired(spark, sf), M, "item_id", "a_score", "b_score", 50, SEED))
 
 
-@query("bootstrap_median_difference", f"""WITH {V.PAIRED}, it AS (SELECT stratum, label AS g, item_id, n_chars::DOUBLE AS v FROM items), {draws_sql('it', ['stratum', 'g'], 'item_id', SEED, 50)},
-x AS (SELECT w.stratum, w.rep, w.g, it.v, unnest(range(w.w)) AS k FROM it JOIN w ON it.stratum = w.stratum AND it.g = w.g AND it.item_id = w.item_id), m AS (SELECT stratum, rep, g, median(v) AS m FROM x GROUP BY ALL),
-d AS (SELECT stratum, rep, max(m) FILTER (g = 1) - max(m) FILTER (g = 0) AS v FROM m GROUP BY ALL) SELECT stratum, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi, count(*) - count(v) AS dropped FROM d GROUP BY stratum""")
+@query("bootstrap_median_difference", f"""WITH {V.PAIRED}, it AS (SELECT stratum, label AS grp, item_id, n_chars::DOUBLE AS v FROM items), {draws_sql('it', ['stratum', 'grp'], 'item_id', SEED, 50)},
+x AS (SELECT w.stratum, w.rep, w.grp, it.v, unnest(range(w.w)) AS k FROM it JOIN w ON it.stratum = w.stratum AND it.grp = w.grp AND it.item_id = w.item_id), m AS (SELECT stratum, rep, grp, median(v) AS m FROM x GROUP BY ALL),
+d AS (SELECT stratum, rep, max(m) FILTER (grp = 1) - max(m) FILTER (grp = 0) AS v FROM m GROUP BY ALL) SELECT stratum, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi, count(*) - count(v) AS dropped FROM d GROUP BY stratum""")
 def _(spark, sf):
     it = V.paired_items(spark, sf).withColumn("v", F.col("n_chars").cast("double"))
     return S.rounded(R.bootstrap_median_difference(it, ["stratum"], "item_id", "v", F.col("label"), 50, SEED))

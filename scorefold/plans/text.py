@@ -293,8 +293,7 @@ def _(spark, sf):
 
 
 def prompt_cols(layout):
-    fmt = lambda c: F.format_string("%.1f", F.col(c)) if True else None
-    show = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.1f", F.col(c)))
+    show = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.1f", C.shown(c, 1)))
     pairs = [("people today", show("persistence")), ("area", show("acres")), ("contained percent", show("pct")), ("run day", F.col("day_of_run"))]
     return X.render_lines(pairs, F.concat(F.lit("Report of "), F.col("report_date").cast("string")), F.concat(F.lit("How many people on "), F.col("target_date").cast("string"), F.lit("?")), layout)
 
