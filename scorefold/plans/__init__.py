@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["panel", "facts", "cohort", "text", "audit", "scores", "retrieve", "calibration", "resample", "frames", "trained"]
+MODULES = ["panel", "facts", "cohort", "text", "audit", "scores", "retrieve", "calibration", "resample", "frames", "trained", "sources"]
 
 
 def load_all() -> None:

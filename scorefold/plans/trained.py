@@ -12,7 +12,7 @@ from scorefold.plans.retrieve import SEED, items, pool, training
 from scorefold.session import checkpointed
 from scorefold.sources import standins as V
 
-FEATS = list(AR.report_features())
+FEATS = list(R.FEATURES)
 
 
 def rows(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,8 +32,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``. Only where no folder is set at all (tests) is a temporary one made.
     """
     spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        _set_checkpoint_dir(spark)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's shared checkpoint folder, for tables that are written and read back."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="scorefold-checkpoint-"))
-    return df.checkpoint()
+        _set_checkpoint_dir(spark)
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def _set_checkpoint_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="scorefold-checkpoint-"))
