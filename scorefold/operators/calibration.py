@@ -66,7 +66,8 @@ def odds_shift(p: Column, delta: Column) -> Column:
     return F.when((p > 0) & (p < 1), 1.0 / (1.0 + F.exp(0 - (F.log(p / (1 - p)) + delta)))).otherwise(p)
 
 
-def _solve(hist: DataFrame, by: Sequence[str], excess: Callable[[Column, Column], Column], lo: float, hi: float, grid: int = 32, passes: int = 9) -> DataFrame:
+def _solve(hist: DataFrame, by: Sequence[str], excess: Callable[[Column, Column], Column], lo: float, hi: float, grid: int = 32, passes: int = 9,
+           slack: float = 0.0) -> DataFrame:
     """Per group the root of an increasing function: the weighted sum over (p, n) of ``excess(p, d)``.
 
     Each pass evaluates a grid of shifts in one aggregate over the distinct forecasts and narrows the bracket by the grid
@@ -77,7 +78,7 @@ def _solve(hist: DataFrame, by: Sequence[str], excess: Callable[[Column, Column]
         step = (F.col("hi") - F.col("lo")) / grid
         pts = bracket.select(*by, step.alias("step"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(grid)), lambda i: F.col("lo") + i * step)).alias("d"))
         val = hist.join(pts, list(by)).groupBy(*by, "d", "step").agg(F.sum(F.col("n") * excess(F.col("p"), F.col("d"))).alias("v"))
-        below = val.groupBy(*by).agg(F.max(F.when(F.col("v") <= 0, F.col("d"))).alias("__lo"), F.min("d").alias("__first"), F.max("step").alias("step"))
+        below = val.groupBy(*by).agg(F.max(F.when(F.col("v") <= 0.0 - slack, F.col("d"))).alias("__lo"), F.min("d").alias("__first"), F.max("step").alias("step"))
         bracket = checkpointed(below.select(*by, F.coalesce("__lo", "__first").alias("lo"), (F.coalesce("__lo", "__first") + F.col("step")).alias("hi")))
     return bracket.select(*by, ((F.col("lo") + F.col("hi")) / 2).alias("delta"))
 
@@ -99,7 +100,8 @@ def prior_em(df: DataFrame, by: Sequence[str], p: str, source_prior: float) -> D
     """
     src = float(np.log(source_prior / (1 - source_prior)))
     prior = lambda d: 1.0 / (1.0 + F.exp(0 - (d + src)))
-    root = _solve(forecast_counts(df, by, p), by, lambda q, d: prior(d) - odds_shift(q, d), -40.0, 40.0)
+    # both sides saturate far out, where their difference is rounding noise: the slack keeps the search off that end
+    root = _solve(forecast_counts(df, by, p), by, lambda q, d: prior(d) - odds_shift(q, d), -40.0, 40.0, slack=1e-12)
     return root.select(*by, "delta", prior(F.col("delta")).alias("prior"))
 
 
