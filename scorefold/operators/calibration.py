@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorefold.functions.columns import hash_int
-from scorefold.operators.ordered import SLICES, neighbour, neighbours_both, positions, running, sliced
+from scorefold.operators.ordered import MAX_SLICES, SLICES, neighbour, neighbours_both, positions, running, sliced
 from scorefold.operators.scores import average_precision, count_if
 from scorefold.session import checkpointed
 
@@ -116,6 +116,9 @@ def group_folds(df: DataFrame, cluster: str, k: int, seed: int, fold: str = "fol
     return df.join(c.select(cluster, f.cast("int").alias(fold)), cluster)
 
 
+SLICE_VALUES = 100_000  # distinct values a pandas task pools at once
+
+
 def _pool_adjacent(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pool adjacent violators of blocks (x_lo, x_hi, n, s) sorted by x: merge while a mean exceeds the next one."""
     lo, hi, n, s = [], [], [], []
@@ -127,7 +130,7 @@ def _pool_adjacent(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"x_lo": lo, "x_hi": hi, "n": n, "s": s})
 
 
-def isotonic_blocks(df: DataFrame, by: Sequence[str], x: str, y: str, weight: Column | None = None, slices: int = SLICES) -> DataFrame:
+def isotonic_blocks(df: DataFrame, by: Sequence[str], x: str, y: str, weight: Column | None = None, slices: int | None = SLICES) -> DataFrame:
     """Blocks (x_lo, x_hi, value, n) of the weighted isotonic fit per group.
 
     Distinct x are counted first, slices of a group are pooled on their own, and only the surviving blocks of the slices meet:
@@ -137,6 +140,8 @@ def isotonic_blocks(df: DataFrame, by: Sequence[str], x: str, y: str, weight: Co
     w = F.lit(1.0) if weight is None else weight.cast("double")
     hist = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("x_lo")).agg(F.sum(w).alias("n"), F.sum(w * F.col(y).cast("double")).alias("s"))
     hist = checkpointed(hist.where(F.col("n") > 0))
+    if slices is None:
+        slices = min(MAX_SLICES, max(2, hist.count() // SLICE_VALUES))
     cut = sliced(hist, by, ["x_lo"], slices).select(*by, F.col("__slice").alias("part"), "x_lo", F.col("x_lo").alias("x_hi"), "n", "s")
     keys = {c: t for c, t in cut.dtypes if c in by}
     schema = ", ".join([*[f"{c} {t}" for c, t in keys.items()], "x_lo double, x_hi double, n double, s double"])
@@ -159,7 +164,7 @@ def isotonic_predict(blocks: DataFrame, probes: DataFrame, by: Sequence[str], x:
     t = blocks.select(*by, F.explode(ends).alias("t")).select(*by, F.col("t.x").alias("__x"), F.lit(0).alias("__side"), F.col("t").alias("__t"))
     p = probes.select(*by, F.col(x).cast("double").alias("__x")).distinct().withColumn("__side", F.lit(1))
     both = t.unionByName(p, allowMissingColumns=True)
-    b = neighbours_both(both, by, ["__x", "__side"], F.col("__t"), "__a", "__b").where(F.col("__side") == 1)
+    b = neighbours_both(checkpointed(both), by, ["__x", "__side"], F.col("__t"), "__a", "__b").where(F.col("__side") == 1)
     x0, x1, v0, v1 = F.col("__a.x"), F.col("__b.x"), F.col("__a.v"), F.col("__b.v")
     v = F.when(x0.isNull(), v1).when(x1.isNull() | (x0 == F.col("__x")) | (x1 == x0), v0).otherwise(v0 + (v1 - v0) * (F.col("__x") - x0) / (x1 - x0))
     return b.select(*by, F.col("__x").alias(x), v.alias(out))
@@ -208,7 +213,7 @@ def chance_band(df: DataFrame, by: Sequence[str], ident: str, p: str, observed:
 def _cut_table(df: DataFrame, by: Sequence[str], score: str, y: str) -> DataFrame:
     """Every cut per group: index, cut value (-inf, midpoints, +inf) and rows classified right by ``score >= cut``."""
     hist = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.sum((F.col(y) == 1).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    r = running(hist, by, ["s"], {"cp": F.col("pos"), "cn": F.col("n"), "idx": F.lit(1).cast("bigint")}, totals=True)
+    r = running(checkpointed(hist), by, ["s"], {"cp": F.col("pos"), "cn": F.col("n"), "idx": F.lit(1).cast("bigint")}, totals=True)
     r = neighbour(r, by, ["s"], {"nxt": F.col("s")}, ahead=True)
     after = r.select(*by, F.col("idx"), F.when(F.col("nxt").isNull(), float("inf")).otherwise((F.col("s") + F.col("nxt")) / 2).alias("cut"),
                      ((F.col("cp_total") - F.col("cp")) + (F.col("cn") - F.col("cp"))).alias("right"), F.col("cn_total").alias("rows"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scorefold.operators.ordered import positions, running, top_rows
+from scorefold.session import checkpointed
 
 # Season windows (name, first month, first day, last month, last day).
 SEASONS = (("spring", 3, 1, 5, 31), ("summer", 6, 1, 8, 31), ("autumn", 9, 1, 11, 30))
@@ -219,7 +220,7 @@ def best_constant(items: DataFrame, family: str, lo: str, hi: str, answer: str)
     opens, closes = ev(lo, 0, 1), ev(hi, 2, -1)
     cands = ev(answer, 1, 0).unionByName(ev(lo, 1, 0)).unionByName(ev(hi, 1, 0))
     e = opens.unionByName(cands).unionByName(closes).groupBy(family, "v", "kind").agg(F.sum("w").alias("w"))
-    s = running(e, [family], ["v", "kind"], {"inside": F.col("w")}).where(F.col("kind") == 1)
+    s = running(checkpointed(e), [family], ["v", "kind"], {"inside": F.col("w")}).where(F.col("kind") == 1)
     best = s.groupBy(family).agg(F.max_by("v", F.struct(F.col("inside"), 0 - F.col("v"))).alias("best_constant"), F.max("inside").alias("accepted"))
     n = items.groupBy(family).agg(F.count(F.lit(1)).alias("n"))
     return best.join(n, family).select(family, "best_constant", "n", (F.col("accepted") / F.col("n")).alias("accuracy"))

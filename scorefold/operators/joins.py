@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorefold.operators.ordered import neighbours_both
+from scorefold.session import checkpointed
 
 
 def reference_row(frames: DataFrame, seq: str, offset: str, ident: str, payload: Sequence[str]) -> DataFrame:
@@ -35,7 +36,7 @@ def asof_matched_gap(targets: DataFrame, frames: DataFrame, seq: str, offset: st
     f = frames.where(F.col(offset) <= latest).select(seq, F.col(offset).alias("at"), F.lit(0).alias("side"), F.col(ident).alias("id"), F.struct(F.col(offset).alias("o"), F.col(ident).alias("i")).alias("ref"))
     t = targets.select(seq, (F.col(offset) - gap).alias("at"), F.lit(1).alias("side"), F.col(ident).alias("id"), F.col(offset).alias("target_offset"))
     both = f.unionByName(t, allowMissingColumns=True)
-    both_ways = neighbours_both(both, [seq], ["at", "side", "id"], F.col("ref"), "prev_ref", "next_ref")
+    both_ways = neighbours_both(checkpointed(both), [seq], ["at", "side", "id"], F.col("ref"), "prev_ref", "next_ref")
     d0, d1 = F.col("at") - F.col("prev_ref.o"), F.col("next_ref.o") - F.col("at")
     pick = F.when(d1.isNull() | (d0 <= d1), F.col("prev_ref")).otherwise(F.col("next_ref"))
     out = both_ways.where(F.col("side") == 1).withColumn("__p", pick)
@@ -45,17 +46,29 @@ def asof_matched_gap(targets: DataFrame, frames: DataFrame, seq: str, offset: st
 
 def fingerprint_match(items: DataFrame, files: DataFrame, ident: str, tol: float = 0.0015) -> DataFrame:
     """Match items (low, high, mean, sd) to files (low, high, mean, sd_pop, sd_sample): first on values rounded to three
-    decimals, then, for the rest, on exact extremes with mean and deviation within ``tol``. Classed by match count."""
+    decimals, then, for the rest, on exact extremes with mean and deviation within ``tol``. Classed by match count.
+
+    Both sides are reduced to distinct fingerprints with file counts before they meet, so a large group of copies is one row;
+    the tolerant join carries a bucket of the mean, so equal extremes alone never pair everything.
+    """
     r3 = lambda c: F.round(c, 3)
-    fx = files.select("file_id", r3("low").alias("k0"), r3("high").alias("k1"), r3("mean").alias("k2"), F.explode(F.array_distinct(F.array(r3("sd_pop"), r3("sd_sample")))).alias("k3"))
-    ix = items.select(ident, r3("low").alias("k0"), r3("high").alias("k1"), r3("mean").alias("k2"), r3("sd").alias("k3"))
-    first = ix.join(fx, ["k0", "k1", "k2", "k3"]).select(ident, "file_id").distinct()
-    rest = items.join(first.select(ident).distinct(), ident, "left_anti")
-    f2 = files.select("file_id", "low", "high", F.col("mean").alias("fm"), "sd_pop", "sd_sample")
-    near = (F.abs(F.col("mean") - F.col("fm")) <= tol) & ((F.abs(F.col("sd") - F.col("sd_pop")) <= tol) | (F.abs(F.col("sd") - F.col("sd_sample")) <= tol))
-    second = rest.join(f2, ["low", "high"]).where(near).select(ident, "file_id").distinct()
-    n = first.unionByName(second).groupBy(ident).agg(F.count(F.lit(1)).alias("matches"), F.min("file_id").alias("file_id"))
-    out = items.select(ident).join(n, ident, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    stats, keys = ["low", "high", "mean", "sd"], ["k0", "k1", "k2", "k3"]
+    distinct_files = files.groupBy("low", "high", "mean", "sd_pop", "sd_sample").agg(F.count(F.lit(1)).alias("__n"), F.min("file_id").alias("__f"))
+    prints = items.select(*stats).distinct()
+
+    fx = distinct_files.select(r3("low").alias("k0"), r3("high").alias("k1"), r3("mean").alias("k2"), F.explode(F.array_distinct(F.array(r3("sd_pop"), r3("sd_sample")))).alias("k3"), "__n", "__f")
+    fx = fx.groupBy(*keys).agg(F.sum("__n").alias("matches"), F.min("__f").alias("file_id"))
+    ix = prints.withColumns({k: r3(c) for k, c in zip(keys, stats)})
+    first = ix.join(fx, keys).select(*stats, "matches", "file_id")
+
+    rest = ix.join(fx, keys, "left_anti").select(*stats)
+    bucket = F.floor(F.col("mean") / tol)
+    left = rest.withColumn("__b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    right = distinct_files.withColumn("__b", bucket).withColumnRenamed("mean", "__m")
+    near = (F.abs(F.col("mean") - F.col("__m")) <= tol) & ((F.abs(F.col("sd") - F.col("sd_pop")) <= tol) | (F.abs(F.col("sd") - F.col("sd_sample")) <= tol))
+    second = left.join(right, ["low", "high", "__b"]).where(near).groupBy(*stats).agg(F.sum("__n").alias("matches"), F.min("__f").alias("file_id"))
+
+    out = items.select(ident, *stats).join(first.unionByName(second), stats, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     kind = F.when(F.col("matches") == 0, "unmatched").when(F.col("matches") == 1, "matched").otherwise("ambiguous")
     return out.select(ident, "matches", kind.alias("class"), F.when(F.col("matches") == 1, F.col("file_id")).alias("file_id"))
 

@@ -4,28 +4,44 @@ A plain ``Window.partitionBy(key).orderBy(...)`` sends a whole group to one task
 proven bound (the days of one incident) and fatal when one key holds a third of the rows. The functions below cut a
 group into ordered slices first:
 
-1. *boundaries*: per group, the ``slices - 1`` order values with the smallest hash. This is a uniform sample that does
-   not depend on partitioning or on retries, and Spark trims it before the shuffle (window group limit);
+1. *boundaries*: per large group, the order values with the smallest hash, as many as its share of the rows asks for. This
+   is a uniform sample that does not depend on partitioning or on retries, and Spark trims it before the shuffle (window
+   group limit). Groups below a fair share of one task are left whole;
 2. a row's slice is the number of boundaries below its order value;
 3. windows run inside (group, slice); what crosses slices (a total, an edge row) is one aggregate row per slice.
 
+The input is read once per step, so a costly one is written to the checkpoint folder first: the functions that build
+distinct-value counts do that themselves, and a table scan needs no such copy.
+
 Every function expects the order value to be unique inside its group: add an id as the last order column, or aggregate
 to distinct values first. Order columns ascend; pass ``0 - col`` to descend.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SLICES = 32
+from scorefold.session import checkpointed
+
+SLICES = None  # as many slices as the session has shuffle partitions, see slice_count
+MAX_SLICES = 999  # Spark trims ranks below 1000 before the shuffle
+SMALL_GROUP = 10_000  # rows that one task orders without help
 
 _O, _B, _K = "__order", "__bounds", "__slice"
 
 
+def slice_count(df: DataFrame, slices: int | None = SLICES) -> int:
+    """Slices per group: the given number, else the session's shuffle partitions, so that a hot group spreads over the
+    whole cluster."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if slices is None else slices
+    return min(wanted, MAX_SLICES)
+
+
 def _cols(order: Sequence[Column | str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
@@ -34,31 +50,42 @@ def _order_struct(order: Sequence[Column | str]) -> Column:
     return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_cols(order))])
 
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys; with no keys the right side is a single row."""
-    return left.join(right, list(keys)) if keys else left.crossJoin(F.broadcast(right))
-
-
 def _grouped(by: Sequence[str]):
     return W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
 
 
-def sliced(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], slices: int = SLICES) -> DataFrame:
+def sliced(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], slices: int | None = SLICES) -> DataFrame:
     """Add ``__order`` (the order struct) and ``__slice`` (0 .. slices-1), slices being contiguous in the order."""
-    by = list(by)
+    by, slices = list(by), slice_count(df, slices)
     base = df.withColumn(_O, _order_struct(order))
     if slices <= 1:
         return base.withColumn(_K, F.lit(0))
-    pick = W.partitionBy(*by).orderBy(F.xxhash64(_O), F.col(_O)) if by else W.orderBy(F.xxhash64(_O), F.col(_O))
-    bounds = (
-        base.select(*by, _O)
-        .withColumn("__n", F.row_number().over(pick))
-        .where(F.col("__n") < slices)
-        .groupBy(*by)
-        .agg(F.sort_array(F.collect_list(_O)).alias(_B))
-    )
-    cut = F.size(F.filter(F.col(_B), lambda b: b < F.col(_O)))
-    return _join(base, bounds, by).withColumn(_K, cut).drop(_B)
+    rows, quota, spread = base.select(*by, _O), F.lit(slices), W.orderBy(F.xxhash64(_O), F.col(_O))
+    if by:
+        rows, quota, spread = rows.join(F.broadcast(_large_groups(base, by, slices)), by), F.col("__k"), W.partitionBy(*by).orderBy(F.xxhash64(_O), F.col(_O))
+    picked = rows.withColumn("__n", F.row_number().over(spread)).where(F.col("__n") < slices).where(F.col("__n") < quota)
+    bounds = picked.groupBy(*by).agg(F.sort_array(F.collect_list(_O)).alias(_B))
+    # two-level look-up: every stride-th boundary first, then the boundaries of that block
+    stride = math.isqrt(slices) + 1
+    heads = F.filter(_B, lambda b, i: F.pmod(i, F.lit(stride)) == 0)
+    below = lambda arr: F.size(F.filter(arr, lambda b: b < F.col(_O)))
+    block = below(F.col("__heads"))
+    cut = F.when(block > 0, (block - 1) * stride + below(F.slice(_B, F.greatest(block - 1, F.lit(0)) * stride + 1, stride))).otherwise(0)
+    bounds = F.broadcast(bounds.withColumn("__heads", heads))  # at most two boundaries per slice of the whole table
+    joined = base.join(bounds, by, "left") if by else base.crossJoin(bounds)
+    return joined.withColumn(_K, cut).drop(_B, "__heads")
+
+
+def _large_groups(df: DataFrame, by: list[str], slices: int) -> DataFrame:
+    """(by, __k): groups above a fair share of the table, with slices in proportion to their size.
+
+    A group below a fair share of one task needs no slicing. At most ``slices`` groups are larger, and their slices add up to
+    at most twice that number, so this table and the boundaries are small whatever the data.
+    """
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    total = n.agg(F.sum("__n").alias("__t"))
+    big = n.crossJoin(F.broadcast(total)).where((F.col("__n") > SMALL_GROUP) & (F.col("__n") * slices > F.col("__t")))
+    return big.select(*by, F.ceil(F.col("__n") * slices / F.col("__t")).alias("__k"))
 
 
 def running(
@@ -66,14 +93,14 @@ def running(
     by: Sequence[str],
     order: Sequence[Column | str],
     sums: Mapping[str, Column],
-    slices: int = SLICES,
+    slices: int | None = SLICES,
     totals: bool = False,
 ) -> DataFrame:
     """Inclusive running sums per group in the given order; ``totals`` also adds ``<name>_total`` per group.
 
     With ``slices=1`` this is one plain window, for groups whose size is bounded.
     """
-    by, names = list(by), list(sums)
+    by, names, slices = list(by), list(sums), slice_count(df, slices)
     base = df.withColumns({f"__v_{n}": c for n, c in sums.items()})
     if slices <= 1:
         w = _grouped(by).orderBy(*_cols(order)).rowsBetween(W.unboundedPreceding, 0)
@@ -99,7 +126,7 @@ def running(
 
 def positions(
     df: DataFrame, by: Sequence[str], order: Sequence[Column | str], pos: str = "pos", size: str | None = None,
-    slices: int = SLICES,
+    slices: int | None = SLICES,
 ) -> DataFrame:
     """0-based position of each row in its group's order, and optionally the group's size."""
     out = running(df, by, order, {"__rank1": F.lit(1).cast("bigint")}, slices, totals=size is not None)
@@ -109,10 +136,10 @@ def positions(
 
 def neighbour(
     df: DataFrame, by: Sequence[str], order: Sequence[Column | str], payload: Mapping[str, Column], ahead: bool = False,
-    slices: int = SLICES,
+    slices: int | None = SLICES,
 ) -> DataFrame:
     """``lag`` (or ``lead`` with ``ahead``) by one row inside the group: adds each payload column of the adjacent row."""
-    by = list(by)
+    by, slices = list(by), slice_count(df, slices)
     shift = F.lead if ahead else F.lag
     base = df.withColumn("__pl", F.struct(*[c.alias(n) for n, c in payload.items()]))
     if slices <= 1:
@@ -130,10 +157,10 @@ def neighbour(
 
 def carried(
     df: DataFrame, by: Sequence[str], order: Sequence[Column | str], value: Column, out: str, backward: bool = False,
-    slices: int = SLICES,
+    slices: int | None = SLICES,
 ) -> DataFrame:
     """Last non-null ``value`` at or before each row (``backward``: first non-null at or after it)."""
-    by = list(by)
+    by, slices = list(by), slice_count(df, slices)
     pick = F.first if backward else F.last
     span = (0, W.unboundedFollowing) if backward else (W.unboundedPreceding, 0)
     far_span = (1, W.unboundedFollowing) if backward else (W.unboundedPreceding, -1)
@@ -152,7 +179,7 @@ def carried(
     return res.withColumn(out, F.coalesce("__near", "__far")).drop(_O, _K, "__near", "__far", "__cv")
 
 
-def neighbours_both(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], value: Column, before: str, after: str, slices: int = SLICES) -> DataFrame:
+def neighbours_both(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], value: Column, before: str, after: str, slices: int | None = SLICES) -> DataFrame:
     """Last non-null ``value`` at or before, and first at or after, each row - one slicing for both directions."""
     by = list(by)
     cut = sliced(df.withColumn("__cv", value), by, order, slices)
@@ -175,7 +202,7 @@ def neighbours_both(df: DataFrame, by: Sequence[str], order: Sequence[Column | s
 
 def asof_sum(
     probe: DataFrame, hist: DataFrame, by: Sequence[str], probe_at: str, hist_at: str, value: str, out: str, probe_id: Sequence[str],
-    slices: int = SLICES,
+    slices: int | None = SLICES,
 ) -> DataFrame:
     """For every probe row, the sum of ``hist.value`` in its group strictly before ``probe_at`` - no pairs are formed.
 
@@ -185,22 +212,22 @@ def asof_sum(
     h = hist.select(*by, F.col(hist_at).alias("__at"), F.lit(1).alias("__side"), F.col(value).cast("bigint").alias("__w"))
     h = h.groupBy(*by, "__at", "__side").agg(F.sum("__w").alias("__w"))
     p = probe.withColumns({"__at": F.col(probe_at), "__side": F.lit(0), "__w": F.lit(0).cast("bigint")})
-    both = p.unionByName(h, allowMissingColumns=True)
+    both = checkpointed(p.unionByName(h, allowMissingColumns=True))
     summed = running(both, by, ["__at", "__side", *probe_id], {out: F.col("__w")}, slices)
     return summed.where(F.col("__side") == 0).drop("__at", "__side", "__w")
 
 
-def value_counts(df: DataFrame, by: Sequence[str], value: str, slices: int = SLICES, **sums: Column) -> DataFrame:
+def value_counts(df: DataFrame, by: Sequence[str], value: str, slices: int | None = SLICES, **sums: Column) -> DataFrame:
     """Distinct values per group with counts ``n`` (and extra sums), running counts ``cum`` / ``cum_<sum>`` and totals."""
     by = list(by)
-    hist = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    hist = checkpointed(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()]))
     return running(
         hist, by, [value], {"cum": F.col("n"), **{f"cum_{k}": F.col(k) for k in sums}}, slices, totals=True
     )
 
 
 def percentiles(
-    df: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, float], slices: int = SLICES
+    df: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, float], slices: int | None = SLICES
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per group from distinct-value counts: no group meets one task."""
     by = list(by)
@@ -231,7 +258,7 @@ def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int |
     return out.where(F.col(rank) <= k)
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], value: str, rank: str = "avg_rank", slices: int = SLICES) -> DataFrame:
+def average_ranks(df: DataFrame, by: Sequence[str], value: str, rank: str = "avg_rank", slices: int | None = SLICES) -> DataFrame:
     """(by, value, n, avg_rank): ranks with ties averaged, one row per distinct value."""
     h = value_counts(df, by, value, slices)
     return h.select(*by, value, "n", (F.col("cum") - (F.col("n") - 1) / 2.0).alias(rank), F.col("cum_total").alias("size"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scorefold.functions.columns import MOVED, moved, shown
-from scorefold.operators.ordered import SLICES, average_ranks, percentiles, positions, running, top_rows, value_counts
+from scorefold.operators.ordered import SLICES, percentiles, positions, running, top_rows, value_counts
+from scorefold.session import checkpointed
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -164,17 +165,18 @@ def call_detail(log: DataFrame, by: Sequence[str], label: str = "label") -> Data
 
 
 # --- ranking ----------------------------------------------------------------------------------------------------------
-def _score_counts(df: DataFrame, by: Sequence[str], score: str, label: str, weight: Column | None, slices: int) -> DataFrame:
+def _score_counts(df: DataFrame, by: Sequence[str], score: str, label: str, weight: Column | None, slices: int | None) -> DataFrame:
     """Distinct scores, descending, with (weighted) positives and rows and their inclusive running sums."""
     w = F.lit(1).cast("bigint") if weight is None else weight
     hist = df.groupBy(*by, (F.lit(0.0) - F.col(score)).alias("__neg")).agg(
         F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("__pos"), F.sum(w).alias("__all")
     )
+    hist = hist if slices == 1 else checkpointed(hist)
     return running(hist, by, ["__neg"], {"__tp": F.col("__pos"), "__seen": F.col("__all")}, slices, totals=True)
 
 
 def average_precision(
-    df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label", weight: Column | None = None, slices: int = SLICES,
+    df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label", weight: Column | None = None, slices: int | None = SLICES,
     out: str = "ap",
 ) -> DataFrame:
     """Step-wise average precision with ties grouped at distinct scores; NULL without a positive."""
@@ -196,7 +198,7 @@ def average_precision_untied(df: DataFrame, by: Sequence[str], score: str, label
     )
 
 
-def auroc(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label", slices: int = SLICES) -> DataFrame:
+def auroc(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label", slices: int | None = SLICES) -> DataFrame:
     """P(positive scores above negative) plus half the ties, from running counts over distinct scores."""
     h = _score_counts(df.where(F.col(score).isNotNull()), by, score, label, None, slices)
     neg = F.col("__all") - F.col("__pos")
@@ -214,15 +216,15 @@ def cumulative_confusion(df: DataFrame, by: Sequence[str], score: str = "score",
     return h.select(*by, (F.lit(0.0) - F.col("__neg")).alias(score), F.col("__tp").alias("tp"), (F.col("__seen") - F.col("__tp")).alias("fp"))
 
 
-def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, out: str = "rho", slices: int = SLICES) -> DataFrame:
+def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, out: str = "rho", slices: int | None = SLICES) -> DataFrame:
     """Rank correlation with averaged ties. Equal (x, y) rows are merged first, so the rank joins see distinct pairs."""
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__c"))
     return weighted_spearman(cells, by, x, y, "__c", out, slices)
 
 
-def weighted_spearman(cells: DataFrame, by: Sequence[str], x: str, y: str, weight: str, out: str = "rho", slices: int = SLICES) -> DataFrame:
+def weighted_spearman(cells: DataFrame, by: Sequence[str], x: str, y: str, weight: str, out: str = "rho", slices: int | None = SLICES) -> DataFrame:
     """Rank correlation over distinct (x, y) cells with whole-number weights."""
-    by = list(by)
+    by, cells = list(by), checkpointed(cells)
 
     def ranks(col: str, name: str) -> DataFrame:
         h = cells.groupBy(*by, col).agg(F.sum(weight).alias("__n"))

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from scorefold.operators import ordered as O
 
 
+@pytest.fixture(autouse=True)
+def slice_everything(monkeypatch):
+    """Slice the test's groups although they are small."""
+    monkeypatch.setattr(O, "SMALL_GROUP", 0)
+
+
 @pytest.fixture(scope="module")
 def hot():
     rng = np.random.default_rng(3)
@@ -67,6 +73,12 @@ def test_asof_sum(spark, hot):
         assert r[p["pid"]] == hot[(hot["g"] == p["g"]) & (hot["x"] < p["at"])]["v"].sum()
 
 
+def test_hot_group_is_cut(spark, hot):
+    c = O.sliced(spark.createDataFrame(hot), ["g"], ["x", "id"], 32).groupBy("g", "__slice").count().toPandas()
+    assert (c["g"] == "hot").sum() > 10 and (c["g"] == "single").sum() == 1
+    assert c[c["g"] == "hot"]["count"].max() < 0.4 * (hot["g"] == "hot").sum()
+
+
 def test_no_keys(spark, hot):
     r = O.positions(spark.createDataFrame(hot), [], ["x", "id"]).toPandas().sort_values("pos")
     assert list(r["id"]) == list(hot.sort_values(["x", "id"])["id"])
