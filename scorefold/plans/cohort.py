@@ -177,13 +177,13 @@ def _(spark, sf):
     return j.select("conv_id", "pos", F.length("a_value").cast("bigint").alias("a_len"), F.length("b_value").cast("bigint").alias("b_len"), "same")
 
 
-REG = "reg AS (SELECT CAST(n_nationkey % 6 AS INTEGER) AS model, n_name AS label, CASE WHEN n_nationkey < 3 THEN 'core' ELSE 'added' END AS tier FROM nation WHERE n_nationkey < 6)"
+REG = "reg AS (SELECT n_nationkey AS model, n_name AS label, CASE WHEN n_nationkey < 3 THEN 'core' ELSE 'added' END AS tier FROM nation)"
 
 
 @query("select_models", f"WITH {V.PAIRED}, {REG} SELECT model, label FROM reg WHERE tier = 'added' AND model IN (SELECT model FROM log GROUP BY model HAVING count(DISTINCT arm) = 2)")
 def _(spark, sf):
-    n = V.table(spark, sf, "nation").where("n_nationkey < 6")  # the registry's own six rows
-    reg = n.select((F.col("n_nationkey") % 6).alias("model"), F.col("n_name").alias("label"), F.when(F.col("n_nationkey") < 3, "core").otherwise("added").alias("tier"))
+    n = V.table(spark, sf, "nation")
+    reg = n.select(F.col("n_nationkey").alias("model"), F.col("n_name").alias("label"), F.when(F.col("n_nationkey") < 3, "core").otherwise("added").alias("tier"))
     return K.select_models(reg, V.response_log(spark, sf), "added", ["bare", "grounded"]).select("model", "label")
 
 

@@ -7,10 +7,9 @@ from scorefold.operators import frames as FM
 from scorefold.operators import joins as J
 from scorefold.operators import panel as P
 from scorefold.operators import scores as S
-from scorefold.plans.cohort import paired, scored
-from scorefold.plans.panel import runs
+from scorefold.plans.cohort import paired
 from scorefold.plans.registry import query
-from scorefold.plans.retrieve import ITEMS_P, R, SEED, band_draws, BAND_DRAW, items, predicted, PRED
+from scorefold.plans.retrieve import BAND_DRAW, PRED, band_draws, items, predicted
 from scorefold.plans.scores import FR, frame_calls
 from scorefold.sources import standins as V
 

@@ -2,28 +2,22 @@
 
 from pyspark.sql import functions as F
 
-from scorefold.functions import arrays as AR
 from scorefold.functions import columns as C
 from scorefold.operators import panel as P
 from scorefold.operators import retrieve as R
 from scorefold.operators import scores as S
-from scorefold.plans.audit import CLS, FEAT_SQL
+from scorefold.plans.audit import FEAT_SQL
 from scorefold.plans.cohort import md5_int
-from scorefold.plans.panel import KEY_SQL, PICKS, band_sql, d2s, pairs, runs
+from scorefold.plans.panel import KEY_SQL, PICKS, band_sql, pairs, runs
 from scorefold.plans.registry import query
 from scorefold.session import checkpointed
 from scorefold.sources import standins as V
 
 SEED = 7
-ITEM_COLS = ["item_id", "incident_id", "report_date", "target", "persistence", "scale", "band", "pers_band", "p3", "p5", "t3", "a"]
 
 
 def with_classes(df, today="today"):
-    r = AR.ratio(today, "prev")
-    return df.withColumns({
-        "band": C.band_key("acres", "pct", today), "pers_band": C.band(today, C.PERS_EDGES), "p3": AR.change_class(r), "p5": AR.change_class(r, 5),
-        "t3": AR.change_class(AR.ratio(today, "prev2")), "a": AR.grew("acres", "acres_prev", "new_acres"),
-    })
+    return R.change_components(df.withColumns({"band": C.band_key("acres", "pct", today), "pers_band": C.band(today, C.PERS_EDGES)}), today)
 
 
 def pool(spark, sf):
@@ -128,7 +122,7 @@ lm AS (SELECT item_id, count(*) AS m0 FROM lx GROUP BY item_id), """ + floyd_sql
 
 @query("retrieve_ladder", f"WITH {LADDER} SELECT lx.item_id, analogue_id FROM lx JOIN fl ON lx.item_id = fl.item_id AND list_contains(s, idx)")
 def _(spark, sf):
-    return R.retrieve_ladder(items(spark, sf), pool(spark, sf), ["band", "t3", "p5"], 3, 6, SEED).select("item_id", "analogue_id")
+    return R.named_ladder(items(spark, sf), pool(spark, sf), "ladder_t3_p5", 6, SEED).select("item_id", "analogue_id")
 
 
 FILL = LAD + """, lb AS (SELECT item_id, CASE WHEN n3 >= 6 THEN 3 WHEN n2 >= 6 THEN 2 ELSE 1 END AS base FROM lc),
@@ -140,7 +134,12 @@ om AS (SELECT ox.item_id, count(*) AS m0, 6 - coalesce(max(c), 0) AS need FROM o
 
 @query("retrieve_ladder_fill", f"WITH {FILL} SELECT ox.item_id, analogue_id FROM ox JOIN fl ON ox.item_id = fl.item_id AND list_contains(s, idx) UNION ALL SELECT item_id, analogue_id FROM inner_")
 def _(spark, sf):
-    return R.retrieve_ladder_fill(items(spark, sf), pool(spark, sf), ["band", "t3", "p5"], 6, SEED).select("item_id", "analogue_id")
+    return R.named_ladder(items(spark, sf), pool(spark, sf), "ladder_t3_p5_fill", 6, SEED).select("item_id", "analogue_id")
+
+
+@query("retrieve_ladder_streak")
+def _(spark, sf):
+    return R.named_ladder(items(spark, sf), pool(spark, sf), "ladder_p5s_a", 6, SEED).select("item_id", "analogue_id")
 
 
 # --- nearest ----------------------------------------------------------------------------------------------------------

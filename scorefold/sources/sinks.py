@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from scorefold.session import checkpointed
-
 
 def write_items(items: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Item table; ``json`` writes one object per line."""
@@ -19,4 +17,4 @@ def write_index(items: DataFrame, path: str, nested: tuple[str, ...] = ("context
 
 def write_bucketed(df: DataFrame, table: str, keys: tuple[str, ...], buckets: int) -> None:
     """A bucketed table for tables that are joined on the same keys again and again."""
-    checkpointed(df).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
