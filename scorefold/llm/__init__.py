@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["toxicity", "simhash", "chat", "decontaminate", "langid", "quality", "urls", "secrets", "mixing", "linededup"]
+MODULES = ["chat", "decontaminate", "quality", "linededup"]
 
 
 def query(name: str, sql: str | None = None):
@@ -29,7 +29,3 @@ def load() -> None:
     """Import every operator module and the pipeline, which fills the registry."""
     for m in MODULES:
         importlib.import_module(f"scorefold.llm.{m}")
-    pipeline = importlib.import_module("corpus_pipeline")
-    QUERIES["pipeline"] = pipeline.run
-    if pipeline.ORACLE_SQL is not None:
-        ORACLES["pipeline"] = pipeline.ORACLE_SQL
