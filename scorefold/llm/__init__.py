@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["chat", "decontaminate", "quality", "linededup"]
+MODULES = ["toxicity", "simhash", "chat", "decontaminate", "langid", "quality", "linededup"]
 
 
 def query(name: str, sql: str | None = None):
