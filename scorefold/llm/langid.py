@@ -129,32 +129,27 @@ def predict(text: str | None, model: Model) -> tuple[str, float]:
     return model.langs[int(p.argmax())], float(p.max())
 
 
-def identify(docs: DataFrame, model: Model, *keys: str) -> DataFrame:
-    """doc_id (and further keys), lang_pred, score, rejected for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", *keys]
+def _judge(model: Model, spark):
+    """A column function of texts: struct(lang_pred, score, rejected)."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    def judged(text: pd.Series) -> pd.DataFrame:
         model = shared.value
-        for b in batches:
-            found = [predict(t, model) for t in b["text"]]
-            lang, sure = [x[0] for x in found], np.array([x[1] for x in found], np.float64)
-            yield b[names].assign(lang_pred=pd.Series(lang, index=b.index, dtype=object), score=sure, rejected=(sure < model.threshold) | (np.array(lang, object) == UNDETERMINED))
+        found = [predict(t, model) for t in text]
+        return pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "rejected": [x[0] == UNDETERMINED or x[1] < model.threshold for x in found]})
 
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, "text").mapInPandas(task, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return judged
 
 
-def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language is rejected; all columns stay as they are."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score, rejected for every row of docs."""
+    return docs.select("doc_id", _judge(model, docs.sparkSession)("text").alias("_g")).select("doc_id", "_g.*")
 
-    @F.pandas_udf("boolean")
-    def accepted(text: pd.Series) -> pd.Series:
-        judged = (predict(t, model.value) for t in text)
-        return pd.Series([lang != UNDETERMINED and sure >= model.value.threshold for lang, sure in judged], dtype=bool)
 
-    return docs.where(accepted("text"))
+def drop_unidentified(docs: DataFrame) -> DataFrame:
+    """docs without the rows whose language is rejected; all columns stay as they are."""
+    return docs.where(~_judge(fit(docs), docs.sparkSession)("text")["rejected"])
 
 
 @query("op5_language_id")

@@ -6,8 +6,8 @@ Means over `PART` are split into equal parts with a hashed number each; their su
 Copies are dealt to partitions by a hash of (id, copy) and sorted by it: one shuffle, and the order is independent of the input's.
 
 Defined results: a null source is a source of its own; a source without weight (when weights are given) goes; by default all sources weigh alike
-and the total is the number of documents; rows with the same doc_id and text draw alike; an empty table gives no rows; further columns pass
-through, texts of any length and nulls too.
+and the total is the number of documents; rows with the same doc_id and text draw alike; an empty table gives no rows; columns named copy and
+shuffle_key are replaced, others pass through, texts of any length and nulls too.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, total: float | None
         all_ = (1.0, 0)
     rate = F.lit(float(all_[1] if total is None else total)) * F.col("weight") / F.lit(float(all_[0])) / F.col("_m_n")
     rows = weighed.select(F.col("source").alias("_m_source"), rate.alias("_m_rate")).withColumn("_m_parts", F.greatest(F.lit(1.0), F.ceil(F.col("_m_rate") / PART)).cast("int"))
-    return stored(rows.mapInPandas(_tables, "_m_source string, _m_rate double, _m_parts int, _m_cdf array<double>"), "source-rates")
+    return stored(rows.mapInPandas(_tables, f"_m_source {docs.schema['source'].dataType.simpleString()}, _m_rate double, _m_parts int, _m_cdf array<double>"), "source-rates")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None, seed: int = SEED) -> DataFrame:
@@ -76,14 +76,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None =
         dealt = docs.withColumn("_m_at", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
         rows = dealt.join(salted, F.col("source").eqNullSafe(F.col("_m_source")) & (F.col("_m_at") == F.col("_m_salt"))).drop("_m_salt", "_m_at")
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
-    draw = lambda i: F.size(F.filter("_m_cdf", lambda c: c <= F.col("_m_u")))
-    one = rows.withColumn("_m_u", uniform(F.lit(str(seed)), name, F.lit("0")))
-    inverse = lambda u: F.size(F.filter("_m_cdf", lambda c: c <= u)).cast("bigint")
-    more = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("_m_parts") - 1), lambda i: inverse(uniform(F.lit(str(seed)), name, i.cast("string")))), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    counted = one.withColumn("_m_copies", F.when(F.col("_m_parts") == 1, draw(0).cast("bigint")).otherwise(more)).where("_m_copies > 0")
+    drawn = F.transform(F.sequence(F.lit(0), F.col("_m_parts") - 1), lambda i: uniform(F.lit(str(seed)), name, i.cast("string")))
+    below = F.transform(drawn, lambda u: F.size(F.filter("_m_cdf", lambda c: c <= u)).cast("bigint"))
+    more = F.aggregate(below, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    counted = rows.withColumn("_m_copies", more).where("_m_copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m_copies"))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), name, F.col("copy").cast("string"))))
-    kept = keyed.select(*(F.col(f"`{c}`") for c in docs.columns), "copy", "shuffle_key")
+    kept = keyed.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "shuffle_key")), "copy", "shuffle_key")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return kept.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key")
 

@@ -20,7 +20,6 @@ further columns are not looked at by `near_duplicates` and pass through `drop_ne
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,15 +60,14 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "fp": np.fromiter(map(fingerprint, b["text"]), np.int64, len(b))})
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (a hash of the text), fp."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInPandas(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, fp bigint")
+
+    @F.pandas_udf("bigint")
+    def of(text: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter(map(fingerprint, text), np.int64, len(text)))
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), of("text").alias("fp"))
 
 
 def pivots() -> list[int]:
@@ -149,14 +147,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, fp, component_id (the smallest doc_id of the component) for every row of docs."""
+    """doc_id, text_key, fp, root (a fingerprint that names the component), component_id (its smallest doc_id) for every row of docs."""
     prints = stored(fingerprints(docs), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "distinct-fingerprints")
     roots = components(links(distinct))
     of_fp = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
     of_fp = stored(of_fp, "roots")
     ids = of_fp.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    answer = stored(of_fp.join(ids, "root").select("fp", "component_id"), "fp-components")
+    answer = stored(of_fp.join(ids, "root").select("fp", "root", "component_id"), "fp-components")
     return prints.join(answer, "fp")
 
 
@@ -165,7 +163,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Columns stay as they are."""
     found = stored(near_duplicates(docs.select("doc_id", "text")), "near-duplicates")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
     keep = stored(first.select(F.col("k.doc_id").alias("_s_id"), F.col("k.text_key").alias("_s_key")), "kept-documents")
     rows = docs.withColumn("_s_at", F.xxhash64("text"))
     one = rows.join(small(keep), F.col("doc_id").eqNullSafe(F.col("_s_id")) & (F.col("_s_at") == F.col("_s_key")), "left_semi")

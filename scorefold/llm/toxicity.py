@@ -109,8 +109,9 @@ def _regress(hits: pd.Series, y: np.ndarray, ratios: np.ndarray) -> tuple[np.nda
     return weights, float(w[-1])
 
 
-def score_text(text: str | None, model: Model) -> float:
-    found = _present(text, model.weights != 0)
+def score_text(text: str | None, model: Model, used: np.ndarray) -> float:
+    """The score of one text; used marks the buckets that are features."""
+    found = _present(text, used)
     z = model.intercept + (float(model.weights[found[0]].sum(dtype=np.float64)) if found else 0.0)
     return float(1 / (1 + np.exp(-np.clip(z, -700, 700)))) if np.isfinite(z) else 0.0
 
@@ -119,15 +120,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        used = model.weights != 0
-        for b in batches:
-            z = np.array([model.intercept + sum(float(model.weights[p].sum(dtype=np.float64)) for p in _present(t, used)) for t in b["text"]], np.float64)
-            with np.errstate(over="ignore"):
-                yield pd.DataFrame({"doc_id": b["doc_id"], "score": np.where(np.isfinite(z), 1 / (1 + np.exp(-z)), 0.0)})
+    @F.pandas_udf("double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model, used = shared.value, shared.value.weights != 0
+        for texts in batches:
+            yield pd.Series([score_text(t, model, used) for t in texts], dtype=np.float64)
 
-    return docs.select("doc_id", "text").mapInPandas(task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", of("text").alias("score"))
 
 
 @query("op1_toxicity")
