@@ -97,7 +97,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, seed: int = 5) -> Model:
             table_[used] -= rate * len(used) * np.outer(share, back) / max(1.0, len(used) * share.max())
             at += 1
     logits = table_ @ layer
-    z = np.array([np.asarray(bags["shares"][i]) @ logits[bags["ids"][i]] + bias for i in held])
+    z = np.array([np.asarray(bags["shares"][i]) @ logits[bags["ids"][i]] + bias for i in held], np.float64)
     temperature = min((float(np.exp(t)) for t in np.linspace(-4, 4, 161)), key=lambda t: _loss(z / t, y[held]))
     p = _softmax(z / temperature)
     right = p.max(1)[p.argmax(1) == y[held]]

@@ -14,11 +14,11 @@ document, all kept alike; a document of which no word is left goes; an empty tab
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorefold.llm import query
-from scorefold.llm.common import GAPS, SPACES, stored, table
+from scorefold.llm.common import GAPS, SPACES, let, stored, table
 
 MIN_LINES = 3
 MIN_WORDS = 50
@@ -70,23 +70,26 @@ def repeated_windows(found: DataFrame) -> DataFrame:
     return met.join(stored(firsts, "line-firsts"), ["k1", "k2"]).where(F.struct(*place) > F.col("first")).select("doc_id", "text_key", "start", "lines")
 
 
+def _has_word(x: Column) -> Column:
+    return F.btrim(x, F.lit(SPACES)) != ""
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """The lines joined, less the units of the given numbers: the stretches between deleted lines. Each array is made once per row."""
+    units = F.filter(F.transform(lines, lambda x, i: F.when(_has_word(x), i)), lambda i: i.isNotNull())
+    dead = let(units, lambda u: F.sort_array(F.transform(gone, lambda g: F.get(u, g))))
+    ends = F.concat(F.array(F.lit(-1)), dead, F.array(F.size(lines)))
+    stretches = lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: F.slice(lines, F.get(e, k) + 2, F.get(e, k + 1) - F.get(e, k) - 1))
+    return F.array_join(F.flatten(let(ends, stretches)), "\n")
+
+
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with `text` less its later repeated runs and `_deleted_lines`, their number; documents left without a word are gone."""
     found = stored(windows(docs, min_lines, min_words), "line-windows")
     gone = repeated_windows(found).groupBy(F.col("doc_id").alias("_l_id"), F.col("text_key").alias("_l_key")).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("lines") - 1)))).alias("_l_gone"))
     df = docs.withColumn("_l_at", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_l_id")) & (F.col("_l_at") == F.col("_l_key")), "left")
-    has_word = lambda x: F.btrim(x, F.lit(SPACES)) != ""
-    # the number of each unit among the lines: its place in the list of the lines that hold a word
-    lines = F.split("text", "\n")
-    df = df.withColumn("_l_lines", F.when(F.col("_l_gone").isNotNull(), lines))
-    df = df.withColumn("_l_units", F.filter(F.transform("_l_lines", lambda x, i: F.when(has_word(x), i)), lambda i: i.isNotNull()))
-    dead = F.transform("_l_gone", lambda g: F.get("_l_units", g))
-    df = df.withColumn("_l_dead", F.sort_array(dead))
-    ends = F.concat(F.array(F.lit(-1)), F.col("_l_dead"), F.array(F.size("_l_lines")))
-    df = df.withColumn("_l_ends", F.when(F.col("_l_gone").isNotNull(), ends))
-    pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_l_ends") - 2), lambda k: F.slice("_l_lines", F.get("_l_ends", k) + 2, F.get("_l_ends", k + 1) - F.get("_l_ends", k) - 1)))
-    kept = F.when(F.col("_l_gone").isNull(), F.col("text")).otherwise(F.array_join(pieces, "\n"))
-    out = df.withColumn("_l_text", kept).where(F.col("_l_gone").isNull() | has_word(F.col("_l_text")))
+    kept = F.when(F.col("_l_gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), lambda lines: _without(lines, F.col("_l_gone"))))
+    out = df.withColumn("_l_text", kept).where(F.col("_l_gone").isNull() | _has_word(F.col("_l_text")))
     names = [F.col("_l_text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*names, F.coalesce(F.size("_l_gone"), F.lit(0)).alias("_deleted_lines"))
 
