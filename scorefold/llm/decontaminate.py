@@ -24,11 +24,11 @@ SEEDS = ["111111", "11001010011"]
 WINDOW = 13
 SUBSTITUTIONS = 2
 MIN_TOKENS = 6
+STRETCH = 256
 
 
 def tokens(text: Column) -> Column:
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[^\p{L}\p{N}]+"))
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def token_hashes(text: Column) -> Column:
@@ -45,38 +45,55 @@ def _seeds(masks: list[str], hashes: str, at: str) -> Column:
 
 
 def seeded(texts: DataFrame, key: str, masks: list[str], prefix: str) -> DataFrame:
-    """A row per position and mask of every text: key, the token hashes (a reference until a row leaves the stage), position, mask, seed."""
-    rows = texts.select(F.col(key).alias(f"{prefix}_id"), token_hashes(F.col("text")).alias(f"{prefix}_h")).where(F.size(f"{prefix}_h") >= MIN_TOKENS)
-    at = F.sequence(F.lit(0), F.size(f"{prefix}_h") - min(map(len, masks)))
-    rows = rows.where(F.size(f"{prefix}_h") >= min(map(len, masks))).select("*", F.explode(at).alias(f"{prefix}_at"))
-    return rows.select("*", F.explode(_seeds(masks, f"{prefix}_h", f"{prefix}_at")).alias("s")).select("*", "s.mask", "s.span", "s.seed").drop("s").where(F.col("seed").isNotNull())
+    """A row per position and mask of every text: key, stretch (the token hashes around), its offset, position in it, mask, span, seed.
+
+    Texts are first cut into stretches of `STRETCH` positions with the tokens that a window may need on both sides, so that a row carries a
+    bounded number of tokens however long its text is.
+    """
+    c = lambda name: f"{prefix}_{name}"
+    last = F.size("_d_h") - min(map(len, masks))
+    rows = texts.select(F.col(key).alias(c("id")), token_hashes(F.col("text")).alias("_d_h"))
+
+    def stretch(first):
+        offset = F.greatest(F.lit(0), first - WINDOW + 1)
+        end = F.least(F.size("_d_h"), first + STRETCH + 2 * WINDOW)
+        stop = F.least(last, first + STRETCH - 1)
+        return F.struct(offset.alias("offset"), (first - offset).alias("from"), (stop - offset).alias("to"), F.slice("_d_h", offset + 1, end - offset).alias("h"))
+
+    rows = rows.select(c("id"), F.size("_d_h").alias(c("n")), F.explode(F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(STRETCH)), stretch))).alias("s"))
+    rows = rows.select(c("id"), c("n"), F.col("s.h").alias(c("h")), F.col("s.offset").alias(c("offset")), F.explode(F.sequence(F.col("s.from"), F.col("s.to"))).alias(c("at")))
+    rows = rows.select("*", F.explode(_seeds(masks, c("h"), c("at"))).alias("s"))
+    return rows.select(*(c(x) for x in ("id", "n", "h", "offset", "at")), "s.mask", "s.span", "s.seed").where(F.col("seed").isNotNull())
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, first_token, last_token (of the document, over all matching windows), matching (tokens of the best window), windows."""
+    """doc_id, item_id, first_token, last_token (of the document, over all matching windows), matching and share (equal tokens of the best
+    window), windows (matching ones, counted once for each seed in them)."""
     items = benchmark.select("item_id", "text").distinct()
     lengths = items.select(F.size(tokens(F.col("text"))).alias("n")).where(F.col("n").between(MIN_TOKENS, WINDOW - 1)).distinct()
     solid = ["1" * n for (n,) in sorted(lengths.collect())]  # at most WINDOW - MIN_TOKENS rows
     masks = SEEDS + [m for m in solid if m not in SEEDS]
-    short, length = F.size("item_h") < WINDOW, F.size("item_h")
-    of_item = F.when(short, (F.col("span") == length) & ~F.col("mask").contains("0")).otherwise(F.col("mask").isin(SEEDS))
+    short = F.col("item_n") < WINDOW
+    of_item = F.when(short, (F.col("span") == F.col("item_n")) & ~F.col("mask").contains("0")).otherwise(F.col("mask").isin(SEEDS))
     item_seeds = stored(seeded(items, "item_id", masks, "item").where(of_item), "benchmark-seeds")
     hits = seeded(docs, "doc_id", masks, "doc").join(small(item_seeds), ["mask", "span", "seed"])
-    # windows that hold the seed: they start from item_at - (width - span) to item_at, and stay inside both texts
-    width = F.least(F.lit(WINDOW), length)
+    # a number for each hit keeps the verification above the join, which then runs compiled and hands on hits only
+    hits = hits.withColumn("_d_hit", F.monotonically_increasing_id())
+    # windows that hold the seed start, counted in the item's stretch, from item_at - (width - span) to item_at, and stay inside both texts
+    hits = hits.withColumns({"_d_width": F.least(F.lit(WINDOW), F.col("item_n")), "_d_diagonal": F.col("doc_at") - F.col("item_at")})
     allowed = F.when(short, F.lit(0)).otherwise(F.lit(SUBSTITUTIONS))
-    hits = hits.withColumns({"_d_width": width, "_d_allowed": allowed, "_d_diagonal": F.col("doc_at") - F.col("item_at")})
-    starts = F.sequence(F.greatest(F.lit(0), F.col("item_at") + F.col("span") - F.col("_d_width"), -F.col("_d_diagonal")), F.least(F.col("item_at"), F.size("item_h") - F.col("_d_width")))
-    lowest = F.greatest(F.lit(0), F.col("item_at") + F.col("span") - F.col("_d_width"), -F.col("_d_diagonal"))
+    low = F.greatest(F.lit(0), F.col("item_at") + F.col("span") - F.col("_d_width"), -F.col("_d_diagonal"))
+    high = F.least(F.col("item_at"), F.size("item_h") - F.col("_d_width"), F.size("doc_h") - F.col("_d_width") - F.col("_d_diagonal"))
     equal = lambda s: F.size(F.filter(F.sequence(F.lit(0), F.col("_d_width") - 1), lambda k: F.get("item_h", s + k) == F.get("doc_h", s + k + F.col("_d_diagonal"))))
-    found = F.when(lowest <= F.least(F.col("item_at"), F.size("item_h") - F.col("_d_width")), F.transform(starts, lambda s: F.struct(equal(s).alias("n"), (s + F.col("_d_diagonal")).alias("at"))))
-    hits = hits.select("doc_id", "item_id", "_d_width", F.filter(found, lambda x: x["n"] >= F.col("_d_width") - F.col("_d_allowed")).alias("_d_found")).where(F.size("_d_found") > 0)
-    rows = hits.select("doc_id", "item_id", "_d_width", F.explode("_d_found").alias("_d_w"))
+    found = F.when(low <= high, F.transform(F.sequence(low, high), lambda s: F.struct(equal(s).alias("n"), (s + F.col("_d_diagonal") + F.col("doc_offset")).alias("at"))))
+    hits = hits.select("doc_id", "item_id", "_d_hit", "_d_width", F.filter(found, lambda x: x["n"] >= F.col("_d_width") - allowed).alias("_d_found")).where(F.size("_d_found") > 0)
+    rows = hits.select("doc_id", "item_id", "_d_hit", "_d_width", F.explode("_d_found").alias("_d_w"))
     return rows.groupBy("doc_id", "item_id").agg(
         F.min("_d_w.at").alias("first_token"),
         F.max(F.col("_d_w.at") + F.col("_d_width") - 1).alias("last_token"),
         F.max("_d_w.n").alias("matching"),
         F.max(F.col("_d_w.n") / F.col("_d_width")).alias("share"),
+        F.count("_d_hit").alias("windows"),
     )
 
 

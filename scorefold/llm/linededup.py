@@ -28,7 +28,7 @@ def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WO
     """One row per window: doc_id, text_key, start, lines, the fingerprint it selects (anchor position and hash) and 128 bits of its content."""
     trimmed = lambda x: F.btrim(x, F.lit(SPACES))
     units = F.filter(F.transform(F.split("text", "\n"), trimmed), lambda x: x != "")
-    df = docs.select("doc_id", F.xxhash64("text").alias("text_key"), units.alias("u")).where(F.size("u") > 0)
+    df = docs.select("doc_id", F.xxhash64("text").alias("text_key"), units.alias("u"))
     df = df.select(
         "doc_id",
         "text_key",
@@ -36,7 +36,7 @@ def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WO
         F.transform("u", lambda x: F.xxhash64(F.lit("b"), x)).alias("b"),
         F.transform("u", lambda x: F.size(F.split(x, GAPS))).alias("c"),
     )
-    rows = df.select("*", F.posexplode("c").alias("start", "_n"))
+    rows = df.select("*", F.posexplode_outer("c").alias("start", "_n"))  # outer: no filter that would split the text once more
     # the window ends at the first line that brings it to min_lines lines or min_words words
     total, reached = F.col("_n"), F.lit(None).cast("int")
     sizes = []
