@@ -93,7 +93,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.max(F.col("_d_w.at") + F.col("_d_width") - 1).alias("last_token"),
         F.max("_d_w.n").alias("matching"),
         F.max(F.col("_d_w.n") / F.col("_d_width")).alias("share"),
-        F.count("_d_hit").alias("windows"),
+        F.sum((F.col("_d_hit") >= 0).cast("bigint")).alias("windows"),
     )
 
 
