@@ -82,8 +82,8 @@ def _block(i: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def pivot_table(distinct: DataFrame) -> DataFrame:
-    """fp and, for each block, its packed distances to all pivots (b0 to b5)."""
+def pivot_table(rows: DataFrame) -> DataFrame:
+    """The rows with the packed distances of each block of `fp` to all pivots (b0 to b5)."""
     refs = pivots()
 
     def packed(i):
@@ -93,7 +93,7 @@ def pivot_table(distinct: DataFrame) -> DataFrame:
             out = out.bitwiseOR(F.shiftleft(far, COORDINATE_BITS * k))
         return out
 
-    return distinct.select("fp", *(packed(i).alias(f"b{i}") for i in range(len(BLOCKS))))
+    return rows.withColumns({f"b{i}": packed(i) for i in range(len(BLOCKS))})
 
 
 def _largest_difference(x, y):
@@ -108,9 +108,10 @@ def links(distinct: DataFrame) -> DataFrame:
     coordinates = [f"b{i}" for i in range(len(BLOCKS))]
     far = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
     choices = [F.struct(F.lit(n).alias("choice"), F.xxhash64(*(coordinates[i] for i in c)).alias("key")) for n, c in enumerate(itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - MAX_BITS))]
-    keyed = stored(pivot_table(distinct).select("*", F.explode(F.array(*choices)).alias("m")).select("m.choice", "m.key", "fp", *coordinates), "pivot-keys")
+    keyed = pivot_table(distinct.select("fp")).select("fp", F.explode(F.array(*choices)).alias("m")).select("m.choice", "m.key", "fp")
     met = stored(keyed.groupBy("choice", "key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n"), "pivot-met")
-    rows = stored(keyed.join(met, ["choice", "key"]).withColumn("from_low", far("fp", "low")), "pivot-rows")
+    rows = stored(keyed.join(small(met), ["choice", "key"]).withColumn("from_low", far("fp", "low")), "pivot-rows")
+    rows = pivot_table(rows)  # coordinates are made anew from a fingerprint where two have met: cheaper than to shuffle them
     near = rows.where((F.col("fp") != F.col("low")) & (F.col("from_low") <= MAX_BITS)).select(F.col("low").alias("a"), F.col("fp").alias("b"))
     away = rows.where(F.col("from_low") > MAX_BITS)
     other = rows.where(F.col("fp") != F.col("low")).select("choice", "key", F.col("fp").alias("fp2"), F.col("from_low").alias("from_low2"), *(F.col(c).alias(f"{c}_2") for c in coordinates))
