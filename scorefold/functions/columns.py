@@ -112,10 +112,14 @@ def stable_seed(base: int, *parts: Column | str) -> Column:
     return F.pmod(F.lit(base).cast("bigint") + F.crc32(text.cast("binary")), F.lit(4294967296))
 
 
+HASH_DIGITS = 15
+HASH_RANGE = float(16**HASH_DIGITS)
+
+
 def hash_int(*parts: Column | str | int) -> Column:
-    """First eight hex digits of md5('a|b|c') as a BIGINT: the seeded uniform integer used for every draw."""
+    """First fifteen hex digits of md5('a|b|c') as a BIGINT below HASH_RANGE: the seeded uniform integer used for every draw."""
     cols = [F.lit(str(p)) if isinstance(p, int) else c(p).cast("string") for p in parts]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, HASH_DIGITS), 16, 10).cast("bigint")
 
 
 def impute_score(prob: Column | str, call: Column | str) -> Column:

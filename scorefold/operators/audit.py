@@ -66,18 +66,28 @@ def with_failures(log: DataFrame, by: Sequence[str], fields: Sequence[str], toke
     return j.withColumn("cause", F.when(F.col("state") != "answered", failure_cause(fields, tokens=tokens)))
 
 
-def failure_table(marked: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per file: attempted, answered, partial, failed, failure rate, rows per cause family, cut rows that were scored."""
-    at_cap = F.coalesce(F.col("completion_tokens") >= F.col("cap") - F.col("tol"), F.lit(False))
+def failure_table(log: DataFrame, by: Sequence[str], fields: Sequence[str], item: str, order: str, raw: str = "raw") -> DataFrame:
+    """Per file, over the last row of each item: attempted, answered, partial, failed, failure rate, rows per cause family, and the
+    rows that were replaced (``duplicates``).
+
+    ``cut_but_scored`` counts answered rows whose text did not finish, by its structure alone; ``cut_at_cap`` those of them that
+    stopped at the output cap.
+    """
+    last = log.where(F.col(item).isNotNull()).groupBy(*by, item).agg(F.max_by(F.struct(*[c for c in log.columns if c not in (*by, item)]), order).alias("r"), (F.count(F.lit(1)) - 1).alias("__again"))
+    again = last.groupBy(*by).agg(F.sum("__again").alias("duplicates"))
+    marked = with_failures(last.select(*by, item, "r.*"), by, fields)
+    cut = (F.col("state") == "answered") & ~body_complete(raw)
+    at_cap = F.coalesce(F.col("completion_tokens") >= F.col("cap") - F.greatest(F.col("tol"), F.lit(1)), F.lit(False))
     cause = lambda p: count_if(F.col("cause").startswith(p))
-    return marked.groupBy(*by).agg(
+    table = marked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("attempted"), count_if(F.col("state") == "answered").alias("answered"),
         count_if(F.col("state") == "partial").alias("partial"), count_if(F.col("state") == "failed").alias("failed"),
         share(F.col("state") == "failed").alias("failure_rate"),
         cause("error_field").alias("error_field"), cause("output_cap").alias("output_cap"), cause("empty_body").alias("empty_body"),
         cause("schema_field").alias("field_missing"), cause("unparsable").alias("unparsable"),
-        count_if((F.col("state") != "failed") & at_cap).alias("cut_but_scored"),
+        count_if(cut).alias("cut_but_scored"), count_if(cut & at_cap).alias("cut_at_cap"),
     )
+    return table.join(again, list(by))
 
 
 def failure_examples(marked: DataFrame, by: Sequence[str], order: str, k: int = 3) -> DataFrame:

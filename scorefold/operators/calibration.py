@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorefold.functions.columns import hash_int
+from scorefold.functions.columns import HASH_RANGE, hash_int
 from scorefold.operators.ordered import MAX_SLICES, SLICES, neighbour, neighbours_both, positions, running, sliced
 from scorefold.operators.scores import average_precision, count_if
 from scorefold.session import checkpointed
@@ -201,7 +201,7 @@ def chance_band(df: DataFrame, by: Sequence[str], ident: str, p: str, observed:
     or above the observed error (``observed``: *by, ece). One row per draw and bin leaves each task."""
     rows = df.where(F.col(p).isNotNull()).select(*by, ident, p, width_bin(p).alias("bin"))
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = hash_int(seed, "rep", *by, ident) / F.lit(4294967296.0)
+    u = hash_int(seed, "rep", *by, ident) / F.lit(HASH_RANGE)
     hit = (u < F.col(p)).cast("double")
     bins = reps.groupBy(*by, "rep", "bin").agg(F.sum(F.col(p) - hit).alias("d"), F.count(F.lit(1)).alias("n"))
     per = bins.groupBy(*by, "rep").agg((F.sum(F.abs("d")) / F.sum("n")).alias("ece_draw")).join(observed, list(by))
@@ -232,25 +232,30 @@ def best_threshold(df: DataFrame, by: Sequence[str], score: str, y: str, rule: s
     return tied.where(pick).groupBy(*by).agg(F.avg("cut").alias("cut"), (F.max("right") / F.max("rows")).alias("accuracy"), F.max("__n").alias("ties"))
 
 
-RADIX, LEVELS = 16, 8  # blocks of 16 ** level cuts; eight levels cover 2 ** 32 cuts
+RADIX = 16  # blocks of 16 ** level cuts
 
 
-def _range_blocks(a: Column, b: Column) -> Column:
+def _levels(top: int) -> int:
+    """Levels that tile every range of indices up to ``top``: the highest has one block."""
+    return len(f"{top:x}") + 1
+
+
+def _range_blocks(a: Column, b: Column, levels: int) -> Column:
     """Array of (lv, blk) of the aligned blocks that tile the index range a .. b."""
     empty = F.array().cast("array<struct<lv:int,blk:bigint>>")
     start = F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), empty.alias("out"))
 
     def level(acc: Column, lv: Column) -> Column:
         lo, hi = acc["a"], acc["b"]
-        up = F.ceil(lo / RADIX) * RADIX  # first aligned block at or above lo
-        down = F.floor((hi + 1) / RADIX) * RADIX  # first index past the aligned part
+        up = lo + F.pmod(-lo, F.lit(RADIX))  # first aligned block at or above lo
+        down = hi + 1 - F.pmod(hi + 1, F.lit(RADIX))  # first index past the aligned part
         span = lambda x, y: F.when(x <= y, F.sequence(x, y)).otherwise(F.array().cast("array<bigint>"))
         left = span(lo, F.least(up - 1, hi))
         right = span(F.greatest(down, up, lo), hi)
         here = F.transform(F.concat(left, right), lambda k: F.struct(lv.cast("int").alias("lv"), k.alias("blk")))
-        return F.struct(F.floor(up / RADIX).alias("a"), (F.floor(down / RADIX) - 1).alias("b"), F.concat(acc["out"], here).alias("out"))
+        return F.struct(F.shiftright(up, 4).alias("a"), (F.shiftright(down, 4) - 1).alias("b"), F.concat(acc["out"], here).alias("out"))
 
-    done = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, level)
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, level)
     return done["out"]
 
 
@@ -269,7 +274,8 @@ def leave_group_out_threshold(df: DataFrame, group: str, score: str, y: str) ->
     curve = table.select("idx", (F.col("cp_total") - F.col("cp") + F.col("cn") - F.col("cp")).alias("t"))  # cut above the idx-th score
 
     # blocks: maximum, number of maxima and, for the look-up, the rank of each maximum inside its block
-    lv = curve.withColumn("lv", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("blk", F.floor(F.col("idx") / F.pow(F.lit(float(RADIX)), F.col("lv"))))
+    levels = _levels(table.agg(F.max("idx")).first()[0] or 0)
+    lv = curve.withColumn("lv", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("blk", F.floor(F.col("idx") / F.pow(F.lit(float(RADIX)), F.col("lv"))))
     counts = lv.groupBy("lv", "blk", "t").agg(F.count(F.lit(1)).alias("c"))
     best = counts.groupBy("lv", "blk").agg(F.max("t").alias("t"), F.max_by("c", "t").alias("c"))
     best = checkpointed(best)
@@ -287,7 +293,7 @@ def leave_group_out_threshold(df: DataFrame, group: str, score: str, y: str) ->
     points = o.where("holders > 1").join(curve, "idx").select("g", F.col("idx").alias("start"), (F.col("t") - F.col("off")).alias("v"), F.lit(1).cast("bigint").alias("c"), F.lit(None).cast("int").alias("lv"), F.lit(None).cast("bigint").alias("blk"))
     head = below.select("g", F.lit(1).cast("bigint").alias("a"), (F.col("first") - 1).alias("b"), F.col("own_pos").alias("off"))
     tail = o.crossJoin(F.broadcast(last)).select("g", (F.col("idx") + 1).alias("a"), (F.coalesce("nxt", F.col("top") + 1) - 1).alias("b"), "off")
-    ranges = head.unionByName(tail).where("a <= b").select("g", "off", F.explode(_range_blocks(F.col("a"), F.col("b"))).alias("r")).select("g", "off", "r.lv", "r.blk")
+    ranges = head.unionByName(tail).where("a <= b").select("g", "off", F.explode(_range_blocks(F.col("a"), F.col("b"), levels)).alias("r")).select("g", "off", "r.lv", "r.blk")
     pieces = ranges.join(best, ["lv", "blk"]).select("g", (F.col("blk") * F.pow(F.lit(float(RADIX)), F.col("lv"))).cast("bigint").alias("start"), (F.col("t") - F.col("off")).alias("v"), "c", "lv", "blk")
     pieces = checkpointed(point0.unionByName(points).unionByName(pieces))
 

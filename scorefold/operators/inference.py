@@ -4,8 +4,13 @@ column expressions on the few count rows that remain."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+import zlib
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,26 +19,62 @@ from scorefold.functions.columns import hash_int
 from scorefold.operators.ordered import percentiles, positions, value_counts
 from scorefold.operators.scores import count_if, spearman
 
-EXACT_LIMIT = 5000  # discordant pairs up to which the binomial sum is taken exactly
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of the package
 
 
 # --- distributions as columns -----------------------------------------------------------------------------------------
+TERMS = 400  # of a continued fraction; past convergence a further term changes nothing
+TINY = 1e-300
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905,
+           -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)  # fixed values: g = 7, nine coefficients
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def log_gamma(x: Column) -> Column:
+    """log Gamma(x) for x >= 0.5; Stirling's series takes over where Lanczos' sum loses digits to cancellation."""
+    y = x - 1.0
+    parts = F.lit(LANCZOS[0])
+    for i, v in enumerate(LANCZOS[1:], 1):
+        parts = parts + F.lit(v) / (y + i)
+    t = y + 7.5
+    near = F.lit(0.5 * math.log(2 * math.pi)) + (y + 0.5) * F.log(t) - t + F.log(parts)
+    far = (x - 0.5) * F.log(x) - x + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * x) - 1 / (360 * x * x * x)
+    return F.when(x < 1000, near).otherwise(far)
+
+
+def _fraction(steps: Callable[[Column], tuple[Column, Column]], first: Column, terms: Column | None = None) -> Column:
+    """Modified Lentz evaluation of first + a1 / (b1 + a2 / (b2 + ...)), with steps(i) = (a_i, b_i), over so many terms."""
+    guard = lambda v: F.when(F.abs(v) < TINY, F.lit(TINY)).otherwise(v)
+    start = F.struct(guard(first).alias("f"), guard(first).alias("c"), F.lit(0.0).alias("d"))
+
+    def step(acc: Column, i: Column) -> Column:
+        a, b = steps(i)
+        return let(F.struct((1 / guard(b + a * acc["d"])).alias("d"), guard(b + a / acc["c"]).alias("c")),
+                   lambda n: F.struct((acc["f"] * n["c"] * n["d"]).alias("f"), n["c"].alias("c"), n["d"].alias("d")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS) if terms is None else terms), start, step)["f"]
+
+
 def chi2_upper(x: Column, dof: Column) -> Column:
-    """Upper tail of the chi-square distribution for whole degrees of freedom, by the series of the lower gamma function."""
-    a, h = dof / 2.0, x / 2.0
-    # log Gamma(a + 1) for a = 1/2, 1, 3/2, ...
-    steps = F.sequence(F.lit(0), F.ceil(a).cast("int") - 1)
-    lg = F.aggregate(steps, F.when(F.pmod(dof, F.lit(2)) == 1, F.lit(0.5 * math.log(math.pi))).otherwise(F.lit(0.0)), lambda s, i: s + F.log(F.greatest(a - i, F.lit(1e-300))))
-    terms = F.sequence(F.lit(1), F.lit(200) + F.ceil(3 * h).cast("int"))
-    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+    """Upper tail of the chi-square distribution, Q(dof / 2, x / 2): one minus the lower series below dof + 2, a continued fraction
+    in log space above, so that a far tail is small and right instead of the rest of a subtraction."""
 
-    def add(acc: Column, n: Column) -> Column:
-        t = acc["t"] * h / (a + n)
-        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+    def tail(v: Column) -> Column:
+        a, h = v["a"], v["h"]
+        front = a * F.log(h) - h - log_gamma(a)
+        start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+        grow = lambda acc, n: let(acc["t"] * h / (a + n), lambda t: F.struct(t.alias("t"), (acc["s"] + t).alias("s")))
+        series = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS) + F.ceil(4 * F.sqrt(a)).cast("int")), start, grow)["s"]
+        low = F.greatest(F.lit(0.0), 1.0 - F.exp(front) * series / a)
+        high = F.exp(front) / _fraction(lambda i: (-i * (i - a), h + 2 * i + 1 - a), h + 1 - a)
+        return F.when(h < a + 1, low).otherwise(high)
 
-    series = F.aggregate(terms, start, add)["s"]
-    lower = F.exp(a * F.log(h) - h - lg) * series
-    return F.when(x <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - lower))
+    p = let(F.struct((dof / 2.0).alias("a"), (F.greatest(x, F.lit(0.0)) / 2.0).alias("h")), tail)
+    return F.when(x <= 0, 1.0).otherwise(p)
 
 
 def normal_two_sided(z: Column) -> Column:
@@ -41,47 +82,80 @@ def normal_two_sided(z: Column) -> Column:
 
 
 def binomial_half_two_sided(k: Column, n: Column) -> Column:
-    """Two-sided exact binomial test at one half of min(k, n - k) successes; 1 when there are no trials."""
-    small = F.least(k, n - k)
-    idx = F.sequence(F.lit(0).cast("bigint"), small)
-    start = F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("s"))
+    """Two-sided exact binomial test at one half: twice P(X <= s) = I_1/2(n - s, s + 1) with s = min(k, n - k), one formula for every
+    n; 1 when there are no trials or s is next to n / 2. The continued fraction needs terms like the root of n."""
+
+    def tail(v: Column) -> Column:
+        a, b = v["n"] - v["s"], v["s"] + 1
+        front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) - (a + b) * F.lit(math.log(2.0))) / a
 
-    def add(acc: Column, i: Column) -> Column:
-        here = acc["s"] + F.exp(acc["l"] - n * F.lit(math.log(2.0)))
-        return F.struct((acc["l"] + F.log(F.greatest(n - i, F.lit(1)).cast("double")) - F.log((i + 1).cast("double"))).alias("l"), here.alias("s"))
+        def step(i: Column) -> tuple[Column, Column]:
+            m = F.floor(i / 2).cast("double")
+            odd = -(a + m) * (a + b + m) / (2 * (a + 2 * m) * (a + 2 * m + 1))
+            even = m * (b - m) / (2 * (a + 2 * m - 1) * (a + 2 * m))
+            return F.when(F.pmod(i, F.lit(2)) == 1, odd).otherwise(even), F.lit(1.0)
 
-    exact = F.least(F.lit(1.0), 2.0 * F.aggregate(idx, start, add)["s"])
-    approx = normal_two_sided((F.abs(2 * k - n) - 1) / F.sqrt(n.cast("double")))
-    return F.when(n == 0, 1.0).when(n <= EXACT_LIMIT, exact).otherwise(approx)
+        return front / _fraction(step, F.lit(1.0), TERMS + F.ceil(4 * F.sqrt(v["n"])).cast("int"))
+
+    small = F.least(k, n - k)
+    p = let(F.struct(small.cast("double").alias("s"), n.cast("double").alias("n")), tail)
+    return F.when((n == 0) | (2 * small + 1 >= n), 1.0).otherwise(F.least(F.lit(1.0), 2.0 * p))
 
 
 def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided Fisher exact p of [[a, b], [c, d]]: tables no likelier than the observed one, margins fixed."""
-    r1, c1, n = a + b, a + c, a + b + c + d
-    lo, hi = F.greatest(F.lit(0), r1 + c1 - n), F.least(r1, c1)
-    idx = F.sequence(lo, hi)
-
-    def step(l: Column, k: Column) -> Column:
-        up = F.log(F.greatest((r1 - k) * (c1 - k), F.lit(1)).cast("double"))
-        return l + up - F.log(F.greatest((k + 1) * (n - r1 - c1 + k + 1), F.lit(1)).cast("double"))
-
-    first = F.aggregate(
-        idx, F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("at"), F.lit(-1e300).alias("top")),
-        lambda acc, k: F.struct(step(acc["l"], k).alias("l"), F.when(k == a, acc["l"]).otherwise(acc["at"]).alias("at"), F.greatest(acc["top"], acc["l"]).alias("top")))
-    second = F.aggregate(
-        idx, F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("all"), F.lit(0.0).alias("tail")),
-        lambda acc, k: F.struct(
-            step(acc["l"], k).alias("l"), (acc["all"] + F.exp(acc["l"] - first["top"])).alias("all"),
-            (acc["tail"] + F.when(acc["l"] <= first["at"] + 1e-7, F.exp(acc["l"] - first["top"])).otherwise(0.0)).alias("tail")))
-    return F.least(F.lit(1.0), second["tail"] / second["all"])
+    """Two-sided Fisher exact p of [[a, b], [c, d]]: tables no likelier than the observed one, margins fixed.
+
+    The table's probability has one mode, so these are two tails: one starts at the observed count, the start of the other is found by
+    bisection. Each is summed by ratios of neighbours over fifteen standard deviations, beyond which nothing is left.
+    """
+    r, q, n = a + b, a + c, a + b + c + d
+    margins = F.struct(a.cast("double").alias("a"), r.cast("double").alias("r"), q.cast("double").alias("q"), n.cast("double").alias("n"))
+
+    def solve(v: Column) -> Column:
+        a, r, q, n = v["a"], v["r"], v["q"], v["n"]
+        lo, hi = F.greatest(F.lit(0.0), r + q - n), F.least(r, q)
+        mode = F.least(hi, F.greatest(lo, F.floor((r + 1) * (q + 1) / (n + 2)).cast("double")))
+        lg = lambda x: log_gamma(x + 1)
+        top = lg(r) + lg(n - r) + lg(q) + lg(n - q) - lg(n)
+        logp = lambda k: top - lg(k) - lg(r - k) - lg(q - k) - lg(n - r - q + k)
+        spread = F.sqrt(r * q * (n - r) * (n - q) / F.greatest(F.lit(1.0), n * n * (n - 1)))
+        terms = F.lit(200) + F.ceil(15 * spread).cast("int")
+
+        def sum_from(k: Column, up: bool) -> Column:
+            """P(k), P(k +- 1), ... added up; 0 where k lies outside."""
+            ratio = (lambda x: (r - x) * (q - x) / ((x + 1) * (n - r - q + x + 1))) if up else (lambda x: x * (n - r - q + x) / ((r - x + 1) * (q - x + 1)))
+            start = F.struct(k.alias("k"), F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
+            move = lambda acc, _: F.struct((acc["k"] + (1 if up else -1)).alias("k"), F.when((acc["k"] >= lo) & (acc["k"] <= hi), acc["t"] * ratio(acc["k"])).otherwise(0.0).alias("t"), (acc["s"] + acc["t"]).alias("s"))
+            total = F.aggregate(F.sequence(F.lit(1), terms), start, move)["s"]
+            return F.when((k < lo) | (k > hi), 0.0).otherwise(F.exp(logp(k)) * total)
+
+        def other(limit: Column) -> Column:
+            # the nearest count on the far side of the mode that is no likelier than the observed one
+            left = a > mode
+            near, far = F.when(left, mode + 1).otherwise(mode - 1), F.when(left, lo - 1).otherwise(hi + 1)
+            start = F.struct(near.alias("near"), far.alias("far"))
+
+            def halve(acc: Column, _: Column) -> Column:
+                mid = F.floor((acc["near"] + acc["far"]) / 2).cast("double")
+                mid = F.when(mid == acc["near"], acc["far"]).otherwise(mid)
+                return let(mid, lambda m: F.when((m >= lo) & (m <= hi) & (logp(m) > limit), F.struct(m.alias("near"), acc["far"].alias("far"))).otherwise(F.struct(acc["near"].alias("near"), m.alias("far"))))
+
+            found = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, halve)["far"]
+            return let(found, lambda k: F.when(left, sum_from(k, False)).otherwise(sum_from(k, True)))
+
+        own = F.when(a > mode, sum_from(a, True)).otherwise(sum_from(a, False))
+        both = F.when(a == mode, F.lit(1.0)).otherwise(own + let(logp(a) + 1e-7, other))
+        return F.least(F.lit(1.0), both)
+
+    return let(margins, solve)
 
 
 # --- tests ------------------------------------------------------------------------------------------------------------
 def mcnemar_exact(pairs: DataFrame, by: Sequence[str], a: Column, b: Column) -> DataFrame:
-    """Discordant counts of two paired booleans and the exact two-sided p; ``exact`` tells whether the sum was exact."""
+    """Discordant counts of two paired booleans and the exact two-sided p."""
     g = pairs.groupBy(*by).agg(count_if(b & ~a).alias("b_only"), count_if(a & ~b).alias("a_only"))
     n = F.col("b_only") + F.col("a_only")
-    return g.withColumn("p", binomial_half_two_sided(F.col("b_only"), n)).withColumn("exact", (n <= EXACT_LIMIT).cast("int"))
+    return g.withColumn("p", binomial_half_two_sided(F.col("b_only"), n))
 
 
 def failure_counts(log: DataFrame, by: Sequence[str], stratum: str, event: Column) -> DataFrame:
@@ -127,14 +201,51 @@ def chi2_permutation(log: DataFrame, by: Sequence[str], ident: str, stratum: str
     return g.withColumn("p", (F.col("hits") + 1) / (F.col("draws") + 1))
 
 
-def failures_by_stratum(log: DataFrame, by: Sequence[str], stratum: str, event: Column) -> DataFrame:
-    """Independence test of failure and stratum per run: Fisher for two strata, chi-square otherwise, Holm over all runs."""
+def permutation_by_counts(counts: DataFrame, by: Sequence[str], stratum: str, draws: int, seed: int, chunk: int = 1000) -> DataFrame:
+    """(by, perm_p): Monte Carlo p of the strata x (failed, ok) table with both margins kept.
+
+    Which rows fail matters only through how many of each stratum do, so the counts are drawn (hypergeometric) and no row meets a
+    draw. Draws are spread over tasks in chunks; a chunk's generator is seeded by (seed, run, chunk), so a retry draws the same.
+    """
+    cells = counts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(stratum).cast("string").alias("s"), "failed", "ok"))).alias("cells"))
+    key = F.to_json(F.struct(*by)) if by else F.lit("")
+    parts = cells.select(key.alias("run"), F.col("cells.failed").alias("failed"), F.col("cells.ok").alias("ok"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(chunk))).alias("start"))
+    parts = parts.repartition("run", "start")
+
+    def task(batches):
+        for b in batches:
+            hits = []
+            for run, failed, ok, start in zip(b["run"], b["failed"], b["ok"], b["start"]):
+                rows = np.asarray(failed, np.int64) + np.asarray(ok, np.int64)
+                rng = np.random.default_rng([seed, zlib.crc32(run.encode()), int(start)])
+                drawn = rng.multivariate_hypergeometric(rows, int(np.sum(failed)), size=min(chunk, draws - int(start)), method="marginals")
+                hits.append(int((_chi2_of(drawn, rows) >= _chi2_of(np.asarray(failed)[None], rows) - 1e-12).sum()))
+            yield pd.DataFrame({"run": b["run"], "hits": hits})
+
+    hit = parts.mapInPandas(task, "run string, hits bigint").groupBy("run").agg(((F.sum("hits") + 1) / (draws + 1.0)).alias("perm_p"))
+    return cells.select(*by, key.alias("run")).join(hit, "run").drop("run")
+
+
+def _chi2_of(failed: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Chi-square statistics of many (failed) x stratum tables with the same row totals."""
+    share = failed.sum(1, keepdims=True) / rows.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = (failed - rows * share) ** 2 / (rows * share) + (failed - rows * share) ** 2 / (rows * (1 - share))
+    return np.where(np.isfinite(terms), terms, 0.0).sum(1)
+
+
+def failures_by_stratum(log: DataFrame, by: Sequence[str], stratum: str, event: Column, draws: int = 20_000, seed: int = 1) -> DataFrame:
+    """Independence test of failure and stratum per run: Fisher for two strata, chi-square otherwise, Holm over all runs. Where an
+    expected count is below five, ``perm_p`` holds the permutation p, as the chi-square approximation is unreliable there."""
     c = failure_counts(log, by, stratum, event)
     chi = chi2_rx2(c, by).select(*by, F.lit("chi-square").alias("test"), "n", "stat", "min_expected", "dof", "p")
     fish = fisher_2x2(c, by, stratum).select(*by, F.col("p").alias("fisher_p"), "odds_ratio")
     j = chi.join(fish, list(by), "left")
     two = F.col("fisher_p").isNotNull()
     j = j.withColumn("test", F.when(two, "fisher").otherwise(F.col("test"))).withColumn("p", F.coalesce("fisher_p", "p")).drop("fisher_p")
+    thin = chi.where((F.col("min_expected") < 5)).join(fish, list(by), "left_anti").select(*by)
+    perm = permutation_by_counts(c.join(thin, list(by), "left_semi"), by, stratum, draws, seed)
+    j = j.join(perm, list(by), "left")
     return holm(j, [], "p", list(by))
 
 

@@ -15,7 +15,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorefold.functions.columns import hash_int
+from scorefold.functions.columns import HASH_RANGE, hash_int
 from scorefold.operators.ordered import percentiles, positions
 from scorefold.operators.scores import average_precision, count_if
 from scorefold.session import checkpointed
@@ -54,12 +54,13 @@ def cluster_draws(df: DataFrame, by: Sequence[str], cluster: str, reps: int, see
 def poisson_weights(df: DataFrame, by: Sequence[str], cluster: str, reps: int, seed: int) -> DataFrame:
     """(by, rep, cluster, w) with independent Poisson(1) weights: for very many clusters, where G draws per replicate are not
     worth their shuffle. Cluster totals vary around G instead of equalling it."""
-    u = hash_int(seed, *by, "rep", cluster) / F.lit(4294967296.0)
-    cdf, acc = [], 0.0
-    for k in range(12):
-        acc += math.exp(-1.0) / math.factorial(k)
-        cdf.append(acc)
-    w = sum(((u >= F.lit(x)).cast("int") for x in cdf[1:]), (u >= F.lit(cdf[0])).cast("int"))
+    u = hash_int(seed, *by, "rep", cluster) / F.lit(HASH_RANGE)
+    cdf, term, total = [], math.exp(-1.0), 0.0
+    while total + term > total:  # until the table stops growing: no weight that a double can tell is left out
+        total += term
+        cdf.append(total)
+        term /= len(cdf)
+    w = F.size(F.filter(F.array(*map(F.lit, cdf)), lambda x: x <= u))
     base = df.select(*by, cluster).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     return base.withColumn("w", w.cast("bigint")).where("w > 0")
 

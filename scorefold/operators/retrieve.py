@@ -12,6 +12,7 @@ keeps the cells that may still hold one of its k nearest rows, and meets just th
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,14 +116,6 @@ def change_components(df: DataFrame, today: str = "today") -> DataFrame:
         "t3": A.change_class(two), "t5": A.change_class(two, 5), "a": A.grew("acres", "acres_prev", "new_acres")})
 
 
-def named_ladder(items: DataFrame, pool: DataFrame, name: str, k: int = K, seed: int = 1) -> DataFrame:
-    """Draws of a named ladder variant (see ``ladder_variants``)."""
-    spec = ladder_variants()[name]
-    if spec.get("fill"):
-        return retrieve_ladder_fill(items, pool, spec["components"], k, seed)
-    return retrieve_ladder(items, pool, spec["components"], spec.get("min_rows", 3), k, seed)
-
-
 def ladder_keys(df: DataFrame, components: Sequence[str], out: str = "lkey") -> DataFrame:
     """One row per ladder level: level n keys on the first n components."""
     levels = [F.struct(F.lit(n).alias("level"), F.concat_ws("|", F.lit(str(n)), *components[:n]).alias("key")) for n in range(1, len(components) + 1)]
@@ -380,30 +373,30 @@ def dynamics_profile(pool: DataFrame, classes: Sequence[str]) -> DataFrame:
     return agg.join(percentiles(long, classes, "__x", {"median_ratio": 0.5, "q25": 0.25, "q75": 0.75}), list(classes))
 
 
-# --- named variants ---------------------------------------------------------------------------------------------------
-def nearest_variants() -> dict[str, dict]:
-    """The twenty named nearest-row rules: scope x weights, capped versions and two ablations."""
-    scopes = {"band": "band", "pers": "pers_band", "all": None}
-    out = {f"nn_{s}_{w}": {"scope": c, "weights": WEIGHTS[w]} for s, c in scopes.items() for w in ("eq", "chg", "dyn", "sta")}
-    for s in ("pers", "all"):
-        out |= {f"nn_{s}_{w}_cap2": {"scope": scopes[s], "weights": WEIGHTS[w], "cap": 2} for w in ("chg", "dyn")}
-        out |= {f"nn_{s}_{w}": {"scope": scopes[s], "weights": WEIGHTS[w]} for w in ("nochg", "band3")}
-    return out
-
-
-def ladder_variants() -> dict[str, dict]:
-    """Named ladders: ``band`` then change components (p3 p5 p4x p6x p5s p7s t3 t5, a for growth), a threshold or filling."""
-    plain = ("p3", "p5", "p4x", "p6x", "p3 a", "p5 a", "p4x a", "p6x a", "a p4x", "p5s", "p5s a", "p7s", "p7s a", "p3 p5", "p3 p5 p6x", "p3 p5 p6x p7s", "p5 t3",
-             "p3 p5 t3", "p3 t3", "p5 t5", "t3 p5", "p6x t3", "p5 t3 a", "t3", "t5", "t3 p3", "t5 p5")
-    twice = ("p5s a", "p5s", "p5", "p3 p5", "p5 t3", "t3 p5")
-    name = lambda c: "ladder_" + c.replace(" ", "_")
-    out = {name(c): {"components": ("band", *c.split())} for c in plain}
-    out |= {name(c) + "_min6": {"components": ("band", *c.split()), "min_rows": 6} for c in twice}
-    out |= {name(c) + "_fill": {"components": ("band", *c.split()), "fill": True} for c in twice}
-    return out
-
-
-def quota_variants() -> dict[str, dict]:
-    """Quota rules: where p_move comes from (logistic, phase table, boosted trees) and how direction is handled."""
-    out = {f"quota_{m}{s}": {"source": m, "direction": d} for m in ("model", "phase") for s, d in (("", "mixed"), ("_trend", "trend"), ("_dir", "model"))}
-    return out | {"quota_gbt": {"source": "gbt", "direction": "mixed"}, "quota_gbt_dir": {"source": "gbt", "direction": "model"}}
+# --- rules as parameters ------------------------------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Nearest:
+    """A nearest-row rule: key column that both sides share (None: the whole pool), feature weights, rows per analogue incident."""
+
+    scope: str | None
+    weights: Sequence[float]
+    cap: int | None = None
+
+
+@dataclass(frozen=True)
+class Ladder:
+    """A ladder rule: key components from broad to narrow, rows that make a level serve, or filling level by level."""
+
+    components: Sequence[str]
+    min_rows: int = 3
+    fill: bool = False
+
+    def draw(self, items: DataFrame, pool: DataFrame, k: int = K, seed: int = 1) -> DataFrame:
+        if self.fill:
+            return retrieve_ladder_fill(items, pool, self.components, k, seed)
+        return retrieve_ladder(items, pool, self.components, self.min_rows, k, seed)
+
+
+# The rules that the registered queries run.
+NEAREST = {"nn_pers_chg": Nearest("pers_band", WEIGHTS["chg"]), "nn_band_eq": Nearest("band", WEIGHTS["eq"]), "nn_all_dyn_cap2": Nearest(None, WEIGHTS["dyn"], 2)}
+LADDERS = {"ladder": Ladder(("band", "t3", "p5")), "ladder_fill": Ladder(("band", "t3", "p5"), fill=True), "ladder_streak": Ladder(("band", "p5s", "a"))}

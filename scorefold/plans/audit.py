@@ -18,7 +18,7 @@ def responses(spark, sf):
     """Response log with raw text, token counts, declared caps, errors and served identifiers."""
     l, d, m = scored(spark, sf), F.col("item_id"), F.col("model")
     p, c = F.col("probability"), F.col("call")
-    both = F.concat(F.lit('{"probability": '), F.format_string("%.2f", p), F.lit(', "fire": '), F.when(c == 1, "true").otherwise("false"), F.lit("}"))
+    both = F.concat(F.lit('{"probability": '), F.format_string("%.2f", p), F.lit(', "fire": '), F.when(c == 1, "true").otherwise("false"), F.when(d % 29 != 0, "}").otherwise(""))
     raw = F.when(p.isNotNull() & c.isNotNull(), both).when(p.isNotNull(), F.concat(F.lit('{"probability": '), F.format_string("%.2f", p), F.lit("}")))
     raw = F.coalesce(raw, F.when(d % 34 == 0, "").when(d % 51 == 0, '{"probability": ').otherwise("no idea"))
     tokens = F.when(d % 10 == 0, 1024).otherwise((d * 31 + m * 17) % 300 + 50)
@@ -36,7 +36,7 @@ resp AS (SELECT *, CAST(CASE WHEN item_id % 41 <> 0 THEN CASE WHEN item_id % 10
   CAST(1024 AS BIGINT) AS max_out, CASE WHEN item_id % 19 = 0 AND model = 1 THEN 'timeout' END AS error,
   CASE WHEN model <> 2 OR item_id % 7 <> 0 THEN (item_id * 13 + model) % 211 END AS reasoning_tokens, probability IS NOT NULL AND call IS NOT NULL AS answered,
   'm' || model || CASE WHEN model = 1 AND item_id % 100 > 50 THEN '-b' ELSE '-a' END AS served,
-  CASE WHEN probability IS NOT NULL AND call IS NOT NULL THEN '{"probability": ' || printf('%.2f', probability) || ', "fire": ' || CASE WHEN call = 1 THEN 'true' ELSE 'false' END || '}'
+  CASE WHEN probability IS NOT NULL AND call IS NOT NULL THEN '{"probability": ' || printf('%.2f', probability) || ', "fire": ' || CASE WHEN call = 1 THEN 'true' ELSE 'false' END || CASE WHEN item_id % 29 <> 0 THEN '}' ELSE '' END
    WHEN probability IS NOT NULL THEN '{"probability": ' || printf('%.2f', probability) || '}' WHEN item_id % 34 = 0 THEN '' WHEN item_id % 51 = 0 THEN '{"probability": ' ELSE 'no idea' END AS raw,
   CASE WHEN probability IS NOT NULL AND call IS NOT NULL THEN 'answered' WHEN probability IS NOT NULL OR call IS NOT NULL THEN 'partial' ELSE 'failed' END AS state FROM scored),
 capt AS (SELECT model, arm, completion_tokens, count(*) AS n FROM resp WHERE completion_tokens IS NOT NULL GROUP BY ALL),
@@ -74,9 +74,12 @@ def _(spark, sf):
 
 @query("failure_table", f"""WITH {RESP} SELECT model, arm, count(*) AS attempted, count(*) FILTER (state = 'answered') AS answered, count(*) FILTER (state = 'partial') AS partial, count(*) FILTER (state = 'failed') AS failed,
 round(count(*) FILTER (state = 'failed') / count(*)::DOUBLE, 6) AS failure_rate, count(*) FILTER (cause = 'error_field') AS error_field, count(*) FILTER (cause LIKE 'output_cap%') AS output_cap, count(*) FILTER (cause = 'empty_body') AS empty_body,
-count(*) FILTER (cause LIKE 'schema_field%') AS field_missing, count(*) FILTER (cause LIKE 'unparsable%') AS unparsable, count(*) FILTER (state <> 'failed' AND at_cap) AS cut_but_scored FROM marked GROUP BY ALL""")
+count(*) FILTER (cause LIKE 'schema_field%') AS field_missing, count(*) FILTER (cause LIKE 'unparsable%') AS unparsable, count(*) FILTER (state = 'answered' AND item_id % 29 = 0) AS cut_but_scored, count(*) FILTER (state = 'answered' AND item_id % 29 = 0 AND at_cap) AS cut_at_cap,
+count(*) FILTER (item_id % 37 = 0) AS duplicates FROM marked GROUP BY ALL""")
 def _(spark, sf):
-    return S.rounded(A.failure_table(marked(spark, sf), BY))
+    log = responses(spark, sf).withColumn("at", F.lit(1))
+    old = log.where("item_id % 37 = 0").withColumns({"at": F.lit(0), "probability": F.lit(None).cast("double"), "raw": F.lit(""), "error": F.lit("timeout")})  # replaced rows
+    return S.rounded(A.failure_table(log.unionByName(old), BY, FIELDS, "item_id", "at"))
 
 
 @query("failure_examples", f"WITH {RESP}, r AS (SELECT model, arm, cause, item_id, row_number() OVER (PARTITION BY model, arm, cause ORDER BY item_id) AS example FROM marked WHERE cause IS NOT NULL) SELECT model, arm, cause, item_id, CAST(example AS INTEGER) AS example FROM r WHERE example <= 3")

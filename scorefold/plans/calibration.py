@@ -101,7 +101,7 @@ def _(spark, sf):
 
 
 @query("chance_band", f"""WITH {RW}, ob AS (SELECT model, arm, sum(n * abs(mean_p - rate)) / sum(n) AS ece FROM rw GROUP BY ALL),
-u AS (SELECT rw0.*, r.rep, CAST({md5_int("'3'", 'r.rep', 'model', 'arm', 'item_id')} / 4294967296.0::DOUBLE < score AS INTEGER) AS hit FROM rw0 CROSS JOIN range(100) r(rep)),
+u AS (SELECT rw0.*, r.rep, CAST({md5_int("'3'", 'r.rep', 'model', 'arm', 'item_id')} / 1152921504606846976.0::DOUBLE < score AS INTEGER) AS hit FROM rw0 CROSS JOIN range(100) r(rep)),
 d AS (SELECT model, arm, rep, bin, sum(score - hit) AS d, count(*) AS n FROM u GROUP BY ALL), e AS (SELECT model, arm, rep, sum(abs(d)) / sum(n) AS ece_draw FROM d GROUP BY ALL)
 SELECT e.model, e.arm, round(max(ece), 6) AS observed, round(quantile_cont(ece_draw, 0.95), 6) AS p95, round(avg(CAST(ece_draw >= ece - 1e-12 AS INTEGER)), 6) AS tail_share FROM e JOIN ob ON e.model = ob.model AND e.arm = ob.arm GROUP BY ALL""")
 def _(spark, sf):

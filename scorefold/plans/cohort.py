@@ -14,7 +14,7 @@ SEED = 20260915
 
 
 def md5_int(*parts):
-    return f"CAST(('0x' || substr(md5(concat_ws('|', {', '.join(str(p) for p in parts)})), 1, 8)) AS BIGINT)"
+    return f"CAST(('0x' || substr(md5(concat_ws('|', {', '.join(str(p) for p in parts)})), 1, 15)) AS BIGINT)"
 
 
 def items(spark, sf):

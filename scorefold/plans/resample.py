@@ -189,7 +189,7 @@ BIN_P = "CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum([
 MC = "mc AS (SELECT {k}, count(*) FILTER (cb = 1 AND ca = 0) AS b_only, count(*) FILTER (cb = 0 AND ca = 1) AS a_only, count(*) FILTER (ca <> cb) AS n FROM {src} GROUP BY ALL)"
 
 
-@query("mcnemar_exact", f"WITH {PD}, {MC.format(k='model, stratum', src='pd')} SELECT model, stratum, b_only, a_only, round({BIN_P}, 6) AS p, 1 AS exact FROM mc")
+@query("mcnemar_exact", f"WITH {PD}, {MC.format(k='model, stratum', src='pd')} SELECT model, stratum, b_only, a_only, round({BIN_P}, 6) AS p FROM mc")
 def _(spark, sf):
     return S.rounded(I.mcnemar_exact(correct_pairs(spark, sf), ["model", "stratum"], F.col("ca") == 1, F.col("cb") == 1))
 

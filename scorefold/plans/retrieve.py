@@ -122,7 +122,7 @@ lm AS (SELECT item_id, count(*) AS m0 FROM lx GROUP BY item_id), """ + floyd_sql
 
 @query("retrieve_ladder", f"WITH {LADDER} SELECT lx.item_id, analogue_id FROM lx JOIN fl ON lx.item_id = fl.item_id AND list_contains(s, idx)")
 def _(spark, sf):
-    return R.named_ladder(items(spark, sf), pool(spark, sf), "ladder_t3_p5", 6, SEED).select("item_id", "analogue_id")
+    return R.LADDERS["ladder"].draw(items(spark, sf), pool(spark, sf), 6, SEED).select("item_id", "analogue_id")
 
 
 FILL = LAD + """, lb AS (SELECT item_id, CASE WHEN n3 >= 6 THEN 3 WHEN n2 >= 6 THEN 2 ELSE 1 END AS base FROM lc),
@@ -134,12 +134,12 @@ om AS (SELECT ox.item_id, count(*) AS m0, 6 - coalesce(max(c), 0) AS need FROM o
 
 @query("retrieve_ladder_fill", f"WITH {FILL} SELECT ox.item_id, analogue_id FROM ox JOIN fl ON ox.item_id = fl.item_id AND list_contains(s, idx) UNION ALL SELECT item_id, analogue_id FROM inner_")
 def _(spark, sf):
-    return R.named_ladder(items(spark, sf), pool(spark, sf), "ladder_t3_p5_fill", 6, SEED).select("item_id", "analogue_id")
+    return R.LADDERS["ladder_fill"].draw(items(spark, sf), pool(spark, sf), 6, SEED).select("item_id", "analogue_id")
 
 
 @query("retrieve_ladder_streak")
 def _(spark, sf):
-    return R.named_ladder(items(spark, sf), pool(spark, sf), "ladder_p5s_a", 6, SEED).select("item_id", "analogue_id")
+    return R.LADDERS["ladder_streak"].draw(items(spark, sf), pool(spark, sf), 6, SEED).select("item_id", "analogue_id")
 
 
 # --- nearest ----------------------------------------------------------------------------------------------------------
@@ -163,19 +163,18 @@ def near_sql(weights, scope, cap=None):
 
 
 def nearest(name):
-    spec = R.nearest_variants()[name]
+    rule = R.NEAREST[name]
 
     def run(spark, sf):
         p = pool(spark, sf)
-        d = R.retrieve_nearest(items(spark, sf), p, R.fit_scales(p, "2024-01-20"), spec["scope"], spec["weights"], 6, spec.get("cap"), bucket_days=5)
+        d = R.retrieve_nearest(items(spark, sf), p, R.fit_scales(p, "2024-01-20"), rule.scope, rule.weights, 6, rule.cap, bucket_days=5)
         return d.select("item_id", "analogue_id", F.round("distance", 6).alias("distance"), "draw")
 
     return run
 
 
-for _name in ("nn_pers_chg", "nn_band_eq", "nn_all_dyn_cap2"):
-    _s = R.nearest_variants()[_name]
-    query(f"retrieve_{_name}", near_sql(_s["weights"], _s["scope"], _s.get("cap")))(nearest(_name))
+for _name, _rule in R.NEAREST.items():
+    query(f"retrieve_{_name}", near_sql(_rule.weights, _rule.scope, _rule.cap))(nearest(_name))
 
 
 @query("fit_scales", f"WITH {NEAR} SELECT " + ", ".join(f"round(m_{f}, 6) AS mean_{f}, round(s_{f}, 6) AS sd_{f}, n_{f}" for f in R.FEATURES) + " FROM sc")

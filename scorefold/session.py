@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,6 +47,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def _set_checkpoint_dir(spark: SparkSession) -> None:
+    """The folder the cluster names; only a local session, whose tasks share the driver's disk, may make one of its own."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="scorefold-checkpoint-"))

@@ -20,7 +20,7 @@ def _norm(v):
         v = float(v)
     if isinstance(v, float):
         if math.isnan(v):
-            return None
+            return "NaN"
         return round(v, 5) + 0.0
     if isinstance(v, (dt.datetime, dt.date)):
         return str(v)
@@ -59,6 +59,9 @@ def compare(df, con, sql):
     d_cols, d_rows, d_types = sql_rows(con, sql)
     if sorted(s_cols) != sorted(d_cols):
         return f"columns {sorted(s_cols)} vs {sorted(d_cols)}"
+    for c, i in zip(s_cols, range(len(s_cols))):
+        if any(isinstance(r[i], float) and math.isnan(r[i]) for r in s_rows):
+            return f"NaN in {c}"
     types = dict(df.dtypes)
     dtypes = dict(zip(d_cols, d_types))
     for c in s_cols:

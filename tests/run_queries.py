@@ -1,5 +1,6 @@
 """Compare registered queries with their SQL twins: ``python -m tests.run_queries SF_DIR [name-substring ...]``."""
 
+import os
 import sys
 import time
 
@@ -10,7 +11,7 @@ from tests.compare import compare, duck
 
 def main(argv):
     sf, wanted = argv[0], argv[1:]
-    spark = local_session("8")
+    spark = local_session(os.environ.get("SCOREFOLD_CORES", "8"))
     con = duck(sf)
     oracles = entry.oracle_sql()
     bad = 0

@@ -1,19 +1,15 @@
-"""Registered queries against their SQL twins on the smallest scale factor.
-
-By default one query in four, spread over all modules; ``SCOREFOLD_FULL=1`` runs every one of them.
-"""
-
-import os
+"""All registered queries against their SQL twins on the smallest scale factor; an empty or NaN result fails."""
 
 import pytest
 
 import __spark_entry__ as entry
+from scorefold.plans.registry import QUERIES
 from tests.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
 NAMES = sorted(ORACLES)
-CHOSEN = NAMES if os.environ.get("SCOREFOLD_FULL") else NAMES[::4]
+CHOSEN = [n for n in NAMES if n in QUERIES]  # the text operators have tests of their own
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +25,7 @@ def test_registry():
 @pytest.mark.parametrize("name", CHOSEN)
 def test_matches_sql(spark, con, name):
     diff = compare(entry.queries()[name](spark, SF), con, ORACLES[name])
-    assert diff in (None, "EMPTY"), diff
+    assert diff is None, diff
 
 
 def test_flagship(spark):
