@@ -196,6 +196,20 @@ def served_identity(log: DataFrame, file: Sequence[str], served: str) -> DataFra
     return g.withColumn("mixed", (F.col("identifiers") > 1).cast("int"))
 
 
+def served_by_section(log: DataFrame, section: str, file: Sequence[str], served: str) -> DataFrame:
+    """Per section: files, responses, and files that one identifier served throughout (a missing identifier is one of its own)."""
+    one = F.coalesce(F.col(served), F.lit("(none)"))
+    files = log.groupBy(section, *file).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(one).alias("identifiers"))
+    return files.groupBy(section).agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("responses"), count_if(F.col("identifiers") == 1).alias("uniform_files"))
+
+
+def served_by_model(log: DataFrame, model: str, file: Sequence[str], served: str) -> DataFrame:
+    """Per model: files, identifiers in order of their name with their rows."""
+    n = log.groupBy(model, F.coalesce(F.col(served), F.lit("(none)")).alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    names = n.groupBy(model).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__s", "__n"))), lambda x: F.concat_ws("=", x["__s"], x["__n"])), ", ").alias("identifiers"), F.sum("__n").alias("responses"))
+    return names.join(log.select(model, *file).distinct().groupBy(model).agg(F.count(F.lit(1)).alias("files")), model)
+
+
 def tag_crosstab(works: DataFrame, tags: str, kind: str, kinds: Sequence[str]) -> DataFrame:
     """Exploded tag x kind counts with row and column totals (``all``)."""
     long = works.select(F.explode(tags).alias("tag"), F.col(kind).alias("kind"))

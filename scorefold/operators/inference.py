@@ -261,9 +261,9 @@ def shared_baseline_null(df: DataFrame, ident: str, a: str, b: str, draws: int,
     """Permutation range of corr(a, b - a) when b is shuffled over the members, beside the observed value."""
     pos = positions(df.select(ident, a, b), [], [ident], "__i")
     reps = pos.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    shuffled = positions(reps.select("rep", ident, b).withColumn("__h", hash_int(seed, "rep", ident)), ["rep"], ["__h", ident], "__i", slices=1)
+    shuffled = positions(reps.select("rep", ident, b).withColumn("__h", hash_int(seed, "rep", ident)), ["rep"], ["__h", ident], "__i")
     j = reps.select("rep", "__i", a).join(shuffled.select("rep", "__i", F.col(b).alias("__b")), ["rep", "__i"]).withColumn("__d", F.round(F.col("__b") - F.col(a), 12))
-    null = spearman(j, ["rep"], a, "__d", slices=1)
+    null = spearman(j, ["rep"], a, "__d")
     q = F.percentile("rho", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     summary = null.agg(q[0].alias("lo"), q[1].alias("median"), q[2].alias("hi"), F.count(F.lit(1)).alias("draws"))
     obs = spearman(df.withColumn("__d", F.round(F.col(b) - F.col(a), 12)), [], a, "__d").select(F.col("rho").alias("observed"))

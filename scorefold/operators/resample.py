@@ -20,6 +20,7 @@ from scorefold.operators.ordered import percentiles, positions
 from scorefold.operators.scores import average_precision, count_if
 from scorefold.session import checkpointed
 
+DRAW_CHUNK = 1 << 16
 Z975 = 1.959963984540054  # fixed value: normal quantile at 0.975
 
 
@@ -37,10 +38,12 @@ def numbered_clusters(df: DataFrame, by: Sequence[str], cluster: str) -> DataFra
 
 
 def draw_indices(clusters: DataFrame, by: Sequence[str], reps: int, seed: int) -> DataFrame:
-    """(by, rep, idx): G draws with replacement per replicate. Replicates are spread over tasks before they are expanded."""
+    """(by, rep, idx): G draws with replacement per replicate. Chunks of draws are spread over tasks before they are expanded, so no
+    row and no task holds a replicate's draws, however fine the clusters are."""
     g = clusters.groupBy(*by).agg(F.max("g").alias("g"))
-    r = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(*by, "rep")
-    d = r.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1)))
+    r = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    r = r.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1, F.lit(DRAW_CHUNK).cast("bigint")))).repartition(*by, "rep", "__from")
+    d = r.withColumn("j", F.explode(F.sequence(F.col("__from"), F.least(F.col("g"), F.col("__from") + DRAW_CHUNK) - 1)))
     return d.select(*by, "rep", F.pmod(hash_int(seed, *by, "rep", "j"), F.col("g")).alias("idx"))
 
 
@@ -147,7 +150,7 @@ def bootstrap_ap(df: DataFrame, by: Sequence[str], cluster: str, scores: Sequenc
     for s in scores:
         cells = keep.groupBy(*by, cluster, F.col(s).alias("__s"), label).agg(F.count(F.lit(1)).alias("__n"))
         rep = cells.join(w, [*by, cluster]).groupBy(*by, "rep", "__s", label).agg(F.sum(F.col("__n") * F.col("w")).alias("__w"))
-        ap = average_precision(rep, [*by, "rep"], "__s", label, F.col("__w"), slices=1, out=f"ap_{s}").select(*by, "rep", f"ap_{s}")
+        ap = average_precision(rep, [*by, "rep"], "__s", label, F.col("__w"), out=f"ap_{s}").select(*by, "rep", f"ap_{s}")
         pt = average_precision(keep, by, s, label, out=f"ap_{s}").select(*by, f"ap_{s}")
         out = ap if out is None else out.join(ap, [*by, "rep"])
         point = pt if point is None else point.join(pt, list(by))
@@ -177,7 +180,7 @@ def bootstrap_median_difference(df: DataFrame, by: Sequence[str], ident: str, va
     rows = checkpointed(df.withColumn("__g", group.cast("int")).where(F.col("__g").isNotNull()).select(*by, ident, "__g", value))
     w = cluster_draws(rows, [*by, "__g"], ident, reps, seed)
     j = rows.join(w, [*by, "__g", ident]).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("w"))))
-    med = percentiles(j, [*by, "rep", "__g"], value, {"m": 0.5}, slices=1)
+    med = percentiles(j, [*by, "rep", "__g"], value, {"m": 0.5})
     d = med.groupBy(*by, "rep").agg((F.max(F.when(F.col("__g") == 1, F.col("m"))) - F.max(F.when(F.col("__g") == 0, F.col("m")))).alias("v"))
     return percentile_interval(d, by, "v")
 

@@ -6,7 +6,7 @@ with counts and sliced running sums, so one very large run does not meet one tas
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,8 +148,10 @@ def time_to_detection(log: DataFrame, run: Sequence[str], seq: str = "sequence",
     return _with_medians(agg, percentiles(first, run, "first_hit", {"median_offset": 0.5}), run)
 
 
-def call_detail(log: DataFrame, by: Sequence[str], label: str = "label") -> DataFrame:
-    """Omitted and stated calls, calls imputed from the probability, scored call rate and F1."""
+def call_detail(log: DataFrame, by: Sequence[str], label: str = "label", delta: Column | None = None) -> DataFrame:
+    """Omitted and stated calls, calls imputed from the probability, scored call rate and F1. With ``delta``, a shift of the log odds that
+    is the same in all rows of a group, also the rate and F1 of calls at one half after the shift, and the stated probability that the
+    shift moves to one half."""
     stated = F.col("call")
     said = F.coalesce(stated, (F.col("score") >= 0.5).cast("int"))
     y = F.col(label) == 1
@@ -161,9 +163,48 @@ def call_detail(log: DataFrame, by: Sequence[str], label: str = "label") -> Data
         count_if(stated.isNull() & (said == 1)).alias("imputed_yes"),
         share(said == 1).alias("call_rate"),
         (2.0 * tp / F.greatest(2 * tp + fp + fn, F.lit(1))).alias("f1"),
+        *_shifted_calls(y, delta),
     )
 
 
+def _shifted_calls(y: Column, delta: Column | None) -> list[Column]:
+    if delta is None:
+        return []
+    even = 1 / (1 + F.exp(delta))
+    yes = F.col("score") >= even
+    tp, wrong = count_if(y & yes), count_if(y != yes)
+    return [share(yes).alias("shifted_call_rate"), (2.0 * tp / F.greatest(2 * tp + wrong, F.lit(1))).alias("shifted_f1"), F.max(even).alias("equivalent_threshold")]
+
+
+def answer_counts(log: DataFrame, by: Sequence[str], prediction: str, error: str, stop: str, calls: str | None = None) -> DataFrame:
+    """Rows, errors, unparsed rows without an error and rows cut by the provider per group; with ``calls``, mean tool calls and rows
+    without any."""
+    bad = F.coalesce(F.col(error) != "", F.lit(False))
+    more = [] if calls is None else [F.avg(F.coalesce(F.col(calls), F.lit(0)).cast("double")).alias("mean_calls"), count_if(F.coalesce(F.col(calls), F.lit(0)) == 0).alias("no_call_items")]
+    return log.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), count_if(bad).alias("errors"), count_if(F.col(prediction).isNull() & ~bad).alias("unparsed"),
+        count_if(F.col(stop).isin("max_tokens", "length")).alias("truncated"), *more)
+
+
+def modal_answer(items: DataFrame, by: Sequence[str], answer: Column, share_name: str = "modal") -> DataFrame:
+    """The commonest answer of each group (of equal ones the smallest) and its share: the score of repeating it."""
+    n = items.groupBy(*by, answer.alias("modal_answer")).agg(F.count(F.lit(1)).alias("__n"))
+    best = F.min(F.struct((-F.col("__n")).alias("k"), "modal_answer"))["modal_answer"]
+    return n.groupBy(*by).agg(best.alias("modal_answer"), F.sum("__n").alias("n"), (F.max("__n") / F.sum("__n")).alias(share_name))
+
+
+def combined_baseline(choices: DataFrame, texts: DataFrame, pair: str, options: str = "options", gold: str = "answer", fold: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """One row: first option on the choice items, commonest answer on the text items, both together over all items, and how often copying
+    a pair's choice answer answers its text item."""
+    first = choices.agg(F.count(F.lit(1)).alias("n_choice"), count_if(F.get(F.col(options), F.lit(0)) == F.col(gold)).alias("first_hits"))
+    modal = modal_answer(texts, [], fold(F.col(gold))).select(F.col("n").alias("n_text"), F.round(F.col("modal") * F.col("n")).cast("bigint").alias("modal_hits"))
+    both = choices.select(pair, fold(F.col(gold)).alias("__a")).join(texts.select(pair, fold(F.col(gold)).alias("__b")), pair)
+    copied = both.agg(count_if(F.col("__a") == F.col("__b")).alias("copied"))
+    one = first.crossJoin(modal).crossJoin(copied)  # three one-row tables
+    return one.select("n_choice", "n_text", "first_hits", "modal_hits", "copied", ((F.col("first_hits") + F.col("modal_hits")) / (F.col("n_choice") + F.col("n_text"))).alias("combined"),
+                      (F.col("copied") / F.col("n_text")).alias("copy_across"))
+
+
 # --- ranking ----------------------------------------------------------------------------------------------------------
 def _score_counts(df: DataFrame, by: Sequence[str], score: str, label: str, weight: Column | None, slices: int | None) -> DataFrame:
     """Distinct scores, descending, with (weighted) positives and rows and their inclusive running sums."""

@@ -126,6 +126,22 @@ def _(spark, sf):
     return A.served_identity(responses(spark, sf), BY, "served")
 
 
+@query("served_by_section", f"WITH {RESP}, f AS (SELECT arm, model, count(*) AS r, count(DISTINCT served) AS i FROM resp GROUP BY ALL) SELECT arm, count(*) AS files, CAST(sum(r) AS BIGINT) AS responses, count(*) FILTER (i = 1) AS uniform_files FROM f GROUP BY arm")
+def _(spark, sf):
+    return A.served_by_section(responses(spark, sf), "arm", ["model"], "served")
+
+
+@query("served_by_model", f"WITH {RESP}, f AS (SELECT model, served, count(*) AS r FROM resp GROUP BY ALL) SELECT f.model, string_agg(served || '=' || r, ', ' ORDER BY served) AS identifiers, CAST(sum(r) AS BIGINT) AS responses, max(files) AS files FROM f JOIN (SELECT model, count(DISTINCT arm) AS files FROM resp GROUP BY model) n ON n.model = f.model GROUP BY f.model")
+def _(spark, sf):
+    return A.served_by_model(responses(spark, sf), "model", ["arm"], "served")
+
+
+@query("answer_counts", f"WITH {RESP} SELECT model, arm, count(*) AS n, count(*) FILTER (error IS NOT NULL) AS errors, count(*) FILTER (probability IS NULL AND error IS NULL) AS unparsed, count(*) FILTER (completion_tokens >= max_out) AS truncated, round(avg(item_id % 4), 6) AS mean_calls, count(*) FILTER (item_id % 4 = 0) AS no_call_items FROM resp GROUP BY ALL")
+def _(spark, sf):
+    log = responses(spark, sf).withColumn("stop", F.when(F.col("completion_tokens") >= F.col("max_out"), "length").otherwise("end")).withColumn("calls", F.col("item_id") % 4)
+    return S.rounded(S.answer_counts(log, BY, "probability", "error", "stop", "calls"))
+
+
 @query("label_alignment", f"WITH {RESP} SELECT model, arm, count(*) AS rows, count(DISTINCT item_id) AS ids, 0::BIGINT AS unknown, 0::BIGINT AS label_conflicts, 0::BIGINT AS reparse_conflicts FROM resp GROUP BY ALL")
 def _(spark, sf):
     again = X.parse_prob_call("raw")["probability"]

@@ -81,9 +81,11 @@ def _(spark, sf):
 
 
 @query("call_detail", f"""WITH {B} SELECT model, arm, count(*) AS n, count(*) FILTER (call IS NULL) AS omitted, count(*) FILTER (call = 1) AS stated_yes, count(*) FILTER (call IS NULL AND said = 1) AS imputed_yes, round(avg(CAST(said = 1 AS INTEGER)), 6) AS call_rate,
-round(2.0 * count(*) FILTER (label = 1 AND said = 1) / greatest(2 * count(*) FILTER (label = 1 AND said = 1) + count(*) FILTER (label = 0 AND said = 1) + count(*) FILTER (label = 1 AND said = 0), 1), 6)::DOUBLE AS f1 FROM s GROUP BY ALL""")
+round(2.0 * count(*) FILTER (label = 1 AND said = 1) / greatest(2 * count(*) FILTER (label = 1 AND said = 1) + count(*) FILTER (label = 0 AND said = 1) + count(*) FILTER (label = 1 AND said = 0), 1), 6)::DOUBLE AS f1,
+round(avg(CAST(score >= 1 / (1 + exp(0.4 * model - 0.5)) AS INTEGER)), 6) AS shifted_call_rate, round(2.0 * count(*) FILTER (label = 1 AND score >= 1 / (1 + exp(0.4 * model - 0.5))) / greatest(2 * count(*) FILTER (label = 1 AND score >= 1 / (1 + exp(0.4 * model - 0.5))) + count(*) FILTER ((label = 1) <> (score >= 1 / (1 + exp(0.4 * model - 0.5)))), 1), 6)::DOUBLE AS shifted_f1,
+round(max(1 / (1 + exp(0.4 * model - 0.5))), 6) AS equivalent_threshold FROM s GROUP BY ALL""")
 def _(spark, sf):
-    return S.rounded(S.call_detail(scored(spark, sf), BOTH))
+    return S.rounded(S.call_detail(scored(spark, sf), BOTH, delta=0.4 * F.col("model") - 0.5))
 
 
 AP = """h AS (SELECT model, arm, score, sum(label) AS pos, count(*) AS n FROM s GROUP BY ALL),
@@ -274,7 +276,25 @@ def _(spark, sf):
     return S.rounded(S.matched_comparator(ans, V.paired_items(spark, sf), ["model"], "item_id", {"length": F.col("n_chars"), "toxic": F.col("toxic")}, "label"))
 
 
-@query("option_position_baselines", """WITH g AS (SELECT o_orderkey, list(l_shipmode ORDER BY l_linenumber, l_shipmode) AS o FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) * CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 100 END AS VARCHAR) AS l_shipmode FROM lineitem) GROUP BY o_orderkey),
+@query("modal_answer", "WITH n AS (SELECT o_orderstatus, o_orderpriority AS modal_answer, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY n DESC, modal_answer) AS k, sum(n) OVER (PARTITION BY o_orderstatus) AS t FROM n) SELECT o_orderstatus, modal_answer, CAST(t AS BIGINT) AS n, round(n / t::DOUBLE, 6) AS modal FROM r WHERE k = 1")
+def _(spark, sf):
+    return S.rounded(S.modal_answer(V.table(spark, sf, "orders"), ["o_orderstatus"], F.col("o_orderpriority")))
+
+
+@query("combined_baseline", """WITH c AS (SELECT o_orderkey AS pair, o_orderpriority AS answer, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE 'x' END AS head FROM orders),
+t AS (SELECT l_orderkey AS pair, CASE WHEN l_orderkey % 5 = 0 THEN o_orderpriority ELSE l_returnflag END AS answer FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
+m AS (SELECT max(n) AS modal_hits, CAST(sum(n) AS BIGINT) AS n_text FROM (SELECT answer, count(*) AS n FROM t GROUP BY answer)), f AS (SELECT count(*) AS n_choice, count(*) FILTER (head = answer) AS first_hits FROM c),
+p AS (SELECT count(*) FILTER (c.answer = t.answer) AS copied FROM c JOIN t USING (pair))
+SELECT n_choice, n_text, first_hits, modal_hits, copied, round((first_hits + modal_hits) / (n_choice + n_text)::DOUBLE, 6) AS combined, round(copied / n_text::DOUBLE, 6) AS copy_across FROM f, m, p""")
+def _(spark, sf):
+    o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pair"), F.col("o_orderpriority").alias("answer"))
+    choices = o.withColumn("options", F.array(F.when(F.col("pair") % 3 == 0, F.col("answer")).otherwise("x")))
+    l = V.table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("pair"), "l_returnflag").join(o, "pair")
+    texts = l.select("pair", F.when(F.col("pair") % 5 == 0, F.col("answer")).otherwise(F.col("l_returnflag")).alias("answer"))
+    return S.rounded(S.combined_baseline(choices, texts, "pair"))
+
+
+@query("option_position_baselines", """WITH g AS (SELECT o_orderkey, list(l_returnflag ORDER BY l_linenumber, l_returnflag) AS o FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) * CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 100 END AS VARCHAR) AS l_returnflag FROM lineitem) GROUP BY o_orderkey),
 b AS (SELECT o_orderpriority, o, list_extract(o, 1 + CAST(g.o_orderkey % len(o) AS BIGINT)) AS ans, list_sort([{'l': length(o[CAST(i AS BIGINT)]), 'i': i} FOR i IN range(1, len(o) + 1)]) AS up, list_sort([{'l': -length(o[CAST(i AS BIGINT)]), 'i': i} FOR i IN range(1, len(o) + 1)]) AS dn FROM g JOIN orders ON g.o_orderkey = orders.o_orderkey),
 s AS (SELECT o_orderpriority, count(*) AS n, avg(CAST(o[1] = ans AS INTEGER)) AS first, avg(CAST(o[-1] = ans AS INTEGER)) AS last, avg(CAST(o[CAST(up[1].i AS BIGINT)] = ans AS INTEGER)) AS shortest, avg(CAST(o[CAST(dn[1].i AS BIGINT)] = ans AS INTEGER)) AS longest FROM b GROUP BY ALL)
 SELECT o_orderpriority, n, round(first, 6) AS "first", round(last, 6) AS "last", round(shortest, 6) AS shortest, round(longest, 6) AS longest, round(1.96::DOUBLE * sqrt(first * (1 - first) / n), 6) AS first_halfwidth FROM s""")
