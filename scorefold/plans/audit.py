@@ -278,7 +278,10 @@ def _(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", C.stable_fold("doc_id").alias("fold"))
 
 
-@query("stable_seed")
+@query("stable_seed", """WITH b AS (SELECT doc_id, concat_ws('|', source, lang, doc_id) AS t FROM documents),
+x AS (SELECT doc_id, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(t) + 1), lambda i: CAST(ord(t[i]) AS BIGINT))),
+ lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))) AS r FROM b)
+SELECT doc_id, (20260915 + xor(r, 4294967295::BIGINT)) % 4294967296 AS seed FROM x""")
 def _(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", C.stable_seed(20260915, "source", "lang", "doc_id").alias("seed"))
 

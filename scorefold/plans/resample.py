@@ -306,7 +306,11 @@ def _(spark, sf):
     return flags.join(hit, "model", "left").withColumn("sensitive", F.coalesce("sensitive", F.lit(0)))
 
 
-@query("poisson_weights")
+@query("poisson_weights", f"""WITH RECURSIVE {V.PAIRED}, c AS (SELECT DISTINCT cluster FROM items),
+pk(k, term, total) AS (SELECT 0, exp(-1.0::DOUBLE), exp(-1.0::DOUBLE) UNION ALL SELECT k + 1, term / (k + 1), total + term / (k + 1) FROM pk WHERE k < 25),
+u AS (SELECT cluster, rep, {md5_int(f"'{SEED}'", 'rep', 'cluster')} / 1152921504606846976.0::DOUBLE AS u FROM c, range({REPS}) t(rep)),
+w AS (SELECT cluster, rep, (SELECT count(*) FROM pk WHERE total <= u.u) AS w FROM u)
+SELECT cluster, CAST(sum(w) AS BIGINT) AS w, count(*) AS reps FROM w WHERE w > 0 GROUP BY cluster""")
 def _(spark, sf):
     w = R.poisson_weights(V.paired_items(spark, sf), [], "cluster", REPS, SEED)
     return w.groupBy("cluster").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("reps"))

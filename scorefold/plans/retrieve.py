@@ -111,13 +111,22 @@ def _(spark, sf):
 
 
 # --- ladder -----------------------------------------------------------------------------------------------------------
-LAD = ITEMS_P + f""",
-lp AS (SELECT *, {c3(RT('prev2'))} AS t3, {c5(RT('prev'))} AS p5 FROM pool), li AS (SELECT *, {c3(RT('prev2'))} AS t3, {c5(RT('prev'))} AS p5 FROM it),
-le AS (SELECT i.item_id, p.analogue_id, p.report_date, 1 + CAST(p.t3 = i.t3 AS INTEGER) + CAST(p.t3 = i.t3 AND p.p5 = i.p5 AS INTEGER) AS depth FROM li i JOIN lp p ON p.band = i.band AND p.incident_id <> i.incident_id AND p.report_date + 1 < i.report_date),
+def ladder_levels(second, third):
+    """Depth to which pool rows match an item on the band, a second and a third component."""
+    return ITEMS_P + f""",
+lp AS (SELECT *, {second} AS k2, {third} AS k3 FROM pool), li AS (SELECT *, {second} AS k2, {third} AS k3 FROM it),
+le AS (SELECT i.item_id, p.analogue_id, p.report_date, 1 + CAST(p.k2 = i.k2 AS INTEGER) + CAST(p.k2 = i.k2 AND p.k3 = i.k3 AS INTEGER) AS depth FROM li i JOIN lp p ON p.band = i.band AND p.incident_id <> i.incident_id AND p.report_date + 1 < i.report_date),
 lc AS (SELECT item_id, count(*) AS n1, count(*) FILTER (depth >= 2) AS n2, count(*) FILTER (depth >= 3) AS n3 FROM le GROUP BY item_id)"""
-LADDER = LAD + """, ll AS (SELECT item_id, CASE WHEN n3 >= 3 THEN 3 WHEN n2 >= 3 THEN 2 ELSE 1 END AS lvl FROM lc),
+
+
+LAD = ladder_levels(c3(RT("prev2")), c5(RT("prev")))
+SERVED = """, ll AS (SELECT item_id, CASE WHEN n3 >= 3 THEN 3 WHEN n2 >= 3 THEN 2 ELSE 1 END AS lvl FROM lc),
 lx AS (SELECT le.*, row_number() OVER (PARTITION BY le.item_id ORDER BY report_date, analogue_id) - 1 AS idx FROM le JOIN ll ON le.item_id = ll.item_id WHERE depth >= lvl),
 lm AS (SELECT item_id, count(*) AS m0 FROM lx GROUP BY item_id), """ + floyd_sql("lm", "item_id", "m0", "6", "item_id", SEED, "fl")
+LADDER = LAD + SERVED
+STREAK = ladder_levels(
+    f"CASE WHEN prev IS NULL THEN 'u' WHEN today = prev THEN CASE WHEN prev2 = today THEN 'ee' ELSE 'e' END WHEN {c3(RT('prev'))} = 'h' THEN 's' ELSE {c3(RT('prev'))} END",
+    "CASE WHEN acres IS NOT NULL AND acres_prev IS NOT NULL THEN CASE WHEN acres > acres_prev THEN 'y' ELSE 'n' END WHEN new_acres IS NOT NULL THEN CASE WHEN new_acres > 0 THEN 'y' ELSE 'n' END ELSE 'u' END") + SERVED
 
 
 @query("retrieve_ladder", f"WITH {LADDER} SELECT lx.item_id, analogue_id FROM lx JOIN fl ON lx.item_id = fl.item_id AND list_contains(s, idx)")
@@ -137,7 +146,7 @@ def _(spark, sf):
     return R.LADDERS["ladder_fill"].draw(items(spark, sf), pool(spark, sf), 6, SEED).select("item_id", "analogue_id")
 
 
-@query("retrieve_ladder_streak")
+@query("retrieve_ladder_streak", f"WITH {STREAK} SELECT lx.item_id, analogue_id FROM lx JOIN fl ON lx.item_id = fl.item_id AND list_contains(s, idx)")
 def _(spark, sf):
     return R.LADDERS["ladder_streak"].draw(items(spark, sf), pool(spark, sf), 6, SEED).select("item_id", "analogue_id")
 
