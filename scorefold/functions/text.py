@@ -20,7 +20,12 @@ FORBIDDEN_SQL = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "ATTAC
 SQL_NOISE = r"""--[^\r\n]*|/\*[\s\S]*?(?:\*/|$)|'(?:[^']|'')*'?|"(?:[^"]|"")*"?"""
 # Words that name a time of day or elapsed time.
 TIME_OF_DAY = r"(?i)\b(dawn|morning|noon|afternoon|evening|dusk)\b"
-ELAPSED = r"(?i)\b(?:minutes?|hours?|seconds?) (?:ago|later|earlier|before|after)\b|\b\d{1,2}:\d{2}\b"
+# Words that name elapsed time or a clock, a clock reading, a date and an epoch; local hours [from, to) of a time-of-day word.
+ELAPSED = (
+    r"(?i)\b(?:minutes?|mins?|hours?|hrs?|seconds?|timestamps?|clock|o'clock|elapsed|time|times|date|dated|epoch|a\.?m\.?|p\.?m\.?|utc|pst|pdt|overlay)\b"
+)
+CLOCK_OR_DATE = r"\b\d{1,2}:\d{2}\b|\b20\d\d-\d\d-\d\d\b|\b1[67]\d{8}\b"
+HOURS = {"dawn": (0, 12), "morning": (0, 12), "noon": (11, 13), "afternoon": (12, 24), "evening": (12, 24), "dusk": (12, 24)}
 
 
 def nonempty(x: Column) -> Column:
@@ -225,14 +230,15 @@ def probe_counts(text: Column | str, words: Sequence[str]) -> dict[str, Column]:
 
 
 def time_words(raw: Column | str, taken: Column | str, tz: str = "America/Los_Angeles") -> Column:
-    """Struct (elapsed, words, fits): whether elapsed time or a clock is named, the time-of-day words, and whether each
+    """Struct (elapsed, words, fits): whether elapsed time, a clock, a date or an epoch is named, the time-of-day words, and whether each
     fits the local capture hour."""
     t = F.coalesce(c(raw), F.lit(""))
     words = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(TIME_OF_DAY), F.lit(1)), lambda w: F.lower(w))))
     h = F.hour(F.from_utc_timestamp(c(taken), tz))
-    ok = lambda w: F.when(w.isin("dawn", "morning"), h < 12).when(w == "noon", (h >= 11) & (h < 13)).otherwise(h >= 12)
+    bound = lambda w, i: F.element_at(F.create_map(*[F.lit(v) for k, b in HOURS.items() for v in (k, b[i])]), w)
+    ok = lambda w: (h >= bound(w, 0)) & (h < bound(w, 1))
     return F.struct(
-        t.rlike(ELAPSED).cast("int").alias("elapsed"), F.array_join(words, ",").alias("words"),
+        (t.rlike(ELAPSED) | t.rlike(CLOCK_OR_DATE)).cast("int").alias("elapsed"), F.array_join(words, ",").alias("words"),
         F.when(F.size(words) > 0, F.forall(words, ok).cast("int")).alias("fits"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorefold.functions.columns import HASH_RANGE, hash_int
-from scorefold.operators.ordered import MAX_SLICES, SLICES, neighbour, neighbours_both, positions, running, sliced
+from scorefold.operators.ordered import SLICES, neighbour, neighbours_both, positions, running, slice_count, sliced
 from scorefold.operators.scores import average_precision, count_if
 from scorefold.session import checkpointed
 
@@ -116,34 +117,37 @@ def group_folds(df: DataFrame, cluster: str, k: int, seed: int, fold: str = "fol
     return df.join(c.select(cluster, f.cast("int").alias(fold)), cluster)
 
 
-SLICE_VALUES = 100_000  # distinct values a pandas task pools at once
+SLICE_ROWS = 10_000  # blocks that one task pools without help
 
 
 def _pool_adjacent(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pool adjacent violators of blocks (x_lo, x_hi, n, s) sorted by x: merge while a mean exceeds the next one."""
-    lo, hi, n, s = [], [], [], []
-    for a, b, w, t in zip(pdf["x_lo"], pdf["x_hi"], pdf["n"], pdf["s"]):
-        lo.append(a), hi.append(b), n.append(w), s.append(t)
-        while len(n) > 1 and s[-2] * n[-1] >= s[-1] * n[-2]:
-            hi[-2], n[-2], s[-2] = hi[-1], n[-2] + n[-1], s[-2] + s[-1]
-            lo.pop(), hi.pop(), n.pop(), s.pop()
-    return pd.DataFrame({"x_lo": lo, "x_hi": hi, "n": n, "s": s})
+    """Pool adjacent violators of blocks (x_lo, x_hi, n, s) sorted by x: merge while a mean reaches the next one."""
+    x_lo, x_hi, n, s = (pdf[c].to_numpy() for c in ("x_lo", "x_hi", "n", "s"))
+    first, size, total = np.empty(len(n), np.int64), np.empty(len(n)), np.empty(len(n))  # a stack of blocks
+    top = -1
+    for i, (w, t) in enumerate(zip(n.tolist(), s.tolist())):
+        at = i
+        while top >= 0 and total[top] * w >= t * size[top]:
+            at, w, t = first[top], size[top] + w, total[top] + t
+            top -= 1
+        top += 1
+        first[top], size[top], total[top] = at, w, t
+    first = first[: top + 1]
+    return pd.DataFrame({"x_lo": x_lo[first], "x_hi": x_hi[np.append(first[1:], len(n)) - 1], "n": size[: top + 1], "s": total[: top + 1]})
 
 
 def isotonic_blocks(df: DataFrame, by: Sequence[str], x: str, y: str, weight: Column | None = None, slices: int | None = SLICES) -> DataFrame:
     """Blocks (x_lo, x_hi, value, n) of the weighted isotonic fit per group.
 
-    Distinct x are counted first, slices of a group are pooled on their own, and only the surviving blocks of the slices meet:
-    pooling blocks of contiguous slices gives the fit of the whole group.
+    Distinct x are counted first; then rounds pool the blocks of contiguous slices, each slice in its own task, with other slice
+    boundaries in every round, until no neighbours violate the order. Pooling in any order gives the same fit. A run that spans many
+    slices shrinks to a block per slice in the first round, so the rounds are few; what already rises is read once and stays spread.
     """
     by = list(by)
     w = F.lit(1.0) if weight is None else weight.cast("double")
     hist = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("x_lo")).agg(F.sum(w).alias("n"), F.sum(w * F.col(y).cast("double")).alias("s"))
-    hist = checkpointed(hist.where(F.col("n") > 0))
-    if slices is None:
-        slices = min(MAX_SLICES, max(2, hist.count() // SLICE_VALUES))
-    cut = sliced(hist, by, ["x_lo"], slices).select(*by, F.col("__slice").alias("part"), "x_lo", F.col("x_lo").alias("x_hi"), "n", "s")
-    keys = {c: t for c, t in cut.dtypes if c in by}
+    blocks = checkpointed(hist.where(F.col("n") > 0).select(*by, "x_lo", F.col("x_lo").alias("x_hi"), "n", "s"))
+    keys = {c: t for c, t in blocks.dtypes if c in by}
     schema = ", ".join([*[f"{c} {t}" for c, t in keys.items()], "x_lo double, x_hi double, n double, s double"])
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -152,9 +156,14 @@ def isotonic_blocks(df: DataFrame, by: Sequence[str], x: str, y: str, weight: Co
             out[c] = v
         return out[[*by, "x_lo", "x_hi", "n", "s"]]
 
-    part = cut.groupBy(*by, "part").applyInPandas(fit, schema)
-    full = part.groupBy(*by).applyInPandas(fit, schema)
-    return checkpointed(full).select(*by, "x_lo", "x_hi", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("s") / F.col("n"))).alias("value"), "n")
+    for turn in itertools.count():
+        parts = max(1, min(slice_count(blocks, slices), blocks.count() // SLICE_ROWS))  # as many tasks as the blocks left are worth
+        cut = sliced(blocks, by, ["x_lo"], parts, salt=turn).select(*by, F.col("__slice").alias("part"), "x_lo", "x_hi", "n", "s")
+        blocks = checkpointed(cut.groupBy(*by, "part").applyInPandas(fit, schema))
+        after = neighbour(blocks, by, ["x_lo"], {"__n": F.col("n"), "__s": F.col("s")}, ahead=True)
+        if not after.where(F.col("s") * F.col("__n") >= F.col("__s") * F.col("n")).limit(1).count():
+            break
+    return blocks.select(*by, "x_lo", "x_hi", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("s") / F.col("n"))).alias("value"), "n")
 
 
 def isotonic_predict(blocks: DataFrame, probes: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:

@@ -168,7 +168,7 @@ def fisher_2x2(counts: DataFrame, by: Sequence[str], stratum: str) -> DataFrame:
         F.count(F.lit(1)).alias("strata"), F.min_by(F.struct("failed", "ok"), stratum).alias("x"), F.max_by(F.struct("failed", "ok"), stratum).alias("y"))
     n = n.where(F.col("strata") == 2)
     a, b, c, d = F.col("x.failed"), F.col("x.ok"), F.col("y.failed"), F.col("y.ok")
-    odds = F.when(b * c > 0, a * d / (b * c).cast("double"))
+    odds = F.when(b * c > 0, a * d / (b * c).cast("double")).when(a * d > 0, F.lit(float("inf")))
     return n.select(*by, odds.alias("odds_ratio"), fisher_two_sided(a, b, c, d).alias("p"))
 
 
@@ -281,17 +281,19 @@ def reachable(value: Column, n: Column, digits: int) -> Column:
 
 
 def mann_whitney(df: DataFrame, by: Sequence[str], value: str, group: str) -> DataFrame:
-    """U of group 1, two-sided normal p with tie and continuity correction, rank-biserial correlation, median difference."""
+    """U of group 1, two-sided normal p with tie and continuity correction, rank-biserial correlation, median difference. A key that
+    lacks one of the groups has no row; p is 1 where all values are equal."""
     rows = df.where(F.col(value).isNotNull())
     h = value_counts(rows, by, value, ones=(F.col(group) == 1).cast("bigint"))
     rank = F.col("cum") - (F.col("n") - 1) / 2.0
     g = h.groupBy(*by).agg(
-        F.sum("ones").alias("n1"), (F.sum("n") - F.sum("ones")).alias("n0"), F.sum(F.col("ones") * rank).alias("__r"), F.sum(F.col("n") ** 3 - F.col("n")).alias("__t"))
+        F.sum("ones").alias("n1"), (F.sum("n") - F.sum("ones")).alias("n0"), F.sum(F.col("ones") * rank).alias("__r"), F.sum(F.col("n") ** 3 - F.col("n")).alias("__t")).where("n1 > 0 AND n0 > 0")
     n1, n0 = F.col("n1"), F.col("n0")
     n = n1 + n0
     u = F.col("__r") - n1 * (n1 + 1) / 2.0
     sd = F.sqrt(n1 * n0 / 12.0 * ((n + 1) - F.col("__t") / (n * (n - 1))))
-    g = g.withColumn("u", u).withColumn("p", F.least(F.lit(1.0), normal_two_sided(F.greatest(F.abs(F.col("u") - n1 * n0 / 2.0) - 0.5, F.lit(0.0)) / sd)))
+    z = F.greatest(F.abs(F.col("u") - n1 * n0 / 2.0) - 0.5, F.lit(0.0)) / F.when(sd > 0, sd)
+    g = g.withColumn("u", u).withColumn("p", F.least(F.lit(1.0), F.coalesce(normal_two_sided(z), F.lit(1.0))))
     g = g.withColumn("rank_biserial", 1.0 - 2.0 * F.col("u") / (n1 * n0)).drop("__r", "__t")
     med = percentiles(rows, [*by, group], value, {"m": 0.5}).groupBy(*by).agg(
         (F.max(F.when(F.col(group) == 1, F.col("m"))) - F.max(F.when(F.col(group) == 0, F.col("m")))).alias("median_difference"))

@@ -54,15 +54,16 @@ def _grouped(by: Sequence[str]):
     return W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
 
 
-def sliced(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], slices: int | None = SLICES) -> DataFrame:
-    """Add ``__order`` (the order struct) and ``__slice`` (0 .. slices-1), slices being contiguous in the order."""
+def sliced(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], slices: int | None = SLICES, salt: int = 0) -> DataFrame:
+    """Add ``__order`` (the order struct) and ``__slice`` (0 .. slices-1), slices being contiguous in the order; another ``salt``
+    draws other boundaries."""
     by, slices = list(by), slice_count(df, slices)
     base = df.withColumn(_O, _order_struct(order))
     if slices <= 1:
         return base.withColumn(_K, F.lit(0))
-    rows, quota, spread = base.select(*by, _O), F.lit(slices), W.orderBy(F.xxhash64(_O), F.col(_O))
+    rows, quota, spread = base.select(*by, _O), F.lit(slices), W.orderBy(F.xxhash64(F.lit(salt), _O), F.col(_O))
     if by:
-        rows, quota, spread = rows.join(F.broadcast(_large_groups(base, by, slices)), by), F.col("__k"), W.partitionBy(*by).orderBy(F.xxhash64(_O), F.col(_O))
+        rows, quota, spread = rows.join(F.broadcast(_large_groups(base, by, slices)), by), F.col("__k"), W.partitionBy(*by).orderBy(F.xxhash64(F.lit(salt), _O), F.col(_O))
     picked = rows.withColumn("__n", F.row_number().over(spread)).where(F.col("__n") < slices).where(F.col("__n") < quota)
     bounds = picked.groupBy(*by).agg(F.sort_array(F.collect_list(_O)).alias(_B))
     # two-level look-up: every stride-th boundary first, then the boundaries of that block

@@ -256,7 +256,7 @@ def _(spark, sf):
 @query("mann_whitney", f"""WITH {V.PAIRED}, r AS (SELECT stratum, label, n_chars, (rank() OVER q + (count(*) OVER (PARTITION BY stratum, n_chars) - 1) / 2.0)::DOUBLE AS r, count(*) OVER (PARTITION BY stratum, n_chars) AS t FROM items WINDOW q AS (PARTITION BY stratum ORDER BY n_chars)),
 g AS (SELECT stratum, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0, sum(r) FILTER (label = 1) AS s, sum(t * t - 1)::DOUBLE AS tt, median(n_chars) FILTER (label = 1) - median(n_chars) FILTER (label = 0) AS md FROM r GROUP BY stratum),
 u AS (SELECT *, s - n1 * (n1 + 1) / 2.0 AS u, n1 + n0 AS n FROM g), z AS (SELECT *, greatest(abs(u - n1 * n0 / 2.0) - 0.5, 0) / sqrt(n1 * n0 / 12.0 * ((n + 1) - tt / (n * (n - 1)))) AS z FROM u)
-SELECT stratum, n1, n0, round(u, 4)::DOUBLE AS u, round(least(1.0, 1 - 2 * list_sum([CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-((i * z / 2000) ** 2) / 2) / sqrt(2 * pi()) FOR i IN range(2001)]) * z / 2000 / 3), 5)::DOUBLE AS p, round(1 - 2 * u / (n1 * n0), 6)::DOUBLE AS rank_biserial, md::DOUBLE AS median_difference FROM z""")
+SELECT stratum, n1, n0, round(u, 4)::DOUBLE AS u, round(least(1.0, 1 - 2 * list_sum([CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-((i * z / 2000) ** 2) / 2) / sqrt(2 * pi()) FOR i IN range(2001)]) * z / 2000 / 3), 5)::DOUBLE AS p, round(1 - 2 * u / (n1 * n0), 6)::DOUBLE AS rank_biserial, md::DOUBLE AS median_difference FROM z WHERE n1 > 0 AND n0 > 0""")
 def _(spark, sf):
     it = V.paired_items(spark, sf).withColumn("n_chars", F.col("n_chars").cast("double"))
     m = I.mann_whitney(it, ["stratum"], "n_chars", "label")

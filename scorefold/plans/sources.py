@@ -40,8 +40,11 @@ def _(spark, sf):
 @query("read_arms", f"WITH {RESP} SELECT 'm' || model AS model, arm, 'main' AS variant, count(*) AS n FROM resp GROUP BY ALL")
 def _(spark, sf):
     r = responses(spark, sf)
-    file = F.concat(F.lit("task/responses-m"), F.col("model").cast("string"), F.lit("-"), F.col("arm"), F.lit(".jsonl"))
-    return r.select(file.alias("file")).withColumns(RD.arm_columns()).groupBy("model", "arm", "variant").agg(F.count(F.lit(1)).alias("n"))
+    run = F.concat(F.lit("responses-m"), F.col("model").cast("string"), F.lit("-"), F.col("arm"), F.lit(".jsonl"))
+    path = shared_folder(spark, "arms")
+    r.select(run.alias("run"), F.to_json(F.struct("item_id", "raw")).alias("value")).write.partitionBy("run").text(path)
+    rows, _bad = RD.read_arms(spark, f"{path}/*/*", T.StructType([T.StructField("item_id", T.LongType()), T.StructField("raw", T.StringType())]))
+    return rows.where("item_id IS NOT NULL").groupBy("model", "arm", "variant").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("read_reports", """SELECT c_mktsegment, count(*) FILTER (c_custkey % 7 <> 5) AS dated, count(*) FILTER (c_custkey % 11 <> 3) AS numbered, round(sum(c_acctbal) FILTER (c_custkey % 11 <> 3), 2) AS total FROM customer GROUP BY ALL""")
@@ -72,9 +75,10 @@ def _(spark, sf):
     p = V.table(spark, sf, "part")
     rec = p.select(F.when(F.col("p_partkey") % 50 != 0, F.col("p_partkey").cast("string")).alias("question_id"), F.col("p_type").alias("category"), F.array("p_name", "p_brand").alias("options"))
     path = shared_folder(spark, "pool")
-    SK.write_items(rec, path, "json")
+    arrays = rec.groupBy(F.pmod(F.crc32("category"), F.lit(3)).alias("file")).agg(F.to_json(F.collect_list(F.struct("question_id", "category", "options")), {"pretty": "true"}).alias("value"))
+    arrays.repartition(3, "file").write.partitionBy("file").text(path)  # one array over many lines per file
     schema = T.StructType([T.StructField("question_id", T.StringType()), T.StructField("category", T.StringType()), T.StructField("options", T.ArrayType(T.StringType()))])
-    return RD.question_records(spark.read.schema(schema).json(path)).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return RD.read_qa_pool(spark, f"{path}/*/*", schema).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("file_inventory")

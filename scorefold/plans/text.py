@@ -265,11 +265,11 @@ TIMES = """tm AS (SELECT event_id, ts, CASE event_id % 6 WHEN 0 THEN 'haze at Da
 th AS (SELECT *, hour((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles') AS h FROM tm)"""
 
 
-@query("time_words", f"""WITH {TIMES} SELECT event_id, CASE WHEN event_id % 6 IN (1, 2) THEN 1 ELSE 0 END AS elapsed, CASE event_id % 6 WHEN 0 THEN 'dawn,noon' WHEN 1 THEN 'evening' WHEN 3 THEN 'morning' ELSE '' END AS words,
+@query("time_words", f"""WITH {TIMES} SELECT event_id, CASE WHEN event_id % 6 IN (1, 2) OR event_id % 30 IN (5, 11, 17) THEN 1 ELSE 0 END AS elapsed, CASE event_id % 6 WHEN 0 THEN 'dawn,noon' WHEN 1 THEN 'evening' WHEN 3 THEN 'morning' ELSE '' END AS words,
 CASE event_id % 6 WHEN 0 THEN CAST(h < 12 AND h >= 11 AS INTEGER) WHEN 1 THEN CAST(h >= 12 AS INTEGER) WHEN 3 THEN CAST(h < 12 AS INTEGER) ELSE -1 END AS fits FROM th""")
 def _(spark, sf):
     e, i = V.table(spark, sf, "events"), F.col("event_id")
-    raw = F.when(i % 6 == 0, "haze at Dawn and by noon").when(i % 6 == 1, "clear evening, seen 10 minutes later").when(i % 6 == 2, "at 14:05 smoke").when(i % 6 == 3, "morning fog").when(i % 6 == 4, F.col("props")).otherwise("afternoonish")
+    raw = F.when(i % 6 == 0, "haze at Dawn and by noon").when(i % 6 == 1, "clear evening, seen 10 minutes later").when(i % 6 == 2, "at 14:05 smoke").when(i % 6 == 3, "morning fog").when(i % 6 == 4, F.col("props")).when(i % 30 == 5, "shot of 2019-08-01").when(i % 30 == 11, "stamp 1664700000").when(i % 30 == 17, "no overlay seen").when(i % 30 == 23, "12019-08-01 and 156470000").otherwise("afternoonish, timely")
     t = X.time_words(raw, "ts")
     return e.select("event_id", t["elapsed"].alias("elapsed"), t["words"].alias("words"), F.coalesce(t["fits"], F.lit(-1)).alias("fits"))
 

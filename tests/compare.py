@@ -31,7 +31,7 @@ def _norm(v):
 
 def _close(a, b):
     if isinstance(a, (int, float)) and isinstance(b, (int, float)):
-        return abs(a - b) <= 2e-5 * max(1.0, abs(a), abs(b))
+        return a == b or abs(a - b) <= 2e-5 * max(1.0, abs(a), abs(b))
     return a == b
 
 

@@ -6,7 +6,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from scorefold.operators import calibration, inference
+from scorefold.operators import calibration, inference, ordered
 
 
 def exact_binomial(k, n):
@@ -80,3 +80,27 @@ def test_permutation_of_thin_tables(spark):
     ways = {fs: math.prod(math.comb(n, f) for f, n in zip(fs, rows)) for fs in itertools.product(*(range(n + 1) for n in rows)) if sum(fs) == fails}
     want = sum(w for fs, w in ways.items() if stat(fs) >= seen - 1e-12) / sum(ways.values())
     assert abs(got["m"]["perm_p"] - want) < 0.012 and got["m"]["test"] == "chi-square" and got["n"]["perm_p"] is None
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_isotonic_rounds(spark, monkeypatch, by):
+    import random
+
+    monkeypatch.setattr(calibration, "SLICE_ROWS", 8)
+    monkeypatch.setattr(ordered, "SMALL_GROUP", 8)
+    rng = random.Random(2)
+    rows = [(g, float(x), float(rng.random() < (0.9 if g == "falls" and x < 150 else x / 400))) for g in ("rises", "falls") for x in range(300) for _ in range(2)]
+    rows = rows if by else [r for r in rows if r[0] == "falls"]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {(r["g"] if by else "falls", r["x_lo"]): (r["x_hi"], r["n"], round(r["value"], 9)) for r in calibration.isotonic_blocks(df, by, "x", "y").collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        blocks = []
+        for x in range(300):
+            ys = [y for k, v, y in rows if k == g and v == x]
+            blocks.append([x, x, len(ys), sum(ys)])
+            while len(blocks) > 1 and blocks[-2][3] * blocks[-1][2] >= blocks[-1][3] * blocks[-2][2]:
+                _, hi, n, s = blocks.pop()
+                blocks[-1][1:] = [hi, blocks[-1][2] + n, blocks[-1][3] + s]
+        want |= {(g, float(a)): (float(b), float(n), round(s / n, 9)) for a, b, n, s in blocks}
+    assert got == want
