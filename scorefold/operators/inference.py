@@ -35,15 +35,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def log_gamma(x: Column) -> Column:
-    """log Gamma(x) for x >= 0.5; Stirling's series takes over where Lanczos' sum loses digits to cancellation."""
+    """log Gamma(x) for x >= 0.5 by Lanczos' sum."""
     y = x - 1.0
     parts = F.lit(LANCZOS[0])
     for i, v in enumerate(LANCZOS[1:], 1):
         parts = parts + F.lit(v) / (y + i)
     t = y + 7.5
-    near = F.lit(0.5 * math.log(2 * math.pi)) + (y + 0.5) * F.log(t) - t + F.log(parts)
-    far = (x - 0.5) * F.log(x) - x + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * x) - 1 / (360 * x * x * x)
-    return F.when(x < 1000, near).otherwise(far)
+    return F.lit(0.5 * math.log(2 * math.pi)) + (y + 0.5) * F.log(t) - t + F.log(parts)
 
 
 def _fraction(steps: Callable[[Column], tuple[Column, Column]], first: Column, terms: Column | None = None) -> Column:
@@ -108,46 +106,45 @@ def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
     The table's probability has one mode, so these are two tails: one starts at the observed count, the start of the other is found by
     bisection. Each is summed by ratios of neighbours over fifteen standard deviations, beyond which nothing is left.
     """
-    r, q, n = a + b, a + c, a + b + c + d
-    margins = F.struct(a.cast("double").alias("a"), r.cast("double").alias("r"), q.cast("double").alias("q"), n.cast("double").alias("n"))
+    r, q, n = (a + b).cast("double"), (a + c).cast("double"), (a + b + c + d).cast("double")
+    logs = lambda xs: F.transform(F.array(*xs), lambda x: log_gamma(x + 1))  # one expression for all of them
+    lo, hi = F.greatest(F.lit(0.0), r + q - n), F.least(r, q)
+    mode = F.least(hi, F.greatest(lo, F.floor((r + 1) * (q + 1) / (n + 2)).cast("double")))
+    spread = F.sqrt(r * q * (n - r) * (n - q) / F.greatest(F.lit(1.0), n * n * (n - 1)))
+    known = {"a": a.cast("double"), "r": r, "q": q, "n": n, "lo": lo, "hi": hi, "mode": mode, "terms": F.lit(200) + F.ceil(15 * spread).cast("int"), "tops": logs([r, n - r, q, n - q, n])}
 
     def solve(v: Column) -> Column:
-        a, r, q, n = v["a"], v["r"], v["q"], v["n"]
-        lo, hi = F.greatest(F.lit(0.0), r + q - n), F.least(r, q)
-        mode = F.least(hi, F.greatest(lo, F.floor((r + 1) * (q + 1) / (n + 2)).cast("double")))
-        lg = lambda x: log_gamma(x + 1)
-        top = lg(r) + lg(n - r) + lg(q) + lg(n - q) - lg(n)
-        logp = lambda k: top - lg(k) - lg(r - k) - lg(q - k) - lg(n - r - q + k)
-        spread = F.sqrt(r * q * (n - r) * (n - q) / F.greatest(F.lit(1.0), n * n * (n - 1)))
-        terms = F.lit(200) + F.ceil(15 * spread).cast("int")
-
-        def sum_from(k: Column, up: bool) -> Column:
+        a, r, q, n, lo, hi, mode = (v[x] for x in ("a", "r", "q", "n", "lo", "hi", "mode"))
+        top = v["tops"][0] + v["tops"][1] + v["tops"][2] + v["tops"][3] - v["tops"][4]
+        logp = lambda k: top - F.aggregate(logs([k, r - k, q - k, n - r - q + k]), F.lit(0.0), lambda s, x: s + x)
+        right = a > mode  # the observed tail is the right one
+
+        def tail(k: Column, up: Column) -> Column:
             """P(k), P(k +- 1), ... added up; 0 where k lies outside."""
-            ratio = (lambda x: (r - x) * (q - x) / ((x + 1) * (n - r - q + x + 1))) if up else (lambda x: x * (n - r - q + x) / ((r - x + 1) * (q - x + 1)))
+            ratio = lambda x: F.when(up, (r - x) * (q - x) / ((x + 1) * (n - r - q + x + 1))).otherwise(x * (n - r - q + x) / ((r - x + 1) * (q - x + 1)))
             start = F.struct(k.alias("k"), F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
-            move = lambda acc, _: F.struct((acc["k"] + (1 if up else -1)).alias("k"), F.when((acc["k"] >= lo) & (acc["k"] <= hi), acc["t"] * ratio(acc["k"])).otherwise(0.0).alias("t"), (acc["s"] + acc["t"]).alias("s"))
-            total = F.aggregate(F.sequence(F.lit(1), terms), start, move)["s"]
+            move = lambda acc, _: F.struct((acc["k"] + F.when(up, 1).otherwise(-1)).alias("k"), F.when((acc["k"] >= lo) & (acc["k"] <= hi), acc["t"] * ratio(acc["k"])).otherwise(0.0).alias("t"), (acc["s"] + acc["t"]).alias("s"))
+            total = F.aggregate(F.sequence(F.lit(1), v["terms"]), start, move)["s"]
             return F.when((k < lo) | (k > hi), 0.0).otherwise(F.exp(logp(k)) * total)
 
         def other(limit: Column) -> Column:
-            # the nearest count on the far side of the mode that is no likelier than the observed one
-            left = a > mode
-            near, far = F.when(left, mode + 1).otherwise(mode - 1), F.when(left, lo - 1).otherwise(hi + 1)
-            start = F.struct(near.alias("near"), far.alias("far"))
+            """The first count on the far side, from the mode on, that is no likelier than the observed one; bisection between a count
+            that is likelier (or lies before the mode) and one that is not (or lies outside)."""
+            start = F.struct(F.when(right, mode + 1).otherwise(mode - 1).alias("near"), F.when(right, lo - 1).otherwise(hi + 1).alias("far"))
 
             def halve(acc: Column, _: Column) -> Column:
                 mid = F.floor((acc["near"] + acc["far"]) / 2).cast("double")
                 mid = F.when(mid == acc["near"], acc["far"]).otherwise(mid)
-                return let(mid, lambda m: F.when((m >= lo) & (m <= hi) & (logp(m) > limit), F.struct(m.alias("near"), acc["far"].alias("far"))).otherwise(F.struct(acc["near"].alias("near"), m.alias("far"))))
+                likelier = lambda m: (m >= lo) & (m <= hi) & (logp(m) > limit)
+                return let(mid, lambda m: F.when(likelier(m), F.struct(m.alias("near"), acc["far"].alias("far"))).otherwise(F.struct(acc["near"].alias("near"), m.alias("far"))))
 
-            found = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, halve)["far"]
-            return let(found, lambda k: F.when(left, sum_from(k, False)).otherwise(sum_from(k, True)))
+            return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, halve)["far"]
 
-        own = F.when(a > mode, sum_from(a, True)).otherwise(sum_from(a, False))
-        both = F.when(a == mode, F.lit(1.0)).otherwise(own + let(logp(a) + 1e-7, other))
-        return F.least(F.lit(1.0), both)
+        ends = F.array(F.struct(a.alias("k"), right.alias("up")), F.struct(let(logp(a) + 1e-7, other).alias("k"), (~right).alias("up")))
+        both = F.aggregate(F.transform(ends, lambda e: tail(e["k"], e["up"])), F.lit(0.0), lambda s, x: s + x)
+        return F.when(a == mode, F.lit(1.0)).otherwise(F.least(F.lit(1.0), both))
 
-    return let(margins, solve)
+    return let(F.struct(*[x.alias(k) for k, x in known.items()]), solve)
 
 
 # --- tests ------------------------------------------------------------------------------------------------------------
