@@ -40,9 +40,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, hinted for broadcast only if it has at most so many rows; else the join stays a shuffled one. df must be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, hinted for broadcast only if it has at most so many rows (a count of file footers); else the join stays shuffled."""
+    return F.broadcast(written) if written.count() <= rows else written
 
 
 def let(value: Column, body) -> Column:
