@@ -45,33 +45,37 @@ def turn_markup(role: Column, text: Column) -> Column:
     )
 
 
-def ancestors(nodes: DataFrame) -> list[DataFrame]:
-    """jumps[k]: (conv_id, node, up, total, reach): the node's ancestor 2^k above (null if above the root), with sum and number of the scores on the way."""
+def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(jumps, rooted). jumps[k]: (conv_id, node, up, total, reach), the ancestor 2^k above each node that has one, with the sum and number
+    of the scores on the way. rooted: (conv_id, node, total, reach), those sums from each node to its root.
+
+    A node leaves the rounds as soon as its root is reached, so the rows of all rounds add up to a small multiple of the nodes.
+    """
     known = nodes.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n")).distinct()
     linked = nodes.join(known, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("parent") == F.col("_n")), "left")
-    jump = stored(linked.select("conv_id", "node", F.col("_n").alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("bigint").alias("reach")), "tree-jump")
-    jumps = [jump]
-    nodes_in_all = jump.count()
-    while 2 ** len(jumps) <= nodes_in_all and jump.where("up IS NOT NULL").limit(1).count():
-        above = jump.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("total").alias("_t"), F.col("reach").alias("_r"))
-        step = jump.join(above, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("up") == F.col("_n")), "left")
-        jump = stored(step.select("conv_id", "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_t", F.lit(0.0))).alias("total"), (F.col("reach") + F.coalesce("_r", F.lit(0))).alias("reach")), "tree-jump")
-        jumps.append(jump)
-    return jumps
+    step = stored(linked.select("conv_id", "node", F.col("_n").alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("bigint").alias("reach")), "tree-jump")
+    all_nodes, rooted, jumps = step.count(), step.where("up IS NULL"), [step.where("up IS NOT NULL")]
+    while 2 ** len(jumps) <= all_nodes and jumps[-1].limit(1).count():
+        above = jumps[-1].unionByName(rooted).select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("total").alias("_t"), F.col("reach").alias("_r"))
+        both = jumps[-1].join(above, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("up") == F.col("_n")))
+        step = stored(both.select("conv_id", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_t")).alias("total"), (F.col("reach") + F.col("_r")).alias("reach")), "tree-jump")
+        rooted = rooted.unionByName(step.where("up IS NULL"))
+        jumps.append(step.where("up IS NOT NULL"))
+    return jumps, rooted.drop("up")
 
 
 def chosen_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     """(conv_id, leaf, up_from_leaf, node) of the best `branches` root-to-leaf paths of each tree; None: of all."""
-    jumps = ancestors(nodes)
-    inner = jumps[0].where("up IS NOT NULL").select(F.col("conv_id").alias("_c"), F.col("up").alias("_n")).distinct()
-    leaves = jumps[-1].where("up IS NULL").join(inner, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node") == F.col("_n")), "left_anti")
+    jumps, rooted = ancestors(nodes)
+    inner = jumps[0].select(F.col("conv_id").alias("_c"), F.col("up").alias("_n")).distinct()
+    leaves = rooted.join(inner, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node") == F.col("_n")), "left_anti")
     leaves = leaves.withColumn("mean", F.col("total") / F.col("reach"))
     if branches is not None:
         best = Window.partitionBy("conv_id").orderBy(F.col("mean").desc(), F.col("node"))
         leaves = leaves.withColumn("_c_rank", F.row_number().over(best)).where(F.col("_c_rank") <= branches)
     path = leaves.select("conv_id", F.col("node").alias("leaf"), F.lit(0).cast("bigint").alias("up_from_leaf"), "node")
     for k in range(len(jumps) - 1, -1, -1):
-        up = jumps[k].where("up IS NOT NULL").select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("up").alias("_up"))
+        up = jumps[k].select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("up").alias("_up"))
         higher = path.join(up, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node") == F.col("_n")))
         path = stored(path.unionByName(higher.select("conv_id", "leaf", (F.col("up_from_leaf") + 2**k).alias("up_from_leaf"), F.col("_up").alias("node"))), "tree-path")
     return path
