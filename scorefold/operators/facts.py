@@ -6,7 +6,7 @@ by the key domain (states x years x causes), not by the rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,6 +166,60 @@ def compare_answers(stored: DataFrame, again: DataFrame, keys: Sequence[str], to
     return a.join(b, list(keys), "full_outer").withColumn("agrees", ok)
 
 
+def fine_cells(df: DataFrame, share: Column) -> DataFrame:
+    """One row per state, year, cause, size class and season of the discovery date: rows, those in ``share``, sum, largest value with its
+    ties and the name of its first record. Every answer can be rolled up from these cells."""
+    d = df.withColumn("season", season_of("discovered"))
+    keys = ["state", "year", "cause", "size_class", "season"]
+    top = d.groupBy(*keys, "size").agg(F.count(F.lit(1)).alias("ties"), F.min_by("name", "record_id").alias("name"), F.sum(share.cast("int")).alias("hits"))
+    return top.groupBy(*keys).agg(F.sum("ties").alias("n"), F.sum("hits").alias("hits"), F.sum(F.col("size") * F.col("ties")).alias("total"), F.max(F.struct("size", "ties", "name")).alias("top"))
+
+
+def rolled_up(cells: DataFrame, spans5: Sequence[tuple[int, int]], spans3: Sequence[tuple[int, int]]) -> dict[str, tuple[list[str], DataFrame]]:
+    """family: (keys, keys and ``answer`` as text), each by a second path: summed and compared up from the cells, not from the records."""
+    text = lambda c: c.cast("string").alias("answer")
+    n = F.sum("n")
+
+    def first(df: DataFrame, keys: list[str], answer: str, margin: float, total: int = 0, members: int = 2) -> DataFrame:
+        counts = df.groupBy(*keys, answer).agg(n.alias("n"))
+        lists = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col(answer).alias("v")))).alias("r"), n.alias("all"))  # a few answers per cell
+        lead = (F.get("r", F.lit(0))["k"] <= margin * F.get("r", F.lit(1))["k"]) & (F.size("r") >= members) & (F.col("all") >= total)
+        return lists.where(lead).select(*keys, text(F.get("r", F.lit(0))["v"]))
+
+    def largest(df: DataFrame, keys: list[str]) -> DataFrame:
+        top = df.groupBy(*keys).agg(F.max("top.size").alias("size"))
+        return df.join(top, keys).where(F.col("top.size") == F.col("size")).groupBy(*keys, "size").agg(F.sum("top.ties").alias("ties"), F.max("top.name").alias("name"))
+
+    sy, five, three = ["state", "year"], by_span(cells, spans5), by_span(cells.where(F.col("season").isNotNull()), spans3)
+    scy, css = ["state", "year", "cause"], ["state", "size_class", "lo", "hi"]
+    return {
+        "count_state_year": (sy, cells.groupBy(*sy).agg(text(n))),
+        "count_cause_state_year": (scy, cells.groupBy(*scy).agg(text(n))),
+        "count_season_window": ([*sy, "season"], cells.where(F.col("season").isNotNull()).groupBy(*sy, "season").agg(text(n))),
+        "acres_state_year": (sy, cells.groupBy(*sy).agg(text(F.sum("total")))),
+        "count_size_class_span": (css, five.groupBy(*css).agg(text(n))),
+        "largest_fire_name": (sy, largest(cells, sy).where("ties = 1 AND size >= 450000 AND trim(name) <> ''").select(*sy, text(F.col("name")))),
+        "largest_fire_size_span": (["state", "season", "lo", "hi"], three.groupBy("state", "season", "lo", "hi").agg(F.max("top.size").alias("s")).where("s >= 490000").select("state", "season", "lo", "hi", text(F.col("s")))),
+        "top_cause_state_year": (sy, first(cells, sy, "cause", 1.1)),
+        "human_share_state_year": (sy, cells.groupBy(*sy).agg(text(100.0 * F.sum("hits") / n))),
+        "peak_year_state": (["state", "lo", "hi"], first(five, ["state", "lo", "hi"], "year", 1.02, 100, 5)),
+        "top_state_for_cause": (["cause", "year"], first(cells, ["cause", "year"], "state", 1.02, 100, 5)),
+    }
+
+
+def families_agree(stored: Mapping[str, DataFrame], again: Mapping[str, tuple[list[str], DataFrame]], tol: float = 0.051) -> DataFrame:
+    """family, checked, agree, only_stored, only_recomputed; numbers agree within ``tol``, texts when equal."""
+    out = None
+    for family, (keys, second) in again.items():
+        a, b = stored[family].select(*keys, F.col("answer").alias("x")), second.select(*keys, F.col("answer").alias("y"))
+        near = F.coalesce(F.abs(F.col("x").try_cast("double") - F.col("y").try_cast("double")) <= tol, F.col("x") == F.col("y"))
+        one = a.join(b, keys, "full_outer").agg(
+            F.count(F.lit(1)).alias("checked"), F.count(F.when(near, 1)).alias("agree"), F.count(F.when(F.col("y").isNull(), 1)).alias("only_stored"),
+            F.count(F.when(F.col("x").isNull(), 1)).alias("only_recomputed")).select(F.lit(family).alias("family"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- deterministic picks ----------------------------------------------------------------------------------------------
 def per_state_offset(cands: DataFrame, offset: int, per_state: int, key: Sequence[str]) -> DataFrame:
     """The j-th pick of the state of rank r is its candidate at (7 r + offset + 13 j) modulo the state's size."""
