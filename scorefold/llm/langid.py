@@ -70,7 +70,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, seed: int = 5) -> Model:
     ids = stored(known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct(), "langid-ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
-    bags = sample.mapInPandas(_bags, f"doc_id {kind}, lang string, ids array<int>, shares array<float>").toPandas()  # at most about `rows` bags
+    bags = sample.mapInPandas(_bags, f"doc_id {kind}, lang string, ids array<int>, shares array<float>").toArrow().to_pandas()  # at most about `rows` bags
     bags = bags[bags["ids"].map(len) > 0].sort_values(["doc_id", "lang"]).reset_index(drop=True)
     langs = sorted(set(bags["lang"]))
     if not langs:

@@ -74,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))) if share else -np.inf)
     sample = sample.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     counts = sample.mapInPandas(_counts, "bucket int, other bigint, toxic bigint").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-    c = counts.where(F.col("other") + F.col("toxic") >= MIN_TEXTS).toPandas().sort_values("bucket")  # at most 2^BITS rows
+    c = counts.where(F.col("other") + F.col("toxic") >= MIN_TEXTS).toArrow().to_pandas().sort_values("bucket")  # at most 2^BITS rows
     ratio = np.log((c["toxic"] + 1) / (n1 + 2)) - np.log((c["other"] + 1) / (n0 + 2))
     error = np.sqrt(1 / (c["toxic"] + 1) + 1 / (c["other"] + 1))
     z = np.abs(ratio / error)
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         for b in batches:
             yield pd.DataFrame({"toxic": b["toxic"], "hits": [(p[0] if (p := _present(t, feature)) else np.zeros(0, np.uint32)).astype(np.int32) for t in b["text"]]})
 
-    seen = sample.mapInPandas(hits, "toxic int, hits array<int>").orderBy("toxic", "hits").toPandas()  # at most `rows` rows, features only
+    seen = sample.mapInPandas(hits, "toxic int, hits array<int>").orderBy("toxic", "hits").toArrow().to_pandas()  # at most `rows` rows, features only
     return Model(*_regress(seen["hits"], seen["toxic"].to_numpy(np.float64), ratios))
 
 

@@ -82,7 +82,7 @@ def _level(keys: DataFrame, level: int) -> Level | None:
             at = np.array([p for k in b["key"] for p in _places(k, level, bits)], np.int64)
             yield pd.DataFrame({"word": at >> 6, "mask": np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64)})
 
-    words = keys.mapInPandas(task, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # bits / 64 rows
+    words = keys.mapInPandas(task, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow().to_pandas()  # bits / 64 rows
     out = np.zeros(bits // 64, np.uint64)
     out[words["word"]] = words["mask"].to_numpy(np.int64).view(np.uint64)
     return bits, out
