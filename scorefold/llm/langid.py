@@ -131,11 +131,11 @@ def predict(text: str | None, model: Model) -> tuple[str, float]:
 
 def _judge(model: Model, spark):
     """A column function of texts: struct(lang_pred, score, rejected)."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(tuple(model))  # plain values: tasks need no copy of the package
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def judged(text: pd.Series) -> pd.DataFrame:
-        model = shared.value
+        model = Model(*shared.value)
         found = [predict(t, model) for t in text]
         return pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "rejected": [x[0] == UNDETERMINED or x[1] < model.threshold for x in found]})
 

@@ -124,11 +124,12 @@ def score_text(text: str | None, model: Model, used: np.ndarray) -> float:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # plain values: tasks need no copy of the package
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, used = shared.value, shared.value.weights != 0
+        model = Model(*shared.value)
+        used = model.weights != 0
         for texts in batches:
             yield pd.Series([score_text(t, model, used) for t in texts], dtype=np.float64)
 
