@@ -56,7 +56,7 @@ def test_leave_group_out_threshold(spark, seed, groups, values):
 def test_range_blocks_tile_the_range(spark):
     rng = np.random.default_rng(0)
     pairs = [(1, 1), (0, 15), (1, 16), (0, 4095), (17, 5000)] + [tuple(sorted(int(v) for v in rng.integers(0, 100000, 2))) for _ in range(40)]
-    got = spark.createDataFrame(pairs, "a long, b long").withColumn("r", Q._range_blocks(F.col("a"), F.col("b"))).collect()
+    got = spark.createDataFrame(pairs, "a long, b long").withColumn("r", Q._range_blocks(F.col("a"), F.col("b"), Q._levels(100000))).collect()
     for r in got:
         covered = np.concatenate([np.arange(x.blk * 16**x.lv, (x.blk + 1) * 16**x.lv) for x in r.r])
         assert np.array_equal(np.sort(covered), np.arange(r.a, r.b + 1))
