@@ -88,7 +88,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         for b in batches:
             yield pd.DataFrame({"toxic": b["toxic"], "hits": [(p[0] if (p := _present(t, feature)) else np.zeros(0, np.uint32)).astype(np.int32) for t in b["text"]]})
 
-    seen = sample.mapInPandas(hits, "toxic int, hits array<int>").orderBy("toxic", "hits").toArrow().to_pandas()  # at most `rows` rows, features only
+    seen = sample.mapInPandas(hits, "toxic int, hits array<int>").toArrow().to_pandas()  # at most `rows` rows, features only
+    seen = seen.assign(order=[np.asarray(h).tobytes() for h in seen["hits"]]).sort_values(["toxic", "order"])  # sums in one order, whatever the tasks'
     return Model(*_regress(seen["hits"], seen["toxic"].to_numpy(np.float64), ratios))
 
 
