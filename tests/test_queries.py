@@ -1,5 +1,7 @@
 """All registered queries against their SQL twins on the smallest scale factor; an empty or NaN result fails."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 import __spark_entry__ as entry
@@ -13,9 +15,22 @@ NAMES = sorted(ORACLES)
 CHOSEN = [n for n in NAMES if n in QUERIES]  # the text operators have tests of their own
 
 
+THREADS = 6  # small queries mostly wait for planning, so several run at once
+
+
 @pytest.fixture(scope="module")
-def cons():
-    return {sf: duck(sf) for sf in (SF, "/root/testdata/sf0.01")}
+def diffs(spark, request):
+    """name: a future of the difference between a query and its twin, for all tests selected from this module."""
+    queries, cons = entry.queries(), {sf: duck(sf) for sf in (SF, "/root/testdata/sf0.01")}
+
+    def run(name):
+        sf = "/root/testdata/sf0.01" if name in LARGER else SF
+        return compare(queries[name](spark, sf), cons[sf].cursor(), ORACLES[name])
+
+    wanted = [i.callspec.params["name"] for i in request.session.items if i.name.startswith("test_matches_sql") and i.path == request.path]
+    pool = ThreadPoolExecutor(THREADS)
+    yield {n: pool.submit(run, n) for n in wanted}
+    pool.shutdown(cancel_futures=True)
 
 
 def test_registry():
@@ -24,9 +39,8 @@ def test_registry():
 
 
 @pytest.mark.parametrize("name", CHOSEN)
-def test_matches_sql(spark, cons, name):
-    sf = "/root/testdata/sf0.01" if name in LARGER else SF
-    diff = compare(entry.queries()[name](spark, sf), cons[sf], ORACLES[name])
+def test_matches_sql(diffs, name):
+    diff = diffs[name].result()
     assert diff is None, diff
 
 
