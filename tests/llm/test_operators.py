@@ -409,6 +409,42 @@ def test_line_dedup_equals_a_plain_loop(spark):
     assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()} == naive_line_dedup(docs)
 
 
+def naive_maximal_runs(docs, least=3, mass=50):
+    """Lines left when every later run of at least `least` lines or `mass` words goes, however long; docs as in naive_line_dedup, without blank lines."""
+    lines = {i: t.split("\n") for i, t in docs}
+    spans = [(i, a, b) for i, _ in docs for a in range(len(lines[i])) for b in range(a + 1, len(lines[i]) + 1)]
+    seen, dead = set(), set()
+    for i, a, b in spans:
+        part = tuple(lines[i][a:b])
+        if b - a >= least or sum(len(x.split()) for x in part) >= mass:
+            if part in seen:
+                dead |= {(i, k) for k in range(a, b)}
+            seen.add(part)
+    left = {i: [x for k, x in enumerate(lines[i]) if (i, k) not in dead] for i, _ in docs}
+    return {i: "\n".join(x) for i, x in left.items() if x}
+
+
+def test_line_dedup_extends_a_match_to_its_end(spark):
+    n = lambda k, name: " ".join([name] * k)
+    short_tail, word_tail = [n(60, "a"), n(5, "b"), n(5, "c")], [n(7, "d"), n(25, "e"), n(25, "f"), n(3, "g")]
+    docs = [(k, "\n".join([f"start {k}", *run, f"end {k}"])) for k, run in enumerate([short_tail, short_tail, word_tail, word_tail])]
+    docs += [(4, "\n".join([n(60, "h"), "tail of an exact copy"])), (5, "\n".join([n(60, "h"), "tail of an exact copy"]))]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), extend=True).collect()}
+    assert got[1] == "start 1\nend 1" and got[3] == "start 3\nend 3" and 5 not in got and got == naive_maximal_runs(docs)
+
+    rng = random.Random(12)
+    pool = [f"line {k} " + n(rng.randrange(1, 30), "x") for k in range(8)] + [n(60, "w")]
+    docs = [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 12)))) for i in range(60)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), extend=True).collect()}
+    assert got == naive_maximal_runs(docs) != naive_line_dedup(docs)
+
+
+def test_line_dedup_extended_matches_sql(spark, odd):
+    assert compare(entry.queries()["op10_line_dedup_extended"](spark, SF), duck(SF), entry.oracle_sql()["op10_line_dedup_extended"]) is None
+    assert linededup.dedup_lines(odd, extend=True).columns == [*odd.columns, "_deleted_lines"]
+    assert linededup.dedup_lines(odd.limit(0), extend=True).count() == 0
+
+
 def test_line_dedup_odd_inputs(spark, odd):
     out = linededup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "_deleted_lines"]
