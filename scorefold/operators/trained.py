@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark import SparkContext, inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorefold.functions.arrays import lin_features
@@ -19,6 +21,15 @@ from scorefold.operators.scores import auroc, average_precision
 from scorefold.session import checkpointed
 
 
+FITS_AT_ONCE = 5  # fits are independent, and a boosting round is a few short jobs
+
+
+def _together(jobs: Sequence[Callable]) -> list:
+    """Results of the jobs in their order, FITS_AT_ONCE at a time."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as ex:
+        return [f.result() for f in [ex.submit(inheritable_thread_target(SparkSession.active())(j)) for j in jobs]]
+
+
 def _assembled(cols: Sequence[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep")
 
@@ -28,7 +39,7 @@ def _filled(df: DataFrame, cols: Sequence[str], value: float = -1.0) -> DataFram
     return df.na.fill(value, list(cols))
 
 
-def train_regressors(train: DataFrame, evaluation: DataFrame, features: Sequence[str], key: Sequence[str], iterations: int = 20, depth: int = 3, seed: int = 1) -> DataFrame:
+def train_regressors(train: DataFrame, evaluation: DataFrame, features: Sequence[str], key: Sequence[str], iterations: int = 100, depth: int = 3, seed: int = 1) -> DataFrame:
     """Predictions of three learners on the evaluation rows (long form: key, target, persistence, scale, run, prediction).
 
     Boosted trees with absolute loss on the ratio to persistence and on the count; ridge regression on imputed, scaled features.
@@ -37,9 +48,11 @@ def train_regressors(train: DataFrame, evaluation: DataFrame, features: Sequence
     t = checkpointed(train.withColumn("__ratio", ratio).where(F.col("target").isNotNull()))
     e = evaluation
     out = None
-    for run, label in (("gbt_ratio", "__ratio"), ("gbt_count", "target")):
-        gbt = GBTRegressor(labelCol=label, lossType="absolute", maxIter=iterations, maxDepth=depth, seed=seed, predictionCol="__p")
-        p = Pipeline(stages=[_assembled(features), gbt]).fit(_filled(t, features)).transform(_filled(e, features))
+    labels = {"gbt_ratio": "__ratio", "gbt_count": "target"}
+    gbt = lambda label: Pipeline(stages=[_assembled(features), GBTRegressor(labelCol=label, lossType="absolute", maxIter=iterations, maxDepth=depth, seed=seed, predictionCol="__p")])
+    models = _together([lambda y=y: gbt(y).fit(_filled(t, features)) for y in labels.values()])
+    for run, m in zip(labels, models):
+        p = m.transform(_filled(e, features))
         value = F.col("__p") * F.greatest(F.col("persistence"), F.lit(1.0)) if run == "gbt_ratio" else F.col("__p")
         rows = p.select(*key, "target", "persistence", "scale", F.lit(run).alias("run"), value.alias("prediction"))
         out = rows if out is None else out.unionByName(rows)
@@ -52,31 +65,54 @@ def train_regressors(train: DataFrame, evaluation: DataFrame, features: Sequence
     return out.unionByName(rows)
 
 
-def grouped_cv(train: DataFrame, features: Sequence[str], group: str, key: Sequence[str], folds: int = 5, seed: int = 1, iterations: int = 10) -> DataFrame:
+def grouped_cv(train: DataFrame, features: Sequence[str], group: str, key: Sequence[str], folds: int = 5, seed: int = 1, iterations: int = 100) -> DataFrame:
     """Out-of-fold ratio predictions with whole groups held out (a fit per fold, each a Spark job over the other folds)."""
     t = checkpointed(group_folds(_filled(train, features), group, folds, seed).withColumn("__ratio", F.col("target") / F.greatest(F.col("persistence"), F.lit(1.0))))
     out = None
-    for k in range(folds):
-        gbt = GBTRegressor(labelCol="__ratio", lossType="absolute", maxIter=iterations, maxDepth=3, seed=seed, predictionCol="__p")
-        p = Pipeline(stages=[_assembled(features), gbt]).fit(t.where(F.col("fold") != k)).transform(t.where(F.col("fold") == k))
+    gbt = lambda: Pipeline(stages=[_assembled(features), GBTRegressor(labelCol="__ratio", lossType="absolute", maxIter=iterations, maxDepth=3, seed=seed, predictionCol="__p")])
+    models = _together([lambda k=k: gbt().fit(t.where(F.col("fold") != k)) for k in range(folds)])
+    for k, m in enumerate(models):
+        p = m.transform(t.where(F.col("fold") == k))
         rows = p.select(*key, "target", "persistence", "scale", "fold", F.lit("gbt_ratio").alias("run"), (F.col("__p") * F.greatest(F.col("persistence"), F.lit(1.0))).alias("prediction"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def first_rounds(fit: PipelineModel, n: int) -> PipelineModel:
+    """The fit after its first n rounds. A round leaves earlier trees as they are, so this equals a fit of n rounds."""
+    m = fit.stages[-1]
+    sc = SparkContext._active_spark_context
+    ml = sc._jvm.org.apache.spark.ml
+    trees, weights = sc._gateway.new_array(ml.regression.DecisionTreeRegressionModel, n), sc._gateway.new_array(sc._jvm.double, n)
+    all_trees, all_weights = m._java_obj.trees(), m.treeWeights
+    for i in range(n):
+        trees[i], weights[i] = all_trees[i], float(all_weights[i])
+    j = ml.classification.GBTClassificationModel(m.uid, trees, weights)
+    return PipelineModel([*fit.stages[:-1], GBTClassificationModel(j)])
+
+
 def train_classifiers(train: DataFrame, validation: DataFrame, test: DataFrame, features: Sequence[str], key: Sequence[str], label: str = "label",
-                      depths: Sequence[int] = (2, 3, 4, 5), iterations: Sequence[int] = (5, 10, 20, 40), seed: int = 1) -> DataFrame:
-    """Test scores (long form) of boosted trees, whose depth and rounds are chosen by average precision on a validation split,
-    and of logistic regression. The grid is a handful of fits; every fit and every score is a Spark job."""
+                      depths: Sequence[int] = (2, 3, 4, 5), iterations: Sequence[int] = (5, 10, 20, 40, 50, 100, 150, 200), seed: int = 1,
+                      rates: Sequence[float] = (0.03, 0.05, 0.1, 0.2)) -> DataFrame:
+    """Test scores (long form) of boosted trees, whose depth, learning rate and rounds are chosen by average precision on a validation split,
+    and of logistic regression. One fit per depth and rate: its first rounds are the fits with fewer rounds. Every fit and every score is a Spark job."""
     t, v = checkpointed(_filled(train, features)), checkpointed(_filled(validation, features))
+
+    def tried(depth: int, rate: float) -> tuple[PipelineModel, dict]:
+        gbt = GBTClassifier(labelCol=label, maxDepth=depth, maxIter=max(iterations), stepSize=rate, seed=seed)
+        m = Pipeline(stages=[_assembled(features), gbt]).fit(t)
+        s = None
+        for n in iterations:
+            x = first_rounds(m, n).transform(v).select(F.lit(n).alias("rounds"), label, vector_to_array("probability")[1].alias("score"))
+            s = x if s is None else s.unionByName(x)
+        return m, {r["rounds"]: r["ap"] or 0.0 for r in average_precision(s, ["rounds"], "score", label).select("rounds", "ap").collect()}  # a row per number of rounds
+
+    grid = [(d, r) for d in depths for r in rates]
     best, best_ap = None, -1.0
-    for d in depths:
+    for m, aps in _together([lambda d=d, r=r: tried(d, r) for d, r in grid]):
         for n in iterations:
-            m = Pipeline(stages=[_assembled(features), GBTClassifier(labelCol=label, maxDepth=d, maxIter=n, seed=seed)]).fit(t)
-            s = m.transform(v).select(label, vector_to_array("probability")[1].alias("score"))
-            ap = average_precision(s, [], "score", label).first()["ap"] or 0.0  # one row
-            if ap > best_ap:
-                best, best_ap = m, ap
+            if aps.get(n, 0.0) > best_ap:
+                best, best_ap = first_rounds(m, n), aps.get(n, 0.0)
     logit = Pipeline(stages=[_assembled(features, "raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(labelCol=label, regParam=0.01)]).fit(t)
     out = None
     for run, m in (("gbt", best), ("logistic", logit)):
@@ -107,17 +143,19 @@ def with_move_probability(df: DataFrame, models: tuple) -> DataFrame:
     return base.drop(*[d for d in drop if d in base.columns])
 
 
-def movement_cv(pool: DataFrame, folds: int = 5, seed: int = 1) -> DataFrame:
+def movement_cv(pool: DataFrame, folds: int = 5, seed: int = 1, iterations: int = 300) -> DataFrame:
     """Out-of-fold AUC of the logistic and boosted move models, folds by incident."""
     cols = list(lin_features())
     t = checkpointed(group_folds(movement_rows(pool), "incident_id", folds, seed))
+    learners = {
+        "logistic": lambda: LogisticRegression(labelCol="moved", regParam=0.001, maxIter=50),
+        "gbt": lambda: GBTClassifier(labelCol="moved", maxDepth=3, maxIter=iterations, seed=seed)}
+    fits = [(k, run) for k in range(folds) for run in learners]
+    models = _together([lambda k=k, run=run: Pipeline(stages=[_assembled(cols), learners[run]()]).fit(t.where(F.col("fold") != k)) for k, run in fits])
     out = None
-    for k in range(folds):
-        tr, te = t.where(F.col("fold") != k), t.where(F.col("fold") == k)
-        for run, learner in (("logistic", LogisticRegression(labelCol="moved", regParam=0.001, maxIter=50)), ("gbt", GBTClassifier(labelCol="moved", maxDepth=3, maxIter=10, seed=seed))):
-            m = Pipeline(stages=[_assembled(cols), learner]).fit(tr)
-            p = m.transform(te).select(F.lit(run).alias("run"), "moved", F.round(vector_to_array("probability")[1], 9).alias("score"))
-            out = p if out is None else out.unionByName(p)
+    for (k, run), m in zip(fits, models):
+        p = m.transform(t.where(F.col("fold") == k)).select(F.lit(run).alias("run"), "moved", F.round(vector_to_array("probability")[1], 9).alias("score"))
+        out = p if out is None else out.unionByName(p)
     return auroc(out, ["run"], "score", "moved")
 
 

@@ -36,7 +36,7 @@ def _(spark, sf):
 @query("train_classifiers")
 def _(spark, sf):
     d = labelled_days(spark, sf).withColumn("part", F.dayofmonth("day"))
-    out = T.train_classifiers(d.where("part <= 15"), d.where("part between 16 and 20"), d.where("part > 20"), list(V.DRIVERS), ["sample", "day"], depths=(2, 3), iterations=(5, 10))
+    out = T.train_classifiers(d.where("part <= 15"), d.where("part between 16 and 20"), d.where("part > 20"), list(V.DRIVERS), ["sample", "day"])
     return S.rounded(S.average_precision(out.withColumn("score", F.round("score", 9)), ["run"]), 4)
 
 
