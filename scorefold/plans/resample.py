@@ -13,6 +13,7 @@ from scorefold.plans.scores import B, FR, frame_calls, small_scores
 from scorefold.sources import standins as V
 
 REPS, SEED = 200, 17
+FULL = 20_000  # replicates and draws of the reference
 M = ["model"]
 
 
@@ -44,10 +45,10 @@ def correct_pairs(spark, sf):
     return p.withColumns({"ca": (F.col("a_said") == F.col("label")).cast("int"), "cb": (F.col("b_said") == F.col("label")).cast("int")})
 
 
-def boot_sql(expr_num, expr_den, point, by=("model",), cluster="cluster", src="pd", seed=SEED):
+def boot_sql(expr_num, expr_den, point, by=("model",), cluster="cluster", src="pd", seed=SEED, reps=REPS):
     b = ", ".join(by)
     on = " AND ".join([f"c.{x} = w.{x}" for x in by] + [f"c.{cluster} = w.{cluster}"])
-    return f"""{draws_sql(src, list(by), cluster, seed)}, c AS (SELECT {b}, {cluster}, {expr_num} AS sn, {expr_den} AS sd FROM {src} GROUP BY ALL),
+    return f"""{draws_sql(src, list(by), cluster, seed, reps)}, c AS (SELECT {b}, {cluster}, {expr_num} AS sn, {expr_den} AS sd FROM {src} GROUP BY ALL),
 r AS (SELECT {', '.join('w.' + x for x in by)}, rep, sum(w * sn) / nullif(sum(w * sd), 0)::DOUBLE AS v FROM c JOIN w ON {on} GROUP BY ALL),
 pt AS (SELECT {b}, {point} AS point FROM {src} GROUP BY ALL), iv AS (SELECT {b}, {LOHI.format(v='v')} FROM r GROUP BY ALL)"""
 
@@ -65,6 +66,12 @@ def _(spark, sf):
     return S.rounded(paired_interval(spark, sf).select("model", "point", "lo", "hi", "dropped"))
 
 
+@query("bootstrap_mean_full", f"WITH {PD}, {boot_sql('sum(cb) - sum(ca)', 'count(*)', 'avg(cb) - avg(ca)', reps=FULL)} {JOINED}")
+def _(spark, sf):
+    b = R.bootstrap(correct_pairs(spark, sf), M, "cluster", R.paired_difference(F.col("ca"), F.col("cb")), FULL, SEED)
+    return S.rounded(b.select("model", "point", "lo", "hi", "dropped"))
+
+
 @query("bootstrap_ratio", f"WITH {V.PAIRED}, {boot_sql('sum(b_score)', 'sum(a_score)', 'sum(b_score) / sum(a_score)', src='paired')} {JOINED}")
 def _(spark, sf):
     b = R.bootstrap(paired(spark, sf), M, "cluster", R.ratio(F.col("b_score"), F.col("a_score")), REPS, SEED)
@@ -236,6 +243,12 @@ def _(spark, sf):
     return S.rounded(I.chi2_permutation(marked(spark, sf), ["model", "arm"], "item_id", "stratum", F.col("state") != "answered", 30, 9))
 
 
+@query("chi2_permutation_full")
+def _(spark, sf):
+    c = I.failure_counts(marked(spark, sf), ["model", "arm"], "stratum", F.col("state") != "answered")
+    return S.rounded(I.permutation_by_counts(c, ["model", "arm"], "stratum", FULL, 9))
+
+
 @query("shared_baseline_null", f"""WITH {V.PAIRED}, mm AS (SELECT cluster, round(avg(a_score), 6) AS a, round(avg(b_score), 6) AS b FROM paired GROUP BY cluster), ix AS (SELECT *, row_number() OVER (ORDER BY cluster) AS i FROM mm),
 sh AS (SELECT rep, b, row_number() OVER (PARTITION BY rep ORDER BY {md5_int("'4'", 'rep', 'cluster')}, cluster) AS i FROM ix CROSS JOIN range(100) t(rep)), j AS (SELECT sh.rep, a, round(sh.b - a, 12) AS d FROM sh JOIN ix ON ix.i = sh.i UNION ALL SELECT -1, a, round(b - a, 12) FROM mm),
 k AS (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY a) + (count(*) OVER (PARTITION BY rep, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY rep ORDER BY d) + (count(*) OVER (PARTITION BY rep, d) - 1) / 2.0::DOUBLE AS rd FROM j), c AS (SELECT rep, corr(ra, rd) AS rho FROM k GROUP BY rep)
