@@ -173,6 +173,18 @@ def _(spark, sf):
     return S.rounded(p.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.avg("prior").alias("prior")))
 
 
+#: All training rows are fitted on; the fallback is met by an added evaluation row of a month (7) that no day has.
+MONTH_PRIOR_FULL = f"WITH {DD}, m AS (SELECT month, avg(label) AS r FROM dl WHERE train GROUP BY month), a AS (SELECT avg(label) AS r FROM dl WHERE train), ev AS (SELECT month FROM dl WHERE NOT train UNION ALL SELECT 7) SELECT ev.month, count(*) AS n, round(avg(coalesce(m.r, a.r)), 6) AS prior FROM ev LEFT JOIN m ON ev.month = m.month, a GROUP BY ALL"
+
+
+@query("month_prior_full", MONTH_PRIOR_FULL)
+def _(spark, sf):
+    d = labelled_days(spark, sf)
+    unseen = spark.range(1).select(F.lit(7).alias("month"))
+    p = Q.month_prior(d.where("train"), d.where("not train").select("month").unionByName(unseen), "month", "label")
+    return S.rounded(p.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.avg("prior").alias("prior")))
+
+
 CL = DD + ", cl AS (" + " UNION ALL ".join(f"SELECT month, '{d}' AS driver, avg({d}) AS mean, stddev_pop({d}) AS sd, count({d}) AS n FROM dl WHERE train GROUP BY month" for d in V.DRIVERS) + ")"
 
 
