@@ -2,8 +2,9 @@ r"""Language identification by averaged hashed subword embeddings with a linear
 
 A text is the mean of the embeddings of its hashed character n-grams; a linear layer and a softmax over the learned languages follow. Embeddings
 and layer are trained by stochastic gradient descent in numpy on whole texts of a hash-drawn sample of at most `TRAIN_ROWS` training documents.
-A part of that sample calibrates: a temperature makes the scores probabilities, and the rejection threshold is the score that only
-`FALSE_REJECTIONS` of the rightly labelled calibration texts fall short of, so clean documents stay.
+A part of that sample calibrates: a temperature makes the scores probabilities, and the rejection threshold is the score that at
+most `FALSE_REJECTIONS` of the rightly labelled calibration texts fall short of, so clean documents stay. Those are fewer than 1,000 texts, hence
+it is the score of the least certain of them, or 0.5 if that is lower.
 
 Defined results: a text that is null or has no letter is `und` with score 0.0 and is rejected; without training rows every text is; null
 languages and documents of the held-out fold are not learned from; repeated documents are judged each; an empty table gives no rows;
@@ -31,7 +32,7 @@ TRAIN_ROWS = 4_000
 #: One training row in five calibrates.
 CALIBRATES = 5
 EPOCHS, RATE = 6, 0.5
-FALSE_REJECTIONS = 0.001
+FALSE_REJECTIONS = 0.001  # of at most 800 calibration texts this is the minimum: no rightly labelled one falls short of the threshold
 UNDETERMINED = "und"
 
 ship(__name__)
