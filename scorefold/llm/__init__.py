@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["toxicity", "simhash", "chat", "decontaminate", "langid", "quality", "urls", "secrets", "mixing", "linededup", "manifest", "exactdedup"]
+MODULES = ["toxicity", "simhash", "chat", "decontaminate", "langid", "quality", "urls", "secrets", "mixing", "linededup", "phrases", "manifest", "exactdedup"]
 
 
 def query(name: str, sql: str | None = None):
