@@ -5,8 +5,7 @@
 from it with a seeded hash; the item's own rows are stepped over; and the drawn positions are looked up with an equi-join.
 Cost: the pool once, plus k rows per item.
 
-*Nearest rows.* The pool is cut into small cells with a bounding box per cell. An item compares itself with the boxes only,
-keeps the cells that may still hold one of its k nearest rows, and meets just those cells' rows. Exact, no candidate cap.
+*Nearest rows* come from a tree of boxes, see ``nearest.py``: exact, no candidate cap.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from pyspark.sql import Window as W
 from scorefold.functions import arrays as A
 from scorefold.functions.arrays import report_features
 from scorefold.functions.columns import hash_int, shown
+from scorefold.operators import nearest as N
 from scorefold.operators.ordered import asof_sum, percentiles, positions, top_rows
 from scorefold.session import checkpointed
 
@@ -233,80 +233,20 @@ def standardized(df: DataFrame, scales: DataFrame) -> DataFrame:
         *[f"__{n}" for n in FEATURES], *[f"{p}_{n}" for n in FEATURES for p in ("mean", "sd", "n")])
 
 
-def _width(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-CUTS = (-1.0, -0.25, 0.25, 1.0)  # cell edges in standard deviations
-
-
-def _cell_features(weights: Sequence[float], rows: int) -> list[str]:
-    """Features to cut cells on, heaviest first, until the cells number about the square root of the pool."""
-    order = sorted(range(len(FEATURES)), key=lambda i: (-weights[i], i))
-    count = 1
-    while (len(CUTS) + 1) ** count < rows**0.5 and count < len(FEATURES):
-        count += 1
-    return [FEATURES[i] for i in order[:count]]
+def nearest_sides(items: DataFrame, pool: DataFrame, scales: DataFrame, scope: str | None, weights: Sequence[float] = WEIGHTS["chg"]) -> tuple[DataFrame, N.Index, dict[str, float]]:
+    """(items, index of the pool, weights by feature) as `nearest.nearest` takes them. A pool row missing a feature sits at the mean; an item missing one
+    ignores it."""
+    by = {f"z_{n}": float(w) for n, w in zip(FEATURES, weights)}
+    scope_col = F.lit("all") if scope is None else F.col(scope)
+    index = N.build(standardized(pool, scales).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in by}), scope_col, by, ["today", "next"])
+    return standardized(items, scales).withColumns({"__scope": scope_col, "__cut": F.date_sub("report_date", 1)}), index, by
 
 
-def retrieve_nearest(items: DataFrame, pool: DataFrame, scales: DataFrame, scope: str | None, weights: Sequence[float] = WEIGHTS["chg"], k: int = K,
-                     cap: int | None = None, bucket_days: int = 365) -> DataFrame:
+def retrieve_nearest(items: DataFrame, pool: DataFrame, scales: DataFrame, scope: str | None, weights: Sequence[float] = WEIGHTS["chg"], k: int = K, cap: int | None = None) -> DataFrame:
     """The k eligible rows nearest in weighted squared distance over the standardised features, ties by id; with ``cap``, at
-    most that many from one incident. A pool row missing a feature sits at the mean; an item missing one ignores it.
-
-    First an item measures the rows of its nearest cells, just enough of them to hold k rows for certain: the k-th distance
-    there bounds the answer. Then it measures every cell whose box lies within that bound, and no other.
-    """
-    scope_col = F.lit("all") if scope is None else F.col(scope)
-    z = [f"z_{n}" for n in FEATURES]
-    p = checkpointed(standardized(pool, scales).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in z}).withColumn("__scope", scope_col))
-    edges = F.array(*[F.lit(x) for x in CUTS])
-    bins = [F.size(F.filter(edges, _at_or_below(f"z_{n}"))).cast("string") for n in _cell_features(weights, p.count())]
-    span = F.floor(F.datediff("report_date", F.lit("1990-01-01").cast("date")) / bucket_days).cast("string")
-    p = p.withColumn("__cell", F.concat_ws("|", "__scope", span, *bins))
-    rows = p.select("__cell", "analogue_id", F.col("incident_id").alias("analogue_incident"), F.col("report_date").alias("analogue_date"), "today", "next", *[F.col(c).alias(f"p_{c}") for c in z])
-    boxes = checkpointed(p.groupBy("__scope", "__cell").agg(
-        F.count(F.lit(1)).alias("__n"), F.min("report_date").alias("__d0"), F.max("report_date").alias("__d1"),
-        *[x for c in z for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]))
-    per_incident = p.groupBy("incident_id").agg(F.count(F.lit(1)).alias("__own"))
-    largest = per_incident.agg(F.max("__own").alias("__max"))
-
-    it = standardized(items, scales).withColumn("__scope", scope_col).withColumn("__cut", F.date_sub("report_date", 1))
-    it = it.withColumns({f"w_{c}": F.when(F.col(c).isNull(), 0.0).otherwise(w) for c, w in zip(z, weights)}).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in z})
-    it = it.select("item_id", "incident_id", "__cut", "__scope", *z, *[f"w_{c}" for c in z]).join(per_incident, "incident_id", "left").crossJoin(F.broadcast(largest))
-    it = checkpointed(it.repartition(_width(it), "item_id"))
-
-    def add(terms: list[Column]) -> Column:
-        out = terms[0]
-        for t in terms[1:]:
-            out = out + t
-        return out
-
-    near = add([F.col(f"w_{c}") * F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0)) ** 2 for c in z])
-    exact = add([F.col(f"w_{c}") * (F.col(f"p_{c}") - F.col(c)) ** 2 for c in z])
-    # boxes number about the square root of the pool per time span: a bounded, checked table, so the box join stays map-side
-    facing = lambda d: d.join(F.broadcast(boxes), "__scope").where(F.col("__d0") < F.col("__cut")).withColumn("__near", near)
-
-    def measured(cells: DataFrame) -> DataFrame:
-        c = cells.select("item_id", "incident_id", "__cut", "__cell", *z, *[f"w_{x}" for x in z]).join(rows, "__cell")
-        c = c.where((F.col("analogue_incident") != F.col("incident_id")) & (F.col("analogue_date") < F.col("__cut")))
-        c = c.select("item_id", "analogue_id", "analogue_incident", "analogue_date", "today", "next", exact.alias("distance"))
-        if cap is not None:
-            c = top_rows(c, ["item_id", "analogue_incident"], [F.col("distance"), F.col("analogue_id")], cap, "__c").drop("__c")
-        return top_rows(c, ["item_id"], [F.col("distance"), F.col("analogue_id")], k, "draw")
-
-    need = (F.lit(k) if cap is None else k * F.col("__max")) + F.coalesce("__own", F.lit(0))
-    sure = F.when(F.col("__d1") < F.col("__cut"), F.col("__n")).otherwise(0)
-    before = F.sum(sure).over(W.partitionBy("item_id").orderBy("__near", "__cell").rowsBetween(W.unboundedPreceding, -1))
-    first = facing(it).withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < need)
-    bound = measured(first).groupBy("item_id").agg(F.count(F.lit(1)).alias("__found"), F.max("distance").alias("__tau"))
-    bound = checkpointed(bound.select("item_id", F.when(F.col("__found") >= k, F.col("__tau")).alias("__tau")))
-    within = F.col("__tau").isNull() | (F.col("__near") <= F.col("__tau") * (1 + 1e-9) + 1e-12)
-    return measured(facing(it.join(bound, "item_id", "left")).where(within))
-
-
-def _at_or_below(name: str):
-    return lambda e: e <= F.col(name)
+    most that many from one incident."""
+    it, index, by = nearest_sides(items, pool, scales, scope, weights)
+    return N.nearest(it, index, by, k, cap)
 
 
 # --- what the draws say -----------------------------------------------------------------------------------------------

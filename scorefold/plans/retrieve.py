@@ -176,7 +176,7 @@ def nearest(name):
 
     def run(spark, sf):
         p = pool(spark, sf)
-        d = R.retrieve_nearest(items(spark, sf), p, R.fit_scales(p, "2024-01-20"), rule.scope, rule.weights, 6, rule.cap, bucket_days=5)
+        d = R.retrieve_nearest(items(spark, sf), p, R.fit_scales(p, "2024-01-20"), rule.scope, rule.weights, 6, rule.cap)
         return d.select("item_id", "analogue_id", F.round("distance", 6).alias("distance"), "draw")
 
     return run
