@@ -67,7 +67,7 @@ def odds_shift(p: Column, delta: Column) -> Column:
     return F.when((p > 0) & (p < 1), 1.0 / (1.0 + F.exp(0 - (F.log(p / (1 - p)) + delta)))).otherwise(p)
 
 
-def _solve(hist: DataFrame, by: Sequence[str], excess: Callable[[Column, Column], Column], lo: float, hi: float, grid: int = 32, passes: int = 9,
+def solve(hist: DataFrame, by: Sequence[str], excess: Callable[[Column, Column], Column], lo: float, hi: float, grid: int = 32, passes: int = 9,
            slack: float = 0.0) -> DataFrame:
     """Per group the root of an increasing function: the weighted sum over (p, n) of ``excess(p, d)``.
 
@@ -91,7 +91,7 @@ def forecast_counts(df: DataFrame, by: Sequence[str], p: str) -> DataFrame:
 def delta_to_mean(df: DataFrame, by: Sequence[str], p: str, target: DataFrame) -> DataFrame:
     """Per group the shift that makes the mean forecast equal the target (``target``: *by, target)."""
     hist = forecast_counts(df, by, p).join(target, list(by))
-    return _solve(hist, by, lambda q, d: odds_shift(q, d) - F.col("target"), -40.0, 40.0)
+    return solve(hist, by, lambda q, d: odds_shift(q, d) - F.col("target"), -40.0, 40.0)
 
 
 def prior_em(df: DataFrame, by: Sequence[str], p: str, source_prior: float) -> DataFrame:
@@ -102,7 +102,7 @@ def prior_em(df: DataFrame, by: Sequence[str], p: str, source_prior: float) -> D
     src = float(np.log(source_prior / (1 - source_prior)))
     prior = lambda d: 1.0 / (1.0 + F.exp(0 - (d + src)))
     # both sides saturate far out, where their difference is rounding noise: the slack keeps the search off that end
-    root = _solve(forecast_counts(df, by, p), by, lambda q, d: prior(d) - odds_shift(q, d), -40.0, 40.0, slack=1e-12)
+    root = solve(forecast_counts(df, by, p), by, lambda q, d: prior(d) - odds_shift(q, d), -40.0, 40.0, slack=1e-12)
     return root.select(*by, "delta", prior(F.col("delta")).alias("prior"))
 
 

@@ -218,21 +218,22 @@ def asof_sum(
     return summed.where(F.col("__side") == 0).drop("__at", "__side", "__w")
 
 
-def value_counts(df: DataFrame, by: Sequence[str], value: str, slices: int | None = SLICES, **sums: Column) -> DataFrame:
-    """Distinct values per group with counts ``n`` (and extra sums), running counts ``cum`` / ``cum_<sum>`` and totals."""
+def value_counts(df: DataFrame, by: Sequence[str], value: str, slices: int | None = SLICES, weight: Column | None = None, **sums: Column) -> DataFrame:
+    """Distinct values per group with counts ``n`` (or sums of whole weights, and extra sums), running counts ``cum`` / ``cum_<sum>`` and totals."""
     by = list(by)
-    hist = checkpointed(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()]))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    hist = checkpointed(df.groupBy(*by, value).agg(n.alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()]))
     return running(
         hist, by, [value], {"cum": F.col("n"), **{f"cum_{k}": F.col(k) for k in sums}}, slices, totals=True
     )
 
 
 def percentiles(
-    df: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, float], slices: int | None = SLICES
+    df: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, float], slices: int | None = SLICES, weight: Column | None = None
 ) -> DataFrame:
-    """Exact linearly interpolated percentiles per group from distinct-value counts: no group meets one task."""
+    """Exact linearly interpolated percentiles per group from distinct-value counts: no group meets one task. A row of whole ``weight`` w counts as w rows."""
     by = list(by)
-    hist = value_counts(df.where(F.col(value).isNotNull()), by, value, slices)
+    hist = value_counts(df.where(F.col(value).isNotNull()), by, value, slices, weight)
     at = {k: F.lit(float(p)) * (F.col("cum_total") - 1) for k, p in wanted.items()}
     parts = []
     for k, idx in at.items():

@@ -179,8 +179,7 @@ def bootstrap_median_difference(df: DataFrame, by: Sequence[str], ident: str, va
     """Row-level bootstrap of the difference of two groups' medians (members are a handful of runs per group)."""
     rows = checkpointed(df.withColumn("__g", group.cast("int")).where(F.col("__g").isNotNull()).select(*by, ident, "__g", value))
     w = cluster_draws(rows, [*by, "__g"], ident, reps, seed)
-    j = rows.join(w, [*by, "__g", ident]).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("w"))))
-    med = percentiles(j, [*by, "rep", "__g"], value, {"m": 0.5})
+    med = percentiles(rows.join(w, [*by, "__g", ident]), [*by, "rep", "__g"], value, {"m": 0.5}, weight=F.col("w"))
     d = med.groupBy(*by, "rep").agg((F.max(F.when(F.col("__g") == 1, F.col("m"))) - F.max(F.when(F.col("__g") == 0, F.col("m")))).alias("v"))
     return percentile_interval(d, by, "v")
 

@@ -4,12 +4,14 @@ from pyspark.sql import functions as F
 
 from scorefold.functions import arrays as AR
 from scorefold.operators import calibration as Q
+from scorefold.operators import draws as D
 from scorefold.operators import joins as J
 from scorefold.operators import panel as P
 from scorefold.operators import scores as S
 from scorefold.plans.cohort import md5_int, scored
 from scorefold.plans.registry import query
 from scorefold.plans.scores import B, BOTH, FR, answered, frame_calls
+from scorefold.session import checkpointed
 from scorefold.sources import standins as V
 
 EDGE = " + ".join(f"CAST(score > {i} * 0.1::DOUBLE AS INTEGER)" for i in range(1, 10))
@@ -111,6 +113,14 @@ def _(spark, sf):
     return S.rounded(Q.chance_band(s, BOTH, "item_id", "score", ob, 100, 3))
 
 
+@query("chance_band_full")
+def _(spark, sf):
+    s = checkpointed(scored(spark, sf))
+    w = Q.reliability_width(s, BOTH)
+    ob = w.groupBy(*BOTH).agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("rate"))) / F.sum("n")).alias("ece"))
+    return S.rounded(D.chance_band(s, BOTH, "score", ob, 20_000, 3))
+
+
 # --- thresholds -------------------------------------------------------------------------------------------------------
 FS = FR + ", fs AS (SELECT sequence, CAST(pixels[1] AS DOUBLE) AS score, label FROM fl)"
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from scorefold.operators import audit as A
+from scorefold.operators import draws as D
 from scorefold.operators import inference as I
 from scorefold.operators import resample as R
 from scorefold.operators import scores as S
@@ -191,6 +192,12 @@ def _(spark, sf):
     return S.rounded(R.bootstrap_median_difference(it, ["stratum"], "item_id", "v", F.col("label"), 50, SEED))
 
 
+@query("bootstrap_median_difference_full")
+def _(spark, sf):
+    it = V.paired_items(spark, sf).withColumn("v", F.col("n_chars").cast("double"))
+    return S.rounded(D.median_difference(it, ["stratum"], "item_id", "v", F.col("label"), FULL, SEED))
+
+
 # --- tests ------------------------------------------------------------------------------------------------------------
 BIN_P = "CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) FOR i IN range(CAST(least(b_only, a_only) AS BIGINT) + 1)])) END"
 MC = "mc AS (SELECT {k}, count(*) FILTER (cb = 1 AND ca = 0) AS b_only, count(*) FILTER (cb = 0 AND ca = 1) AS a_only, count(*) FILTER (ca <> cb) AS n FROM {src} GROUP BY ALL)"
@@ -259,6 +266,12 @@ def _(spark, sf):
     return S.rounded(I.shared_baseline_null(m, "cluster", "a", "b", 100, 4))
 
 
+@query("shared_baseline_null_full")
+def _(spark, sf):
+    m = paired(spark, sf).groupBy("cluster").agg(F.round(F.avg("a_score"), 6).alias("a"), F.round(F.avg("b_score"), 6).alias("b"))
+    return S.rounded(D.shared_baseline_null(m, "cluster", "a", "b", FULL, 4))
+
+
 @query("halfwidth", "WITH g AS (SELECT l_shipdate::DATE AS d, count(*) AS n, avg(CAST(l_returnflag = 'A' AS INTEGER)) AS p FROM lineitem GROUP BY ALL) SELECT CAST(d AS VARCHAR) AS d, round(1.96::DOUBLE * sqrt(p * (1 - p) / n), 6) AS half, CASE WHEN list_contains([round(k / n::DOUBLE, 2) FOR k IN range(n + 1)], round(round(p, 2) + 0.01, 2)) THEN 1 ELSE 0 END AS reachable FROM g")
 def _(spark, sf):
     l = V.table(spark, sf, "lineitem")
