@@ -7,9 +7,11 @@ from scorefold.operators import calibration as Q
 from scorefold.operators import draws as D
 from scorefold.operators import joins as J
 from scorefold.operators import panel as P
+from scorefold.operators import refit as RF
 from scorefold.operators import scores as S
 from scorefold.plans.cohort import md5_int, scored
 from scorefold.plans.registry import query
+from scorefold.plans.resample import draws_sql
 from scorefold.plans.scores import B, BOTH, FR, answered, frame_calls
 from scorefold.session import checkpointed
 from scorefold.sources import standins as V
@@ -102,6 +104,58 @@ def _(spark, sf):
     return S.rounded(Q.crossfit_isotonic(s, BOTH, "score", "label", "fold", 5))
 
 
+REFIT_REPS = 20
+FOLD_SEEDS = range(20)
+ISO_AT = "CASE WHEN x0 IS NULL THEN v1 WHEN x1 IS NULL OR x0 = score OR x1 = x0 THEN v0 ELSE v0 + (v1 - v0) * (score - x0) / (x1 - x0) END"
+
+
+def refit_losses(spark, sf, reps):
+    s = Q.group_folds(answered(spark, sf), "cluster", 5, 5)
+    return RF.replicate_losses(s, ["model"], ["arm"], "cluster", "score", "label", "fold", 5, reps, 17)
+
+
+def fitted_sql(hist, key, probe):
+    """Cross-fitted value `fitted` of each (key, fold, score) of `hist` (n, s): read off the isotonic fit to the other folds."""
+    k = ", ".join(key)
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in key)
+    return f"""tq AS (SELECT {', '.join('h.' + c for c in key)}, g.fold, score, sum(n) AS n, sum(s) AS s FROM {hist} h JOIN (SELECT unnest(range(5)) AS fold) g ON g.fold <> h.fold GROUP BY ALL),
+{iso_sql('tq', [*key, 'fold'], 'score', 'n', 's')},
+nb AS (SELECT {', '.join('h.' + c for c in key)}, h.fold, h.score, h.n, h.s, max(x) FILTER (x <= score) AS x0, arg_max(fitted, x) FILTER (x <= score) AS v0, min(x) FILTER (x >= score) AS x1, arg_min(fitted, x) FILTER (x >= score) AS v1 FROM {hist} h JOIN iso ON {on('h', 'iso')} AND h.fold = iso.fold GROUP BY ALL),
+{probe} AS (SELECT {k}, fold, n, s, {ISO_AT} AS q FROM nb)"""
+
+
+@query("refit_loss", f"""WITH {B}, {FOLDS}, {draws_sql('sf', ['model'], 'cluster', 17, REFIT_REPS)}, w1 AS (SELECT * FROM w UNION ALL SELECT DISTINCT model, -1, cluster, 1 FROM sf),
+rh AS (SELECT sf.model, arm, rep, fold, score, sum(w) AS n, sum(w * label) AS s FROM sf JOIN w1 ON w1.model = sf.model AND w1.cluster = sf.cluster GROUP BY ALL), {fitted_sql('rh', ['model', 'arm', 'rep'], 'fq')}
+SELECT model, arm, CAST(rep AS INTEGER) AS rep, round(sum(s * (1 - q) ** 2 + (n - s) * q ** 2), 6) AS loss, sum(n)::DOUBLE AS weight FROM fq GROUP BY ALL""")
+def _(spark, sf):
+    return S.rounded(refit_losses(spark, sf, REFIT_REPS))
+
+
+@query("refit_loss_full")
+def _(spark, sf):
+    return S.rounded(RF.loss_difference(refit_losses(spark, sf, 20_000), ["model"], "arm", "bare", "grounded"))
+
+
+SWEEP = f"""{B}, fc AS (SELECT cluster, fs, {md5_int('fs', 'cluster')} AS h FROM (SELECT DISTINCT cluster FROM s), range(20) t(fs)), ff AS (SELECT cluster, fs, ntile(5) OVER (PARTITION BY fs ORDER BY h, cluster) - 1 AS fold FROM fc),
+fh AS (SELECT model, arm, fs, fold, score, count(*) AS n, sum(label) AS s FROM s JOIN ff ON s.cluster = ff.cluster GROUP BY ALL), {fitted_sql('fh', ['model', 'arm', 'fs'], 'fq')},
+eb AS (SELECT model, arm, fs, {EDGE.replace('score', 'q')} AS bin, abs(sum(n * q) - sum(s)) AS d, sum(n) AS n FROM fq GROUP BY ALL), ee AS (SELECT model, arm, fs, sum(d) / sum(n) AS ece FROM eb GROUP BY ALL),
+er AS (SELECT e.*, r.ece AS ref FROM ee e JOIN ee r ON r.model = e.model AND r.fs = e.fs AND r.arm = 'bare')"""
+
+
+def sweep_errors(spark, sf):
+    return RF.fold_sweep_errors(answered(spark, sf), BOTH, "cluster", "score", "label", 5, FOLD_SEEDS)
+
+
+@query("fold_sweep", f"WITH {SWEEP} SELECT model, arm, count(*) AS draws, round(min(ece), 6) AS ece_min, round(median(ece), 6) AS ece_median, round(max(ece), 6) AS ece_max, round(avg(CAST(ece < ref AS INTEGER)), 6) AS below FROM er GROUP BY ALL")
+def _(spark, sf):
+    return S.rounded(RF.fold_sweep(sweep_errors(spark, sf), ["model"], "arm", "bare"))
+
+
+@query("fold_sweep_runs_below", f"WITH {SWEEP}, p AS (SELECT fs, sum(CAST(ece < ref AS INTEGER))::BIGINT AS runs_below FROM er WHERE arm <> 'bare' GROUP BY fs) SELECT runs_below, count(*) AS draws FROM p GROUP BY ALL")
+def _(spark, sf):
+    return RF.runs_below(sweep_errors(spark, sf), ["model"], "arm", "bare")
+
+
 @query("chance_band", f"""WITH {RW}, ob AS (SELECT model, arm, sum(n * abs(mean_p - rate)) / sum(n) AS ece FROM rw GROUP BY ALL),
 u AS (SELECT rw0.*, r.rep, CAST({md5_int("'3'", 'r.rep', 'model', 'arm', 'item_id')} / 1152921504606846976.0::DOUBLE < score AS INTEGER) AS hit FROM rw0 CROSS JOIN range(100) r(rep)),
 d AS (SELECT model, arm, rep, bin, sum(score - hit) AS d, count(*) AS n FROM u GROUP BY ALL), e AS (SELECT model, arm, rep, sum(abs(d)) / sum(n) AS ece_draw FROM d GROUP BY ALL)
