@@ -23,11 +23,11 @@ def rows(df, *cols):
 
 def test_registry():
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", x)[0] for x in names if re.match(r"op\d+_", x)}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", x)[0] for x in names if re.match(r"op\d+_", x)}
     assert "pipeline" in names and set(llm.ORACLES) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op3_chat_formatting", "op6_quality_rules", "op7_url_filter", "op8_secret_scan", "op9_source_mixing", "op10_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_chat_formatting", "op6_quality_rules", "op7_url_filter", "op8_secret_scan", "op9_source_mixing", "op10_line_dedup", "op11_phrase_collocations", "op12_merkle_manifest", "op13_exact_dedup"])
 def test_matches_sql(spark, name):
     assert compare(entry.queries()[name](spark, SF), duck(SF), entry.oracle_sql()[name]) is None
 
@@ -68,6 +68,40 @@ def test_toxicity_on_held_out_rows_and_by_brute_force(spark):
         assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-5
 
 
+def held_out_scores(spark, sf):
+    docs, labels = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").toPandas()
+    return got, got[got.doc_id.map(lambda i: __import__("zlib").crc32(str(i).encode()) % 5 == 0)]
+
+
+def test_toxicity_on_the_smallest_table(spark):
+    got, held = held_out_scores(spark, "sf0.001")
+    hit, miss = held[held.toxic == 1].score, held[held.toxic == 0].score
+    assert got.score.nunique() > 10 and np.mean([[a > b for b in miss] for a in hit]) > 0.8
+    assert ((got.score >= 0.5) == (got.toxic == 1)).mean() > 0.85
+
+
+def test_toxicity_with_few_labels_says_the_share(spark):
+    docs = spark.createDataFrame([(i, f"text {i} of a few") for i in range(4)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(4)], "doc_id bigint, toxic int")
+    kept = [i for i in range(4) if __import__("zlib").crc32(str(i).encode()) % 5]
+    model = toxicity.fit(docs, labels)
+    assert not model.weights.any() and {1 in kept, len(kept) < toxicity.MIN_TEXTS} == {True}
+    assert all(abs(r["score"] - 2 / (len(kept) + 2)) < 1e-9 for r in toxicity.score(docs, model).collect())
+
+
+def test_toxicity_packs_buckets_and_counts_repeated_ids_once(spark):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 20, n)).astype(np.uint32) for n in (0, 1, 500, 0, 3, 40_000, 0)] + [np.array([0, 254, 255, 509, 510, 765], np.uint32)]
+    for some in (sets, sets[:1], sets[3:4] + sets[:2]):
+        assert np.array_equal(toxicity.unpack([toxicity.pack(s) for s in some], np.array([len(s) for s in some])), np.concatenate(some))
+    rows = [(i, f"alpha beta gamma {i % 3}", int(i % 4 == 0)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    one, many = toxicity.fit(docs, labels), toxicity.fit(docs.unionByName(docs.where("doc_id < 30")), labels.unionByName(labels))
+    assert np.array_equal(one.weights, many.weights) and one.intercept == many.intercept
+
+
 def test_toxicity_odd_inputs(spark, odd):
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, 0), (6, 0), (None, 1), (8, None)], "doc_id bigint, toxic int")
     scores = rows(toxicity.score(odd, toxicity.fit(odd, labels)), "doc_id", "score")
@@ -377,21 +411,18 @@ def test_mixing_beyond_the_broadcast_bound(spark, odd, monkeypatch):
 
 
 def naive_line_dedup(docs, least=3, mass=50):
-    """docs: distinct (doc_id, text) in order of doc_id."""
+    """Texts less every later run of at least `least` lines or `mass` words, however long. docs: distinct (doc_id, text) in order of doc_id."""
     strip = " \t\n\x0b\x0c\r"
-    seen, out = set(), {}
-    units = {i: [(k, x.strip(strip)) for k, x in enumerate((t or "").split("\n")) if x.strip(strip)] for i, t in docs}
-    dead = {i: set() for i, _ in docs}
-    for i, _ in docs:
-        u = units[i]
+    seen, dead, out = set(), {i: set() for i, _ in docs}, {}
+    for i, t in docs:
+        u = [(k, x.strip(strip)) for k, x in enumerate((t or "").split("\n")) if x.strip(strip)]
         for a in range(len(u)):
             for b in range(a + 1, len(u) + 1):
                 part = tuple(x for _, x in u[a:b])
-                if len(part) == least or sum(len(x.split()) for x in part) >= mass:
+                if len(part) >= least or sum(len(x.split()) for x in part) >= mass:
                     if part in seen:
                         dead[i] |= {k for k, _ in u[a:b]}
                     seen.add(part)
-                    break
     for i, t in docs:
         left = [x for k, x in enumerate((t or "").split("\n")) if k not in dead[i]]
         if not dead[i]:
@@ -409,40 +440,19 @@ def test_line_dedup_equals_a_plain_loop(spark):
     assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()} == naive_line_dedup(docs)
 
 
-def naive_maximal_runs(docs, least=3, mass=50):
-    """Lines left when every later run of at least `least` lines or `mass` words goes, however long; docs as in naive_line_dedup, without blank lines."""
-    lines = {i: t.split("\n") for i, t in docs}
-    spans = [(i, a, b) for i, _ in docs for a in range(len(lines[i])) for b in range(a + 1, len(lines[i]) + 1)]
-    seen, dead = set(), set()
-    for i, a, b in spans:
-        part = tuple(lines[i][a:b])
-        if b - a >= least or sum(len(x.split()) for x in part) >= mass:
-            if part in seen:
-                dead |= {(i, k) for k in range(a, b)}
-            seen.add(part)
-    left = {i: [x for k, x in enumerate(lines[i]) if (i, k) not in dead] for i, _ in docs}
-    return {i: "\n".join(x) for i, x in left.items() if x}
-
-
 def test_line_dedup_extends_a_match_to_its_end(spark):
     n = lambda k, name: " ".join([name] * k)
     short_tail, word_tail = [n(60, "a"), n(5, "b"), n(5, "c")], [n(7, "d"), n(25, "e"), n(25, "f"), n(3, "g")]
     docs = [(k, "\n".join([f"start {k}", *run, f"end {k}"])) for k, run in enumerate([short_tail, short_tail, word_tail, word_tail])]
     docs += [(4, "\n".join([n(60, "h"), "tail of an exact copy"])), (5, "\n".join([n(60, "h"), "tail of an exact copy"]))]
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), extend=True).collect()}
-    assert got[1] == "start 1\nend 1" and got[3] == "start 3\nend 3" and 5 not in got and got == naive_maximal_runs(docs)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got[1] == "start 1\nend 1" and got[3] == "start 3\nend 3" and 5 not in got and got == naive_line_dedup(docs)
 
     rng = random.Random(12)
     pool = [f"line {k} " + n(rng.randrange(1, 30), "x") for k in range(8)] + [n(60, "w")]
     docs = [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 12)))) for i in range(60)]
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), extend=True).collect()}
-    assert got == naive_maximal_runs(docs) != naive_line_dedup(docs)
-
-
-def test_line_dedup_extended_matches_sql(spark, odd):
-    assert compare(entry.queries()["op10_line_dedup_extended"](spark, SF), duck(SF), entry.oracle_sql()["op10_line_dedup_extended"]) is None
-    assert linededup.dedup_lines(odd, extend=True).columns == [*odd.columns, "_deleted_lines"]
-    assert linededup.dedup_lines(odd.limit(0), extend=True).count() == 0
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)).collect()}
+    assert got == naive_line_dedup(docs)
 
 
 def test_line_dedup_odd_inputs(spark, odd):
