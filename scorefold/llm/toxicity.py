@@ -2,13 +2,16 @@ r"""Toxicity by a character n-gram linear classifier over naive Bayes features.
 
 Features are hashed character n-grams, present or not in a text. Their log-count ratio r = log(p / q), where p and q are the smoothed shares of
 toxic and other training texts that hold the n-gram, scales them: a logistic regression sees r where the n-gram is present and 0 elsewhere.
-Only n-grams whose ratio differs from zero beyond chance (`MIN_Z` standard errors) are features, so a long clean text gathers no noise.
+Every n-gram that `MIN_TEXTS` training texts hold is a feature. A ratio is shrunk by z^4 / (z^4 + `Z_HALF`^4), z being the ratio in standard errors, so
+what chance explains weighs little without being cut off; the ridge does the rest. The intercept starts at the log-odds of the toxic share, which is
+also the score of a text without evidence where there are too few texts for any feature.
 
 Counts of the n-grams are taken by tasks and summed by Spark; what reaches the driver is bounded by the number of buckets and by `TRAIN_ROWS`
-rows, a hash-drawn sample of the labelled training rows. Scoring is one pass over the documents with the finished weights.
+rows, a hash-drawn sample of the labelled training rows, about one byte for each feature that a row holds. Scoring is one pass over the documents.
 
 Defined results: null and empty texts have no features and get the score of the intercept; a document labelled several times counts as toxic if
-one label says so; null labels are ignored; without two classes among the training rows every score is their smoothed share of toxic rows (0.0
+one label says so, and a doc_id that is repeated is one training row, that of its smallest text; null labels are ignored; with fewer than
+`MIN_TEXTS` training texts for every n-gram all scores are the smoothed share of toxic rows; without two classes among the training rows every score is their smoothed share of toxic rows (0.0
 without rows); repeated documents are scored each; an empty table gives no rows; further columns are not looked at.
 """
 
@@ -29,11 +32,14 @@ from scorefold.llm.grams import buckets
 SIZES = range(3, 7)
 BITS = 20
 TRAIN_ROWS = 12_000
-#: Features are the n-grams of the largest z values, at least MIN_Z and held by MIN_TEXTS training texts; so many at most.
-MIN_Z = 4.0
 MIN_TEXTS = 5
-FEATURES = 1 << 14
-STEPS, RATE, DECAY = 400, 0.05, 1e-3
+#: Standard errors at which a ratio is halved.
+Z_HALF = 3.0
+#: Costs of the classes go with this power of their inverse shares (0: alike for rows, 1: alike for classes).
+CLASS_POWER = 0.5
+STEPS, DECAY = 40, 1e-2
+#: Rows whose features are unpacked at once.
+UNPACKED = 100
 
 ship(__name__)
 
@@ -66,54 +72,89 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most `rows` labelled documents outside the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = stored(found.select("text", "toxic"), "toxicity-sample")
     classes = {int(r["toxic"] > 0): r["n"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n0, n1 = classes.get(0, 0), classes.get(1, 0)
+    share = (n1 + 1) / (n0 + n1 + 2) if n0 + n1 else 0.0
+    base = float(np.log(share / (1 - share))) if share else -np.inf
     if not n0 or not n1:
-        share = (n1 + 1) / (n0 + n1 + 2) if n0 + n1 else 0.0
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))) if share else -np.inf)
+        return Model(np.zeros(1 << BITS, np.float32), base)
     sample = sample.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     counts = sample.mapInPandas(_counts, "bucket int, other bigint, toxic bigint").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     c = counts.where(F.col("other") + F.col("toxic") >= MIN_TEXTS).toArrow().to_pandas().sort_values("bucket")  # at most 2^BITS rows
     ratio = np.log((c["toxic"] + 1) / (n1 + 2)) - np.log((c["other"] + 1) / (n0 + 2))
     error = np.sqrt(1 / (c["toxic"] + 1) + 1 / (c["other"] + 1))
-    z = np.abs(ratio / error)
-    best = z[z >= MIN_Z].sort_values(ascending=False, kind="stable").index[:FEATURES]
-    c, ratio = c.loc[best], ratio.loc[best]
+    z4 = (ratio / error) ** 4
     ratios = np.zeros(1 << BITS, np.float64)
-    ratios[c["bucket"]] = ratio
+    ratios[c["bucket"]] = ratio * z4 / (z4 + Z_HALF**4)
     feature = ratios != 0
+    if not feature.any():
+        return Model(np.zeros(1 << BITS, np.float32), base)
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"toxic": b["toxic"], "hits": [(p[0] if (p := _present(t, feature)) else np.zeros(0, np.uint32)).astype(np.int32) for t in b["text"]]})
-
-    seen = sample.mapInPandas(hits, "toxic int, hits array<int>").toArrow().to_pandas()  # at most `rows` rows, features only
-    seen = seen.assign(order=[np.asarray(h).tobytes() for h in seen["hits"]]).sort_values(["toxic", "order"])  # sums in one order, whatever the tasks'
-    return Model(*_regress(seen["hits"], seen["toxic"].to_numpy(np.float64), ratios))
-
-
-def _regress(hits: pd.Series, y: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with ridge on present features scaled by their ratios (Adam, full batches); classes weigh alike."""
-    used = np.flatnonzero(ratios)
-    number = np.zeros(len(ratios), np.int32)
-    number[used] = np.arange(len(used))
-    column = number[np.concatenate([*hits, np.zeros(0, np.int32)])]
-    row = np.repeat(np.arange(len(y), dtype=np.int32), hits.map(len))
-    value = ratios[used].astype(np.float32)[column]
-    share = y.mean()
-    cost = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(y)
-    w = np.zeros(len(used) + 1)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, STEPS + 1):
-        z = np.bincount(row, value * w[column], len(y)) + w[-1]
-        slope = cost * (1 / (1 + np.exp(-z)) - y)
-        g = np.append(np.bincount(column, value * slope[row], len(used)) + DECAY * w[:-1], slope.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    weights = np.zeros(len(ratios), np.float32)
-    weights[used] = w[:-1] * ratios[used]
-    return weights, float(w[-1])
+            found = [(p[0] if (p := _present(t, feature)) else np.zeros(0, np.uint32)) for t in b["text"]]
+            yield pd.DataFrame({"toxic": b["toxic"], "n": [len(h) for h in found], "steps": [pack(h) for h in found]})
+
+    seen = sample.mapInPandas(hits, "toxic int, n int, steps binary").toArrow().to_pandas()  # at most `rows` rows
+    seen = seen.sort_values(["toxic", "steps"], kind="stable")  # sums in one order, whatever the tasks'
+    return Model(*_regress(seen["steps"].tolist(), seen["n"].to_numpy(), seen["toxic"].to_numpy(np.float64), ratios, base))
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Ascending bucket numbers as bytes: each step from the last one as its remainder by 255 behind as many bytes 255 as it holds."""
+    step = np.diff(numbers.astype(np.int64), prepend=0)
+    ends = np.cumsum(step // 255 + 1) - 1
+    out = np.full(ends[-1] + 1 if len(ends) else 0, 255, np.uint8)
+    out[ends] = step % 255
+    return out.tobytes()
+
+
+def unpack(rows: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """The bucket numbers of several packed rows, one after the other."""
+    v = np.frombuffer(b"".join(rows), np.uint8)
+    total = np.cumsum(v, dtype=np.int64)
+    stop = np.cumsum([len(r) for r in rows])
+    before = np.concatenate([[0], total[stop[:-1] - 1] if len(v) else []]).astype(np.int64)
+    before[np.concatenate([[0], stop[:-1]]) == 0] = 0
+    return total[v < 255] - np.repeat(before, counts)
+
+
+def _regress(rows: list[bytes], counts: np.ndarray, y: np.ndarray, ratios: np.ndarray, base: float) -> tuple[np.ndarray, float]:
+    """Logistic regression with ridge on present features scaled by their ratios: accelerated full gradients, step from the largest curvature."""
+    n, at = len(y), range(0, len(y), UNPACKED)
+    parts = [(slice(k, k + UNPACKED), np.repeat(np.arange(min(UNPACKED, n - k), dtype=np.int32), counts[k : k + UNPACKED])) for k in at]
+
+    def sums(w: np.ndarray, slope=None):
+        """Per row the sum of its features' ratio times weight; with `slope` of those sums, per feature the slopes times ratio, summed over the rows."""
+        m, g, scaled = np.zeros(n), np.zeros(len(ratios)), ratios * w
+        for rows_of, row in parts:
+            column = unpack(rows[rows_of], counts[rows_of])
+            m[rows_of] = np.bincount(row, scaled[column], len(counts[rows_of]))
+            g += np.bincount(column, slope(m[rows_of], rows_of)[row], len(ratios))
+        return m, g * ratios
+
+    cost = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** CLASS_POWER / n
+    v = np.random.default_rng(0).normal(size=len(ratios))
+    for _ in range(6):
+        v /= np.linalg.norm(v)
+        v = sums(v, lambda m, at: m / n)[1]
+    rate = 1 / (0.3 * (np.linalg.norm(v) + 1) * cost.max() * n + DECAY)  # 0.25 bounds the curvature of the loss; the rest allows for the few rounds
+    w, b, tw, tb, t = np.zeros(len(ratios)), base, np.zeros(len(ratios)), base, 1.0
+    for _ in range(STEPS):
+        slopes = np.zeros(n)
+
+        def slope(m: np.ndarray, at: slice, tb: float = tb, slopes: np.ndarray = slopes) -> np.ndarray:
+            slopes[at] = cost[at] * (1 / (1 + np.exp(-np.clip(m + tb, -700, 700))) - y[at])
+            return slopes[at]
+
+        _, g = sums(tw, slope)
+        nw, nb = tw - rate * (g + DECAY * tw), tb - rate * slopes.sum()
+        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        tw, tb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
+        w, b, t = nw, nb, nt
+    return (w * ratios).astype(np.float32), float(b)
 
 
 def score_text(text: str | None, model: Model, used: np.ndarray) -> float:
