@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from scorefold.functions.text import sql_log_flags
 from scorefold.operators.ordered import positions, running, top_rows
 from scorefold.session import checkpointed
 
@@ -220,6 +221,19 @@ def families_agree(stored: Mapping[str, DataFrame], again: Mapping[str, tuple[li
     return out
 
 
+def run_again(stored: Mapping[str, tuple[list[str], str]], **views: DataFrame) -> dict[str, tuple[list[str], DataFrame]]:
+    """family: (keys, keys and ``answer`` as text) of stored queries, each run anew as one job over the given views (named in braces in the text).
+
+    A text that is empty, several statements, no SELECT or WITH, or that has a forbidden word is refused: it came out of a file.
+    """
+    spark = next(iter(views.values())).sparkSession
+    texts = spark.createDataFrame([(f, q) for f, (_, q) in stored.items()], "family string, q string")  # one row per family
+    for r in texts.select("family", sql_log_flags("q").alias("f")).collect():
+        if r["f"]["empty"] or r["f"]["several"] or r["f"]["forbidden"] or r["f"]["first_word"] not in ("SELECT", "WITH"):
+            raise ValueError(f"stored query of {r['family']} refused")
+    return {f: (keys, spark.sql(q, **views).select(*keys, F.col("answer").cast("string").alias("answer"))) for f, (keys, q) in stored.items()}
+
+
 # --- deterministic picks ----------------------------------------------------------------------------------------------
 def per_state_offset(cands: DataFrame, offset: int, per_state: int, key: Sequence[str]) -> DataFrame:
     """The j-th pick of the state of rank r is its candidate at (7 r + offset + 13 j) modulo the state's size."""

@@ -169,13 +169,35 @@ def _(spark, sf):
     return T.families_agree(stored, again)
 
 
-@query("self_check", f"""WITH {R}, s AS (SELECT state, year, round(sum(size), 1) AS stored FROM records GROUP BY ALL)
-SELECT state, year, stored, stored + CASE WHEN year = 1998 THEN 1.0 ELSE 0 END AS recomputed, CASE WHEN year = 1998 THEN 0 ELSE 1 END AS agrees FROM s""")
+# Stored queries of the families, as a file of items keeps them; `{records}` is the table of records.
+STORED = {
+    "count_state_year": (["state", "year"], "SELECT state, year, count(*) AS answer FROM {records} GROUP BY state, year"),
+    "count_cause_state_year": (["state", "year", "cause"], "SELECT state, year, cause, count(*) AS answer FROM {records} GROUP BY state, year, cause"),
+    "acres_state_year": (["state", "year"], "SELECT state, year, round(sum(size), 1) AS answer FROM {records} GROUP BY state, year -- acres"),
+    "human_share_state_year": (["state", "year"], "SELECT state, year, 100.0 * avg(CASE WHEN size_class = 'F' THEN 1.0 ELSE 0.0 END) AS answer FROM {records} GROUP BY state, year"),
+    "largest_fire_name": (["state", "year"], "WITH top AS (SELECT state, year, max(size) AS size FROM {records} GROUP BY state, year) SELECT r.state, r.year, min(r.name) AS answer FROM {records} r JOIN top USING (state, year, size) WHERE size >= 450000 GROUP BY r.state, r.year HAVING count(*) = 1 AND trim(min(r.name)) <> ''"),
+}
+ANSWER = {"count_state_year": "n", "count_cause_state_year": "n", "acres_state_year": "total", "human_share_state_year": "share", "largest_fire_name": "name"}
+
+
+@query("self_check", f"""WITH {R}, s AS (SELECT state, year, round(sum(size), 1) AS again FROM records GROUP BY ALL)
+SELECT state, year, again - CASE WHEN year = 1998 THEN 1.0 ELSE 0 END AS stored, again AS recomputed, CASE WHEN year = 1998 THEN 0 ELSE 1 END AS agrees FROM s""")
 def _(spark, sf):
     r = V.records(spark, sf)
-    stored = T.totals(r, ["state", "year"], "size").withColumnRenamed("total", "answer")
-    again = stored.withColumn("answer", F.col("answer") + F.when(F.col("year") == 1998, 1.0).otherwise(0.0))
-    return T.compare_answers(stored, again, ["state", "year"], 1e-6)
+    stored = T.totals(r, ["state", "year"], "size")  # the answers of 1998 are off by one: the check must find them
+    stored = stored.withColumn("answer", F.col("total") - F.when(F.col("year") == 1998, 1.0).otherwise(0.0))
+    keys, again = T.run_again({"acres": STORED["acres_state_year"]}, records=r)["acres"]
+    return T.compare_answers(stored, again.withColumn("answer", F.col("answer").cast("double")), keys, 1e-6)
+
+
+@query("run_stored_queries", "SELECT family, checked, checked - CASE WHEN family = 'count_state_year' THEN 1 ELSE 0 END AS agree, 0::BIGINT AS only_stored, 0::BIGINT AS only_recomputed FROM ("
+       + " UNION ALL ".join(f"SELECT '{f}' AS family, count(*) AS checked FROM ({ORACLES[f]})" for f in STORED) + ")")
+def _(spark, sf):
+    stored = {f: QUERIES[f](spark, sf).withColumn("answer", F.col(ANSWER[f]).cast("string")) for f in STORED}
+    counts = stored["count_state_year"]  # one stored answer is off by one
+    first = counts.agg(F.min(F.struct("state", "year")).alias("w"))
+    stored["count_state_year"] = counts.crossJoin(F.broadcast(first)).withColumn("answer", (F.col("n") + (F.struct("state", "year") == F.col("w")).cast("int")).cast("string"))
+    return T.families_agree(stored, T.run_again(STORED, records=V.records(spark, sf)))
 
 
 # --- deterministic picks over the cells -------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from scorefold.operators import draws as D
 from scorefold.operators import inference as I
 from scorefold.operators import resample as R
 from scorefold.operators import scores as S
+from scorefold.operators import task as K
 from scorefold.plans.audit import RESP, marked
 from scorefold.plans.cohort import md5_int, paired, scored
 from scorefold.plans.registry import query
@@ -340,3 +341,35 @@ SELECT cluster, CAST(sum(w) AS BIGINT) AS w, count(*) AS reps FROM w WHERE w > 0
 def _(spark, sf):
     w = R.poisson_weights(V.paired_items(spark, sf), [], "cluster", REPS, SEED)
     return w.groupBy("cluster").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("reps"))
+
+
+# --- tasks as column expressions --------------------------------------------------------------------------------------
+TASKS_SQL = f"""WITH {V.PAIRED}, {V.NUMERIC}, tk AS (
+ SELECT 'calls' AS task, model || '/' || arm AS run, cluster, stratum, CAST(said = label AS INTEGER)::DOUBLE AS score, CAST(said IS NULL AS INTEGER) AS failed FROM scored
+ UNION ALL SELECT 'amounts', run || '/' || arm, CAST(group_id AS VARCHAR), CAST(year(day) AS VARCHAR), CAST(abs(target - prediction) / greatest(target, 1) <= 0.25 AS INTEGER)::DOUBLE, CAST(prediction IS NULL AS INTEGER) FROM nlog)"""
+
+
+def tasks(spark, sf):
+    calls = K.Task("calls", ["model", "arm"], (F.col("said") == F.col("label")).cast("int"), F.col("said").isNull(), F.col("cluster"), F.col("stratum"))
+    near = (F.abs(F.col("target") - F.col("prediction")) / F.greatest("target", F.lit(1.0)) <= 0.25).cast("int")
+    amounts = K.Task("amounts", ["run", "arm"], near, F.col("prediction").isNull(), F.col("group_id"), F.year("day"))
+    return K.together([(calls, scored(spark, sf)), (amounts, V.numeric_log(spark, sf))])
+
+
+@query("task_scores", TASKS_SQL + " SELECT task, run, stratum, count(*) AS n, count(score) AS scored, sum(failed)::BIGINT AS failures, round(avg(score), 6) AS mean_score FROM tk GROUP BY ALL")
+def _(spark, sf):
+    return S.rounded(K.score_table(tasks(spark, sf), strata=True))
+
+
+TK = TASKS_SQL + ", ts AS (SELECT * FROM tk WHERE score IS NOT NULL), " + boot_sql("sum(score)", "count(*)", "avg(score)", by=("task", "run"), src="ts", reps=50)
+
+
+@query("task_intervals", f"{TK} SELECT pt.task, pt.run, round(point, 6) AS point, round(lo, 6) AS lo, round(hi, 6) AS hi, dropped FROM pt JOIN iv ON pt.task = iv.task AND pt.run = iv.run")
+def _(spark, sf):
+    return S.rounded(K.score_intervals(tasks(spark, sf), 50, SEED))
+
+
+@query("task_failures", TASKS_SQL + """, c AS (SELECT task, run, stratum, sum(failed) AS f, count(*) AS n FROM tk GROUP BY ALL), t AS (SELECT task, run, sum(f) AS tf, sum(n) AS tn FROM c GROUP BY ALL)
+SELECT task, run, max(tn)::BIGINT AS n, round(sum((f - n * tf / tn::DOUBLE) ** 2 / (n * tf / tn::DOUBLE) + (n - f - n * (tn - tf) / tn::DOUBLE) ** 2 / (n * (tn - tf) / tn::DOUBLE)), 6) AS stat FROM c JOIN t USING (task, run) WHERE tf > 0 AND tf < tn GROUP BY task, run""")
+def _(spark, sf):
+    return S.rounded(K.failure_independence(tasks(spark, sf)).select("task", "run", "n", "stat")).where("stat IS NOT NULL")

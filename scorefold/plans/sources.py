@@ -86,6 +86,28 @@ def _(spark, sf):
     return RD.file_inventory(spark, f"{sf}/*.parquet").select("file", "bytes", "sha256")
 
 
+LINE = "'{\"item_id\":' || item_id || ',\"model\":\"' || served || '\"}' || CASE WHEN item_id % 3 = 1 THEN chr(13) ELSE '' END"
+LINES = f"""{RESP}, ln AS (SELECT 'run-' || model || '-' || arm || '.jsonl' AS file, item_id, served, CASE WHEN item_id % 31 = 5 THEN '  ' WHEN item_id % 29 = 3 THEN '17' ELSE {LINE} END AS v FROM resp WHERE item_id IS NOT NULL),
+nd(file, l, pos, n, a, b) AS (SELECT file, 0, row_number() OVER (PARTITION BY file ORDER BY item_id, v) - 1, CAST(NULL AS BIGINT), sha256(v), sha256(rtrim(v, chr(13))) FROM ln
+ UNION ALL SELECT file, l + 1, pos // 16, (max(m) + 16) // 16, sha256(string_agg(a, '' ORDER BY pos)), sha256(string_agg(b, '' ORDER BY pos)) FROM (SELECT *, max(pos) OVER (PARTITION BY file) AS m FROM nd) WHERE l = 0 OR m > 0 GROUP BY file, l, pos // 16)"""
+
+
+@query("line_inventory", f"""WITH RECURSIVE {LINES}, top AS (SELECT file, arg_max(a, l) AS digest, arg_max(b, l) AS digest_lf FROM nd WHERE l > 0 AND n = 1 GROUP BY file)
+SELECT file, count(*) FILTER (trim(v) <> '') AS rows, count(*) FILTER (v = '17') AS bad, string_agg(DISTINCT served, ',' ORDER BY served) FILTER (v LIKE '{{%') AS served, sum(strlen(v) + 1)::BIGINT AS bytes, any_value(digest) AS digest, any_value(digest_lf) AS digest_lf
+FROM ln JOIN top USING (file) GROUP BY file""")
+def _(spark, sf):
+    r, i = responses(spark, sf), F.col("item_id")
+    line = F.concat(F.lit('{"item_id":'), i.cast("string"), F.lit(',"model":"'), "served", F.lit('"}'), F.when(i % 3 == 1, "\r").otherwise(""))
+    line = F.when(i % 31 == 5, "  ").when(i % 29 == 3, "17").otherwise(line)
+    run = F.concat(F.lit("run-"), F.col("model").cast("string"), F.lit("-"), "arm", F.lit(".jsonl"))
+    path = shared_folder(spark, "logs")
+    # one file per run, in order of items: the writer names it, so the run's folder stands in for the name
+    rows = r.select(run.alias("run"), line.alias("value"), "item_id").repartition("run").sortWithinPartitions("run", "item_id", "value")
+    rows.select("run", "value").write.partitionBy("run").option("lineSep", "\n").text(path)
+    inv = RD.line_inventory(spark, f"{path}/*/*", "model", 16, F.regexp_extract("_metadata.file_path", r"run=([^/]+)/", 1))
+    return inv.select("file", "rows", "bad", "served", "bytes", "digest", "digest_lf")
+
+
 @query("inventory_drift", "SELECT source || '.txt' AS file, CASE source WHEN 'src1' THEN 'changed' WHEN 'src2' THEN 'added' WHEN 'src3' THEN 'same_crlf' ELSE 'same' END AS status FROM (SELECT DISTINCT source FROM documents)")
 def _(spark, sf):
     d = V.table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
@@ -122,4 +144,5 @@ def _(spark, sf):
                    i.alias("seq"), F.when(i % 3 == 0, "timeout").alias("error"), "value")
     log.repartitionByRange(4, "seq").write.json(f"{base}/log")
     X.ingest_responses(spark, f"{base}/log", f"{base}/target", f"{base}/state", STREAM, 2).awaitTermination()
+    X.compact(spark, f"{base}/target")
     return X.current(spark, f"{base}/target").select("model", "arm", "item_id", "seq", F.coalesce("error", F.lit("")).alias("error"), "value")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorefold.functions.columns import nan_to_null
+from scorefold.operators.ordered import positions
+from scorefold.session import checkpointed
 
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy/MM/dd")
 
@@ -95,6 +97,36 @@ def file_inventory(spark: SparkSession, glob: str) -> DataFrame:
         F.sha2("content", 256).alias("sha256"), F.sha2(F.encode(crlf, "ISO-8859-1"), 256).alias("sha256_crlf"))
 
 
+def line_inventory(spark: SparkSession, glob: str, served: str = "model", fan: int = 4096, name: Column | None = None) -> DataFrame:
+    """One row per line file: file (or ``name``, out of its metadata), bytes, modified, rows (lines that are not blank), bad (of them, those that are no JSON object), served (the distinct
+    values of a JSON field, comma-joined in order), digest and digest_lf (the latter without carriage returns at line ends).
+
+    Files are read as splittable text, so neither a task nor a row ever holds a whole file. A digest is a tree over the file's lines: SHA-256 of each
+    line, then of every ``fan`` consecutive digests joined, until one is left (one level at least; an empty file has none).
+    """
+    raw = spark.read.option("lineSep", "\n").text(glob).select(
+        (F.element_at(F.split("_metadata.file_path", "/"), -1) if name is None else name).alias("file"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_modification_time").alias("modified"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    lf = F.rtrim(F.col("value"), F.lit("\r"))
+    text = F.trim(lf)
+    lines = checkpointed(raw.select(
+        "file", "bytes", "modified", "block", "row", F.sha2("value", 256).alias("a"), F.sha2(lf, 256).alias("b"), (text != "").cast("bigint").alias("full"),
+        ((text != "") & (~text.startswith("{") | F.get_json_object("value", "$").isNull())).cast("bigint").alias("bad"), F.get_json_object("value", f"$.{served}").alias("name")))
+    facts = lines.groupBy("file").agg(F.max("bytes").alias("bytes"), F.max("modified").alias("modified"), F.sum("full").alias("rows"), F.sum("bad").alias("bad"), F.array_join(F.sort_array(F.collect_set("name")), ",").alias("served"))
+    nodes = positions(lines.select("file", "block", "row", "a", "b"), ["file"], ["block", "row"], "pos").select("file", "pos", "a", "b")
+    whole = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c]), ""), 256).alias(c)
+    roots = None
+    while True:  # at most `fan` digests meet in a row; files of one node leave the rounds
+        nodes = nodes.groupBy("file", F.floor(F.col("pos") / fan).alias("up")).agg(whole("a"), whole("b")).withColumnRenamed("up", "pos")
+        top = nodes.groupBy("file").agg((F.max("pos") == 0).alias("lone"))
+        nodes = checkpointed(nodes.join(top, "file"))
+        done = nodes.where("lone").select("file", F.col("a").alias("digest"), F.col("b").alias("digest_lf"))
+        roots = done if roots is None else roots.unionByName(done)
+        nodes = nodes.where("NOT lone").select("file", "pos", "a", "b")
+        if not nodes.limit(1).count():
+            return facts.join(roots, "file")
+
+
 def inventory_drift(now: DataFrame, recorded: DataFrame) -> DataFrame:
     """Status per file against a recorded inventory (file, sha256): same, same_crlf, changed, added, removed."""
     j = now.select("file", "sha256", "sha256_crlf").join(recorded.select("file", F.col("sha256").alias("__old")), "file", "full_outer")
