@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import sys
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +48,18 @@ def small(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(written) if written.count() <= rows else written
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs started inside hand at most so many rows at once to Python: for long rows, of which Spark's usual batch would fill a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -30,16 +30,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scorefold.llm import query
-from scorefold.llm.common import ship, small, stored, table
+from scorefold.llm.common import arrow_rows, ship, small, stored, table
 
 MIN_COUNT = 100
 LONGEST = 5
 TOP = 2_000
 #: Least and most counters of one level; in between four for every `min_count` words.
 BUCKETS = (1 << 16, 1 << 26)
-TRIE_ROWS = 1 << 20
-#: Counters of one row of a task's array, bytes of text and words handled at once, words that a task counts before it hands them out.
-BLOCK, CHUNK, SPAN, VOCABULARY = 1 << 13, 1 << 22, 1 << 16, 1 << 19
+TRIE_ROWS = 1 << 18
+#: Counters of one row of a task's array; bytes of text, and codes, handled at once; codes of one row; words that a task counts before it hands them out.
+BLOCK, CHUNK, SPAN, VOCABULARY = 1 << 13, 1 << 20, 1 << 15, 1 << 17
+#: Parts of the hash range in which candidates are merged (a power of two).
+PARTS = 256
+#: Texts, and rows of codes, that Spark hands to a task's Python at once.
+TEXTS, ROWS = 1_000, 32
 #: Stretches of slots in which a state with several children looks for room before it goes behind all others.
 WINDOWS = 32
 #: Tables of the final joins may be broadcast up to so many rows; the longest rows hold ten numbers or five words.
@@ -121,6 +125,7 @@ def _encoder(seed: int):
                 yield _batch([(lang, codes[x:y].tobytes(), None, None, None) for x, y in zip(cuts, cuts[1:])])
                 if len(known) >= VOCABULARY:
                     yield vocabulary()
+            pa.default_memory_pool().release_unused()
         yield vocabulary()
 
     return task
@@ -136,7 +141,8 @@ def encoded(docs: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
     """(codes) sequences of word codes, and (lang, code, word, n) of all words, without a collision that could matter."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     for seed in range(42, 52):
-        rows = stored(texts.mapInArrow(_encoder(seed), ENCODED), "phrase-codes")
+        with arrow_rows(docs.sparkSession, TEXTS):
+            rows = stored(texts.mapInArrow(_encoder(seed), ENCODED), "phrase-codes")
         words = stored(rows.where("word IS NOT NULL").groupBy("lang", "word", "code").agg(F.sum("n").alias("n")), "phrase-words")
         twice = words.groupBy("code").agg(F.count("*").alias("words"), F.sum("n").alias("n")).where((F.col("words") > 1) & (F.col("n") >= min_count))
         if not twice.limit(1).count():
@@ -145,14 +151,14 @@ def encoded(docs: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The codes of the rows, a few million at a time; every row begins with a zero."""
+    """The codes of the rows, half a million at a time; every row begins with a zero."""
     held, size = [], 0
     for b in batches:
         for x in b.column("codes"):
             c = np.frombuffer(x.as_buffer(), np.uint64)
             held.append(c)
             size += len(c)
-            if size >= CHUNK:
+            if 2 * size >= CHUNK:
                 yield np.concatenate(held)
                 held, size = [], 0
     if held:
@@ -169,11 +175,11 @@ def _summed(shards: DataFrame) -> DataFrame:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for block, width, data in zip(b.column("block").to_pylist(), b.column("width").to_pylist(), b.column("counts")):
-                part = np.frombuffer(data.as_buffer(), f"<u{width}")
+                part = np.frombuffer(data.as_buffer(), f"<u{width}").astype(np.int64)
                 if block in total:
                     total[block] += part
                 else:
-                    total[block] = part.astype(np.int64)
+                    total[block] = part
         blocks = sorted(total)
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([total[k].tobytes() for k in blocks], pa.binary())], names=["block", "counts"])
 
@@ -239,10 +245,23 @@ def frequent_buckets(codes: DataFrame, bits: int, min_count: int, longest: int)
 
 
 def candidates(codes: DataFrame, bits: int, frequent: list[np.ndarray], longest: int) -> DataFrame:
-    """c1, c2, ..: the distinct phrases of two and more words that lie, with all their parts, in frequent buckets; zeros behind short ones."""
+    """c1, c2, ..: the distinct phrases of two and more words that lie, with all their parts, in frequent buckets; zeros behind short ones.
+
+    A task packs what it has found into one row for each length and part of the hash range, and the parts are merged one row at a time."""
     known = codes.sparkSession.sparkContext.broadcast(list(frequent))
+    shift = np.uint64(64 - PARTS.bit_length() + 1)
+
+    def packed(found: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        rows = []
+        for k, (h, phrases) in found.items():
+            cuts = [0, *np.searchsorted(h, np.arange(1, PARTS, dtype=np.uint64) << shift).tolist(), len(h)]
+            rows += [(i, k, phrases[x:y].tobytes()) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
+        columns = list(zip(*rows)) if rows else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["part", "k", "phrases"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = {k: (np.zeros(0, np.uint64), np.zeros((0, k), np.uint64)) for k in range(2, longest + 1)}
+        found = dict(none)  # hashes in order, and codes
         for c in _sequences(batches):
             for k, (at, h, bucket) in enumerate(_levels(c, bits, known.value[:-1]), 1):
                 if k == 1:
@@ -251,16 +270,36 @@ def candidates(codes: DataFrame, bits: int, frequent: list[np.ndarray], longest:
                 bucket = bucket.astype(np.int64)
                 good = (bit[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 > 0
                 at, h = at[good], h[good]
-                _, first, of = np.unique(h, return_index=True, return_inverse=True)
+                own, first, of = np.unique(h, return_index=True, return_inverse=True)
                 other = np.zeros(len(at), bool)  # phrases of one hash that differ
                 for j in range(k):
                     other |= c[at + j] != c[at[first][of] + j]
-                one = np.concatenate([at[first], at[other]])
-                columns = [c[one + j].view(np.int64) if j < k else np.zeros(len(one), np.int64) for j in range(longest)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+                own, one = np.concatenate([own, h[other]]), np.concatenate([at[first], at[other]])
+                words = np.stack([c[one + j] for j in range(k)], 1)
+                hashes, phrases = found[k]
+                if len(hashes):
+                    fresh = (phrases[np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)] != words).any(1)
+                    own, words = own[fresh], words[fresh]
+                own, words = np.concatenate([hashes, own]), np.concatenate([phrases, words])
+                order = np.argsort(own, kind="stable")
+                found[k] = own[order], words[order]
+            if sum(len(h) for h, _ in found.values()) > VOCABULARY:
+                yield packed(found)
+                found = dict(none)
+        yield packed(found)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for part, k, data in zip(b.column("part").to_pylist(), b.column("k").to_pylist(), b.column("phrases")):
+                more = np.frombuffer(data.as_buffer(), np.int64).reshape(-1, k)
+                parts[part, k] = np.unique(np.concatenate([parts[part, k], more]) if (part, k) in parts else more, axis=0)
+        for (_, k), phrases in sorted(parts.items()):
+            yield pa.RecordBatch.from_arrays([pa.array(phrases[:, j] if j < k else np.zeros(len(phrases), np.int64)) for j in range(longest)], names=names)
 
     names = [f"c{j}" for j in range(1, longest + 1)]
-    return codes.mapInArrow(task, ", ".join(f"{c} bigint" for c in names)).distinct()
+    rows = codes.mapInArrow(task, "part int, k int, phrases binary").repartition("part")
+    return rows.mapInArrow(merge, ", ".join(f"{c} bigint" for c in names))
 
 
 # ---- tries ----------------------------------------------------------------------------------------------------------------------------------------
@@ -278,7 +317,7 @@ class Trie:
         x = self.symbols(phrases.ravel()).reshape(phrases.shape)
         order = np.lexsort(x.T[::-1])
         self.phrases, x = phrases[order], x[order]
-        n, depth = x.shape
+        n, depth = self.size, self.depth = x.shape
         # states of a level: the first rows of equal prefixes
         parent, symbol, rows_of, level_of = [], [], [], []
         node = np.zeros(n, np.int64)  # state number of each row's prefix; the root is 0
@@ -361,11 +400,11 @@ class Trie:
 
     def count(self, codes: np.ndarray) -> np.ndarray:
         """How often each phrase occurs in a sequence of codes; all positions take one step at a time."""
-        x = np.append(self.symbols(codes), np.zeros(self.phrases.shape[1], np.int32))
-        n = np.zeros(len(self.phrases), np.int64)
+        x = np.append(self.symbols(codes), np.zeros(self.depth, np.int32))
+        n = np.zeros(self.size, np.int64)
         at = np.flatnonzero(x)
         state = np.zeros(len(at), np.int32)
-        for d in range(self.phrases.shape[1]):
+        for d in range(self.depth):
             step = x[at + d]
             to = self.base[state] + step
             good = (step > 0) & (self.check[to] == state)
@@ -385,18 +424,20 @@ def counted(codes: DataFrame, found: DataFrame, min_count: int, trie_rows: int =
     for i in range(shards):
         rows = dealt.where(F.col("shard") == i).select(*names).toArrow()  # about trie_rows rows
         phrases = np.stack([c.to_numpy() for c in rows.columns], 1).view(np.uint64) if rows.num_rows else np.zeros((0, len(names)), np.uint64)
-        shared = spark.sparkContext.broadcast(Trie(phrases).__dict__)
+        trie = Trie(phrases)
+        named_by = spark.sparkContext.broadcast(trie.phrases)
+        shared = spark.sparkContext.broadcast({k: v for k, v in trie.__dict__.items() if k != "phrases"})  # plain values
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             trie = Trie.__new__(Trie)
             trie.__dict__ = shared.value
-            n = np.zeros(len(trie.phrases), np.int64)
+            n = np.zeros(trie.size, np.int64)
             for c in _sequences(batches):
                 n += trie.count(c)
             yield _shard(n)
 
-        def named(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            phrases = shared.value["phrases"]
+        def named(batches: Iterator[pa.RecordBatch], named_by=named_by) -> Iterator[pa.RecordBatch]:
+            phrases = named_by.value
             for b in batches:
                 for block, data in zip(b.column("block").to_pylist(), b.column("counts")):
                     n = np.frombuffer(data.as_buffer(), np.int64)
@@ -409,6 +450,7 @@ def counted(codes: DataFrame, found: DataFrame, min_count: int, trie_rows: int =
         part = stored(_summed(codes.mapInArrow(count, SHARD)).mapInArrow(named, "codes array<bigint>, a bigint"), "phrase-counts")
         out = part if out is None else out.unionByName(part)
         shared.unpersist()
+        named_by.unpersist()
     return out
 
 
@@ -424,11 +466,11 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
     codes, words = encoded(docs, min_count)
     sizes = stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    bits = min(max(4 * total // min_count, BUCKETS[0]), BUCKETS[1]).bit_length()
-    bits = min(bits, BUCKETS[1].bit_length() - 1)
-    frequent = frequent_buckets(codes, bits, min_count, longest)
-    found = stored(candidates(codes, bits, frequent, longest), "phrase-candidates")
-    known = stored(counted(codes, found, min_count, trie_rows), "phrase-frequent")
+    bits = min(max(4 * total // min_count, BUCKETS[0]).bit_length(), BUCKETS[1].bit_length() - 1)
+    with arrow_rows(docs.sparkSession, ROWS):
+        frequent = frequent_buckets(codes, bits, min_count, longest)
+        found = stored(candidates(codes, bits, frequent, longest), "phrase-candidates")
+        known = stored(counted(codes, found, min_count, trie_rows), "phrase-frequent")
     return _report(known, words.where(F.col("n") >= min_count), sizes, longest, top)
 
 

@@ -175,7 +175,7 @@ def made_texts(seed, docs=150):
 @pytest.mark.parametrize("trie_rows", [phrases.TRIE_ROWS, 40])
 def test_phrases_equal_plain_counts(spark, monkeypatch, trie_rows):
     """Also with small arrays: several blocks, tries, and flushes of the word counts."""
-    for name, value in (("BUCKETS", (1 << 14, 1 << 14)), ("SPAN", 50), ("CHUNK", 400), ("VOCABULARY", 30)):
+    for name, value in (("BUCKETS", (1 << 14, 1 << 14)), ("SPAN", 50), ("CHUNK", 400), ("VOCABULARY", 30), ("ROWS", 3)):
         monkeypatch.setattr(phrases, name, value)
     docs = spark.createDataFrame(made_texts(3), DOCS).repartition(5)
     want = plain_phrases(docs.collect(), 6)
