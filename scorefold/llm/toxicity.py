@@ -7,12 +7,13 @@ what chance explains weighs little without being cut off; the ridge does the res
 also the score of a text without evidence where there are too few texts for any feature.
 
 Counts of the n-grams are taken by tasks and summed by Spark; what reaches the driver is bounded by the number of buckets and by `TRAIN_ROWS`
-rows, a hash-drawn sample of the labelled training rows, about one byte for each feature that a row holds. Scoring is one pass over the documents.
+rows, a hash-drawn sample of the labelled training rows. The regression's steps are jobs over that sample's features, about a byte each; the driver
+holds vectors of one number per feature. Scoring is one pass over the documents.
 
 Defined results: null and empty texts have no features and get the score of the intercept; a document labelled several times counts as toxic if
-one label says so, and a doc_id that is repeated is one training row, that of its smallest text; null labels are ignored; with fewer than
-`MIN_TEXTS` training texts for every n-gram all scores are the smoothed share of toxic rows; without two classes among the training rows every score is their smoothed share of toxic rows (0.0
-without rows); repeated documents are scored each; an empty table gives no rows; further columns are not looked at.
+one label says so, and a doc_id that is repeated is one training row, that of its smallest text; null labels are ignored; where `MIN_TEXTS` training
+texts share no n-gram, or training rows are of one class, every score is the smoothed share of toxic rows (0.0 without rows); repeated documents are
+scored each; an empty table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +39,9 @@ MIN_TEXTS = 5
 Z_HALF = 3.0
 #: Costs of the classes go with this power of their inverse shares (0: alike for rows, 1: alike for classes).
 CLASS_POWER = 0.5
-STEPS, DECAY = 40, 1e-2
-#: Rows whose features are unpacked at once.
-UNPACKED = 100
+STEPS, POWER_STEPS, DECAY = 30, 4, 1e-2
+#: Rows whose features are unpacked at once, and partitions of the sample.
+UNPACKED, PARTS = 100, 8
 
 ship(__name__)
 
@@ -92,14 +94,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if not feature.any():
         return Model(np.zeros(1 << BITS, np.float32), base)
 
+    number = np.cumsum(feature, dtype=np.int32) - 1
+
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(p[0] if (p := _present(t, feature)) else np.zeros(0, np.uint32)) for t in b["text"]]
+            found = [(number[p[0]] if (p := _present(t, feature)) else np.zeros(0, np.int32)) for t in b["text"]]
             yield pd.DataFrame({"toxic": b["toxic"], "n": [len(h) for h in found], "steps": [pack(h) for h in found]})
 
-    seen = sample.mapInPandas(hits, "toxic int, n int, steps binary").toArrow().to_pandas()  # at most `rows` rows
-    seen = seen.sort_values(["toxic", "steps"], kind="stable")  # sums in one order, whatever the tasks'
-    return Model(*_regress(seen["steps"].tolist(), seen["n"].to_numpy(), seen["toxic"].to_numpy(np.float64), ratios, base))
+    # rows in one order, so that sums do not depend on the order in which tasks are done
+    rows = stored(sample.repartition(PARTS, "text").sortWithinPartitions("toxic", "text").mapInPandas(hits, "toxic int, n int, steps binary"), "toxicity-hits")
+    weights, intercept = _regress(rows, n0, n1, ratios[feature], base)
+    out = np.zeros(1 << BITS, np.float32)
+    out[feature] = weights
+    return Model(out, intercept)
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -121,36 +128,43 @@ def unpack(rows: list[bytes], counts: np.ndarray) -> np.ndarray:
     return total[v < 255] - np.repeat(before, counts)
 
 
-def _regress(rows: list[bytes], counts: np.ndarray, y: np.ndarray, ratios: np.ndarray, base: float) -> tuple[np.ndarray, float]:
+def _gradient(rows: DataFrame, scaled: np.ndarray, slope) -> tuple[np.ndarray, float]:
+    """Per feature the sum of the slopes of the rows that hold it, and the sum of all slopes; slope: of (sum of the features' scaled weights, toxic).
+
+    One job; each task hands on one vector, which the driver adds up in the order of the partitions."""
+    shared = rows.sparkSession.sparkContext.broadcast(scaled)
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = shared.value
+        g, total = np.zeros(len(w)), 0.0
+        for b in batches:
+            for k in range(0, len(b), UNPACKED):
+                part = b.iloc[k : k + UNPACKED]
+                counts = part["n"].to_numpy()
+                column, row = unpack(part["steps"].tolist(), counts), np.repeat(np.arange(len(part)), counts)
+                s = slope(np.bincount(row, w[column], len(part)), part["toxic"].to_numpy())
+                g += np.bincount(column, s[row], len(w))
+                total += s.sum()
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "g": [g.tobytes()], "total": [total]})
+
+    found = rows.mapInPandas(task, "part int, g binary, total double").toArrow().sort_by("part").to_pylist()  # PARTS rows or fewer
+    shared.unpersist()
+    return np.sum([np.frombuffer(r["g"]) for r in found], 0), float(sum(r["total"] for r in found))
+
+
+def _regress(rows: DataFrame, n0: int, n1: int, ratios: np.ndarray, base: float) -> tuple[np.ndarray, float]:
     """Logistic regression with ridge on present features scaled by their ratios: accelerated full gradients, step from the largest curvature."""
-    n, at = len(y), range(0, len(y), UNPACKED)
-    parts = [(slice(k, k + UNPACKED), np.repeat(np.arange(min(UNPACKED, n - k), dtype=np.int32), counts[k : k + UNPACKED])) for k in at]
-
-    def sums(w: np.ndarray, slope=None):
-        """Per row the sum of its features' ratio times weight; with `slope` of those sums, per feature the slopes times ratio, summed over the rows."""
-        m, g, scaled = np.zeros(n), np.zeros(len(ratios)), ratios * w
-        for rows_of, row in parts:
-            column = unpack(rows[rows_of], counts[rows_of])
-            m[rows_of] = np.bincount(row, scaled[column], len(counts[rows_of]))
-            g += np.bincount(column, slope(m[rows_of], rows_of)[row], len(ratios))
-        return m, g * ratios
-
-    cost = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** CLASS_POWER / n
+    n = n0 + n1
+    cost = np.array([0.5 * n / n0, 0.5 * n / n1]) ** CLASS_POWER / n
     v = np.random.default_rng(0).normal(size=len(ratios))
-    for _ in range(6):
+    for _ in range(POWER_STEPS):
         v /= np.linalg.norm(v)
-        v = sums(v, lambda m, at: m / n)[1]
+        v = _gradient(rows, ratios * v, lambda m, y: m / n)[0] * ratios
     rate = 1 / (0.3 * (np.linalg.norm(v) + 1) * cost.max() * n + DECAY)  # 0.25 bounds the curvature of the loss; the rest allows for the few rounds
     w, b, tw, tb, t = np.zeros(len(ratios)), base, np.zeros(len(ratios)), base, 1.0
     for _ in range(STEPS):
-        slopes = np.zeros(n)
-
-        def slope(m: np.ndarray, at: slice, tb: float = tb, slopes: np.ndarray = slopes) -> np.ndarray:
-            slopes[at] = cost[at] * (1 / (1 + np.exp(-np.clip(m + tb, -700, 700))) - y[at])
-            return slopes[at]
-
-        _, g = sums(tw, slope)
-        nw, nb = tw - rate * (g + DECAY * tw), tb - rate * slopes.sum()
+        g, gb = _gradient(rows, ratios * tw, lambda m, y, tb=tb: cost[y] * (1 / (1 + np.exp(-np.clip(m + tb, -700, 700))) - y))
+        nw, nb = tw - rate * (g * ratios + DECAY * tw), tb - rate * gb
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         tw, tb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
