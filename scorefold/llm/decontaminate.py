@@ -25,6 +25,8 @@ WINDOW = 13
 SUBSTITUTIONS = 2
 MIN_TOKENS = 6
 STRETCH = 256
+#: Distinct seeds of the benchmark that may be broadcast: one long each, some 100 MB as a hash table.
+SEED_ROWS = 2_500_000
 
 
 def tokens(text: Column) -> Column:
@@ -35,24 +37,14 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def _seeds(masks: list[str], hashes: str, at: str) -> Column:
-    """One struct (mask, span, seed) per mask at a position; the seed is null where the mask runs off the end."""
-    each = [
-        F.struct(F.lit(m).alias("mask"), F.lit(len(m)).alias("span"), F.when(F.col(at) + len(m) <= F.size(hashes), F.xxhash64(*(F.get(hashes, F.col(at) + k) for k, bit in enumerate(m) if bit == "1"))).alias("seed"))
-        for m in masks
-    ]
-    return F.array(*each)
+def stretches(texts: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Texts cut into stretches of `STRETCH` positions: id, k1 and k2 (hashes that name id and text), stretch (its number), n (tokens of the text), h (the
+    token hashes of the stretch and of what a window may need on both sides), offset, from and to (its positions in h).
 
-
-def seeded(texts: DataFrame, key: str, masks: list[str], prefix: str) -> DataFrame:
-    """A row per position and mask of every text: key, stretch (the token hashes around), its offset, position in it, mask, span, seed.
-
-    Texts are first cut into stretches of `STRETCH` positions with the tokens that a window may need on both sides, so that a row carries a
-    bounded number of tokens however long its text is.
-    """
+    A row carries a bounded number of tokens however long its text is."""
     c = lambda name: f"{prefix}_{name}"
-    last = F.size("_d_h") - min(map(len, masks))
-    rows = texts.select(F.col(key).alias(c("id")), token_hashes(F.col("text")).alias("_d_h"))
+    rows = texts.select(F.col(key).alias(f"{prefix}_id"), F.xxhash64("text").alias(c("k1")), F.xxhash64(F.lit(prefix), key, "text").alias(c("k2")), token_hashes(F.col("text")).alias("_d_h"))
+    last = F.size("_d_h") - MIN_TOKENS
 
     def stretch(first):
         offset = F.greatest(F.lit(0), first - WINDOW + 1)
@@ -60,24 +52,50 @@ def seeded(texts: DataFrame, key: str, masks: list[str], prefix: str) -> DataFra
         stop = F.least(last, first + STRETCH - 1)
         return F.struct(offset.alias("offset"), (first - offset).alias("from"), (stop - offset).alias("to"), F.slice("_d_h", offset + 1, end - offset).alias("h"))
 
-    rows = rows.select(c("id"), F.size("_d_h").alias(c("n")), F.explode(F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(STRETCH)), stretch))).alias("s"))
-    rows = rows.select(c("id"), c("n"), F.col("s.h").alias(c("h")), F.col("s.offset").alias(c("offset")), F.explode(F.sequence(F.col("s.from"), F.col("s.to"))).alias(c("at")))
-    rows = rows.select("*", F.explode(_seeds(masks, c("h"), c("at"))).alias("s"))
-    return rows.select(*(c(x) for x in ("id", "n", "h", "offset", "at")), "s.mask", "s.span", "s.seed").where(F.col("seed").isNotNull())
+    cut = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(STRETCH)), stretch))
+    rows = rows.select(c("id"), c("k1"), c("k2"), F.size("_d_h").alias(c("n")), F.posexplode(cut).alias(c("stretch"), "s"))
+    return rows.select(*(c(x) for x in ("id", "k1", "k2", "stretch", "n")), F.col("s.h").alias(c("h")), F.col("s.offset").alias(c("offset")), F.col("s.from").alias(c("from")), F.col("s.to").alias(c("to")))
+
+
+def seeded(rows: DataFrame, masks: list[str], prefix: str, *kept: str) -> DataFrame:
+    """A narrow row per position and mask of the stretches: k1, k2, stretch, at (in the stretch), seed (of mask and tokens), mask (its number), and `kept`."""
+    c = lambda name: f"{prefix}_{name}"
+    h = F.col(c("h"))
+
+    def at(i):
+        each = [F.struct(i.alias("at"), F.lit(k).alias("mask"), F.when(i + len(m) <= F.size(h), F.xxhash64(F.lit(m), *(F.get(h, i + j) for j, bit in enumerate(m) if bit == "1"))).alias("seed")) for k, m in enumerate(masks)]
+        return F.array(*each)
+
+    seeds = F.flatten(F.transform(F.sequence(c("from"), c("to")), at))
+    out = rows.select(c("k1"), c("k2"), c("stretch"), *kept, F.explode(F.filter(seeds, lambda x: x["seed"].isNotNull())).alias("s"))
+    return out.select(c("k1"), c("k2"), c("stretch"), *kept, F.col("s.at").alias(c("at")), F.col("s.mask").alias("mask"), F.col("s.seed").alias("seed"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_token, last_token (of the document, over all matching windows), matching and share (equal tokens of the best
-    window), windows (matching ones, counted once for each seed in them)."""
-    items = benchmark.select("item_id", "text").distinct()
+    window), windows (matching ones, counted once for each seed in them).
+
+    What is joined at first are seeds alone, one long each; the tokens around a seed are fetched for hits only."""
+    docs, items = docs.select("doc_id", "text"), benchmark.select("item_id", "text").distinct()
     lengths = items.select(F.size(tokens(F.col("text"))).alias("n")).where(F.col("n").between(MIN_TOKENS, WINDOW - 1)).distinct()
     solid = ["1" * n for (n,) in sorted(lengths.collect())]  # at most WINDOW - MIN_TOKENS rows
     masks = SEEDS + [m for m in solid if m not in SEEDS]
+    spans = F.array(*(F.lit(len(m)) for m in masks))
     short = F.col("item_n") < WINDOW
-    of_item = F.when(short, (F.col("span") == F.col("item_n")) & ~F.col("mask").contains("0")).otherwise(F.col("mask").isin(SEEDS))
-    item_seeds = stored(seeded(items, "item_id", masks, "item").where(of_item), "benchmark-seeds")
-    hits = seeded(docs, "doc_id", masks, "doc").join(small(item_seeds), ["mask", "span", "seed"])
-    # a number for each hit keeps the verification above the join, which then runs compiled and hands on hits only
+    of_item = F.when(short, (F.get(spans, F.col("mask")) == F.col("item_n")) & ~F.col("mask").isin([k for k, m in enumerate(masks) if "0" in m])).otherwise(F.col("mask") < len(SEEDS))
+    item_rows = stored(stretches(items, "item_id", "item"), "benchmark-stretches")
+    item_seeds = stored(seeded(item_rows, masks, "item", "item_n").where(of_item), "benchmark-seeds")
+    wanted = stored(item_seeds.select("seed").distinct(), "benchmark-seed-set")
+    met = stored(seeded(stretches(docs, "doc_id", "doc"), masks, "doc").drop("mask").join(small(wanted, SEED_ROWS), "seed", "left_semi").distinct(), "decontamination-met")
+    pairs = met.join(small(item_seeds.drop("item_n")), "seed")
+    # the tokens of documents and items around the hits
+    touched = stored(met.select("doc_k1", "doc_k2").distinct(), "decontamination-touched")
+    named = docs.withColumns({"_d_k1": F.xxhash64("text"), "_d_k2": F.xxhash64(F.lit("doc"), "doc_id", "text")})
+    own = named.join(small(touched), (F.col("_d_k1") == F.col("doc_k1")) & (F.col("_d_k2") == F.col("doc_k2")), "left_semi").select("doc_id", "text")
+    doc_rows = stretches(own, "doc_id", "doc").dropDuplicates(["doc_k1", "doc_k2", "doc_stretch"])
+    hits = pairs.join(stored(doc_rows, "decontamination-stretches"), ["doc_k1", "doc_k2", "doc_stretch"]).join(item_rows, ["item_k1", "item_k2", "item_stretch"])
+    hits = hits.withColumn("span", F.get(spans, F.col("mask")))
+    # a number for each hit keeps the verification above the joins, which then run compiled and hand on hits only
     hits = hits.withColumn("_d_hit", F.monotonically_increasing_id())
     # windows that hold the seed start, counted in the item's stretch, from item_at - (width - span) to item_at, and stay inside both texts
     hits = hits.withColumns({"_d_width": F.least(F.lit(WINDOW), F.col("item_n")), "_d_diagonal": F.col("doc_at") - F.col("item_at")})
