@@ -302,7 +302,7 @@ def naive_metrics(t):
 def test_metrics_equal_plain_loops(spark, odd):
     more = spark.createDataFrame([(50, "a b c a b c a b c d"), (51, "x x x x"), (52, "a b c " * 70), (53, "é# b\n\n é# b\n\té# b\né# b"), (54, "a\u00a0b c\x85d")], "doc_id bigint, text string")
     df = odd.unionByName(more, allowMissingColumns=True)
-    for r in quality.text_metrics(df).collect():
+    for r in df.select("doc_id", "text", *(m("text").alias(k) for k, m in quality.METRICS.items())).collect():
         n, chars, symbols, dup, rep, _ = naive_metrics(r["text"])
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) == (n, chars, symbols, dup), r["doc_id"]
         assert rep is None or r["n_repeat_words"] == rep, r["doc_id"]
@@ -313,7 +313,7 @@ def test_metrics_equal_plain_loops(spark, odd):
 
 def test_order_changes_no_verdict(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    m = quality.text_metrics(docs)
+    m = docs
     orders = [quality.RULES, quality.RULES[::-1]]
     a, b = (rows(m.select("doc_id", quality.first_rejection(o).isNull().alias("kept")), "doc_id", "kept") for o in orders)
     assert a == b and len({k for _, k in a}) == 2
@@ -321,6 +321,16 @@ def test_order_changes_no_verdict(spark):
     assert [r.name for r in quality.by_rejection_per_cost(found)][:3] == ["dup_lines", "repeats", "few_words"]
 
 
+def test_metrics_of_later_rules_are_made_in_their_branch_only(spark, odd):
+    plan = entry.queries()["op6_quality_rules"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    places = [line.index("CASE WHEN") < line.index("p{L}") for line in plan.splitlines() if "p{L}" in line]
+    assert places and all(places) and plan.count("p{L}") == len(places)
+    rest = quality.cascade(odd)._jdf.queryExecution().optimizedPlan().toString()  # no metric at all below the decision
+    assert all("xxhash64" not in line or line.index("CASE WHEN") < line.index("xxhash64") for line in rest.splitlines())
+    out = quality.cascade(odd.withColumns({"kept": F.lit("x"), "n_letters": F.lit("y")}))
+    assert dict(out.dtypes)["kept"] == "boolean" and {(r["n_words"], r["n_letters"]) for r in out.collect()} == {("x", "y")}
+
+
 # --- urls ------------------------------------------------------------------------------------------------------------------------
 
 
