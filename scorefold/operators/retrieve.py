@@ -277,6 +277,41 @@ def evaluate_rule(predicted: DataFrame, by: Sequence[str]) -> DataFrame:
     return agg.join(movement_scores(predicted, by).drop("parsed"), list(by)).join(iqr, list(by)).join(auc, list(by), "left")
 
 
+def rule_errors(predicted: DataFrame) -> DataFrame:
+    """item_id, incident_id, report_date and the scaled error of a rule's predictions."""
+    return predicted.select("item_id", "incident_id", "report_date", (F.abs(F.col("target") - F.col("prediction")) / F.col("scale")).alias("error"))
+
+
+def against_reference(predicted: DataFrame, reference: DataFrame) -> DataFrame:
+    """The items of a rule's predictions with the scaled errors of the rule and of a reference rule (items of both)."""
+    ref = rule_errors(reference).select("item_id", F.col("error").alias("reference_error"))
+    return rule_errors(predicted).join(ref, "item_id")
+
+
+def rule_difference(paired: DataFrame, reps: int = 2_000, seed: int = 1) -> DataFrame:
+    """One row: items, mean errors of rule and reference, their difference, and its interval when whole incidents are drawn again."""
+    from scorefold.operators.resample import bootstrap, paired_difference
+
+    rows = paired.withColumn("__all", F.lit(1))
+    b = bootstrap(rows, ["__all"], "incident_id", paired_difference(F.col("reference_error"), F.col("error")), reps, seed)
+    means = rows.groupBy("__all").agg(F.count(F.lit(1)).alias("items"), F.avg("error").alias("error"), F.avg("reference_error").alias("reference_error"))
+    return means.join(b, "__all").select("items", "error", "reference_error", F.col("point").alias("difference"), "lo", "hi", ((F.col("hi") < 0) | (F.col("lo") > 0)).cast("int").alias("excludes_zero"))
+
+
+def error_by_period(paired: DataFrame, cut: str) -> DataFrame:
+    """Errors of rule and reference on items reported before a date and from it on."""
+    period = F.when(F.col("report_date") < F.lit(cut).cast("date"), "before").otherwise("from").alias("period")
+    return paired.groupBy(period).agg(F.count(F.lit(1)).alias("items"), F.avg("error").alias("error"), F.avg("reference_error").alias("reference_error"), F.avg(F.col("error") - F.col("reference_error")).alias("difference"))
+
+
+def served_levels(items: DataFrame, draws: DataFrame) -> DataFrame:
+    """level, items, mean_drawn of a ladder's draws: which level served how many items; level 0: no level had a row."""
+    level = F.split("lkey", r"\|")[0].cast("int")  # a ladder key begins with its level
+    per = draws.groupBy("item_id").agg(F.max(level).alias("level"), F.count(F.lit(1)).alias("drawn"))
+    j = items.select("item_id").join(per, "item_id", "left")
+    return j.groupBy(F.coalesce("level", F.lit(0)).alias("level")).agg(F.count(F.lit(1)).alias("items"), F.avg(F.coalesce("drawn", F.lit(0))).alias("mean_drawn"))
+
+
 def select_rule(results: DataFrame, reference: str, tie: float = 0.002) -> DataFrame:
     """The rule that clears the reference's AUC and false-move bars with the lowest error; within ``tie`` the fewest
     parameters win. ``results``: one row per rule (rule, scaled_error, move_auc, false_move, parameters)."""

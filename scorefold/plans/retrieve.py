@@ -10,6 +10,7 @@ from scorefold.plans.audit import FEAT_SQL
 from scorefold.plans.cohort import md5_int
 from scorefold.plans.panel import KEY_SQL, PICKS, band_sql, pairs, runs
 from scorefold.plans.registry import query
+from scorefold.plans.resample import draws_sql
 from scorefold.session import checkpointed
 from scorefold.sources import standins as V
 
@@ -95,12 +96,6 @@ def _(spark, sf):
     return S.rounded(R.evaluate_rule(predicted(spark, sf).withColumn("rule", F.lit("band")), ["rule"]))
 
 
-@query("draw_diagnostics", f"WITH {BAND_DRAW} SELECT item_id, count(*) AS drawn, count(DISTINCT analogue_incident) AS incidents, 1.0::DOUBLE AS in_band, max(right(analogue_id, 10)) AS newest FROM dr GROUP BY item_id")
-def _(spark, sf):
-    d = R.draw_diagnostics(items(spark, sf), band_draws(spark, sf), "band")
-    return d.withColumn("newest", F.col("newest").cast("string"))
-
-
 @query("attach_analogue_values", f"WITH {BAND_DRAW} SELECT item_id, count(*) AS recorded, count(*) AS resolved, round(sum(x), 6) AS ratio_sum FROM dr GROUP BY item_id")
 def _(spark, sf):
     from scorefold.operators.joins import attach_analogue_values
@@ -191,6 +186,54 @@ def _(spark, sf):
     return S.rounded(R.fit_scales(pool(spark, sf), "2024-01-20"))
 
 
+# --- a rule against another -------------------------------------------------------------------------------------------
+def predicted_sql(draws):
+    """Scaled error per item of draws (item_id, x)."""
+    return f"""dq AS ({draws}), pr0 AS (SELECT it.*, coalesce(g.med, 1.0) AS median_ratio FROM it LEFT JOIN (SELECT item_id, median(x) AS med FROM dq GROUP BY item_id) g ON it.item_id = g.item_id)
+SELECT item_id, incident_id, report_date, abs(target - persistence * median_ratio) / scale AS e FROM pr0"""
+
+
+AGAINST = f"""ra AS (WITH {LADDER}, {predicted_sql('SELECT lx.item_id, pool.x FROM lx JOIN fl ON lx.item_id = fl.item_id AND list_contains(s, idx) JOIN pool ON pool.analogue_id = lx.analogue_id')}),
+rb AS (WITH {BAND_DRAW}, {predicted_sql('SELECT item_id, x FROM dr')}), ab AS (SELECT ra.item_id, ra.incident_id, ra.report_date, ra.e, rb.e AS r, 1 AS one FROM ra JOIN rb ON ra.item_id = rb.item_id)"""
+
+
+def ladder_draws(spark, sf):
+    return checkpointed(R.LADDERS["ladder"].draw(items(spark, sf), pool(spark, sf), 6, SEED))
+
+
+def against(spark, sf):
+    ladder = R.analogue_prediction(items(spark, sf), ladder_draws(spark, sf))
+    return checkpointed(R.against_reference(ladder, predicted(spark, sf)))
+
+
+@query("rule_difference", f"""WITH {AGAINST}, {draws_sql('ab', ['one'], 'incident_id', 11, 2000)}, c AS (SELECT one, incident_id, sum(e) AS se, sum(r) AS sr, count(*) AS n FROM ab GROUP BY ALL),
+bv AS (SELECT rep, (sum(w * se) - sum(w * sr)) / sum(w * n) AS v FROM c JOIN w ON w.incident_id = c.incident_id GROUP BY rep), iv AS (SELECT quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM bv)
+SELECT count(*) AS items, round(avg(e), 6) AS error, round(avg(r), 6) AS reference_error, round(avg(e) - avg(r), 6) AS difference, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, CAST(any_value(hi) < 0 OR any_value(lo) > 0 AS INTEGER) AS excludes_zero FROM ab, iv""")
+def _(spark, sf):
+    return S.rounded(R.rule_difference(against(spark, sf), 2_000, 11)).drop("one")
+
+
+@query("error_by_period", f"WITH {AGAINST} SELECT CASE WHEN report_date < DATE '2024-01-20' THEN 'before' ELSE 'from' END AS period, count(*) AS items, round(avg(e), 6) AS error, round(avg(r), 6) AS reference_error, round(avg(e - r), 6) AS difference FROM ab GROUP BY ALL")
+def _(spark, sf):
+    return S.rounded(R.error_by_period(against(spark, sf), "2024-01-20"))
+
+
+@query("served_levels", f"WITH {LADDER}, n AS (SELECT lx.item_id, any_value(lvl) AS level, count(*) AS drawn FROM lx JOIN fl ON lx.item_id = fl.item_id AND list_contains(s, idx) JOIN ll ON ll.item_id = lx.item_id GROUP BY lx.item_id) SELECT coalesce(level, 0) AS level, count(*) AS items, round(avg(coalesce(drawn, 0)), 6) AS mean_drawn FROM it LEFT JOIN n ON n.item_id = it.item_id GROUP BY 1")
+def _(spark, sf):
+    return S.rounded(R.served_levels(items(spark, sf), ladder_draws(spark, sf)))
+
+
+NN = R.NEAREST["nn_pers_chg"]
+
+
+@query("draw_diagnostics", f"WITH nn AS ({near_sql(NN.weights, NN.scope, NN.cap)}), {ITEMS_P} SELECT nn.item_id, count(*) AS drawn, count(DISTINCT p.incident_id) AS incidents, round(avg(CAST(p.band = it.band AS INTEGER)), 6) AS in_band, CAST(max(p.report_date) AS VARCHAR) AS newest FROM nn JOIN pool p ON p.analogue_id = nn.analogue_id JOIN it ON it.item_id = nn.item_id GROUP BY nn.item_id")
+def _(spark, sf):
+    p, it = pool(spark, sf), items(spark, sf)
+    drawn = R.retrieve_nearest(it, p, R.fit_scales(p, "2024-01-20"), NN.scope, NN.weights, 6, NN.cap).join(p.select("analogue_id", "band"), "analogue_id")
+    d = R.draw_diagnostics(it, drawn, "band")
+    return S.rounded(d.withColumn("newest", F.col("newest").cast("string")))
+
+
 # --- quota ------------------------------------------------------------------------------------------------------------
 def day_band(c):
     return C.band(c, R.DOR_EDGES)
