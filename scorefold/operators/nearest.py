@@ -1,8 +1,8 @@
 """Nearest rows of a dated pool over a tree of boxes.
 
 The index cuts every feature (and the date) at quantiles of the whole pool. The bits of a row's bin numbers, most significant first and heaviest
-features first, are its path; three bits make one level, so a node has at most eight children, and every node knows the bounding box, the dates and the
-number of its rows. The depth follows from the size of the largest scope: a leaf holds some `LEAF` rows.
+features first, are its path; three bits make one level, so a node has at most eight children, and every node knows the bounding box of its rows, their
+first date, and how many of them precede each date cut. The depth follows from the size of the largest scope: a leaf holds some `LEAF` rows.
 
 Items come down the tree twice, each level an equi-join of the surviving parents with their children:
 
@@ -28,7 +28,7 @@ from scorefold.operators.ordered import top_rows
 from scorefold.session import checkpointed
 
 #: Rows that a leaf should hold, children of a node (as bits), bits of a feature's bin number.
-LEAF, FAN, BIN_BITS = 64, 3, 4
+LEAF, FAN, BIN_BITS = 32, 3, 4
 #: A level of at most so many nodes (some 200 bytes each) is broadcast.
 SMALL_LEVEL = 50_000
 
@@ -37,14 +37,15 @@ _NODE, _SCOPE = "__node", "__scope"
 
 class Index(NamedTuple):
     rows: DataFrame  # __scope, __node (leaf), analogue_id, analogue_incident, analogue_date, the payload, p_<feature>
-    levels: list[DataFrame]  # root's children first: __scope, __parent, __node, __n, __d0, __d1, lo_<feature>, hi_<feature>
+    levels: list[DataFrame]  # root's children first: __scope, __parent, __node, __d0, __n1 .. (rows before each date cut), lo_<feature>, hi_<feature>
+    dates: list[int]  # the date cuts, as days
     features: list[str]  # those with a weight, as z_<name>
     own: DataFrame  # incident_id, __own: rows of an incident
     largest: DataFrame  # one row: the most rows of one incident
 
 
-def _bins(p: DataFrame, columns: Sequence[str]) -> list[tuple[str, Column, int]]:
-    """(column, bin number, bits) of each column that quantiles can cut."""
+def _bins(p: DataFrame, columns: Sequence[str]) -> list[tuple[str, Column, int, list]]:
+    """(column, bin number, bits, cuts) of each column that quantiles can cut."""
     at = [i / (1 << BIN_BITS) for i in range(1, 1 << BIN_BITS)]
     row = p.agg(*[F.percentile_approx(c, at, 1000).alias(c) for c in columns], *[F.min(c).alias(f"__min_{c}") for c in columns]).first()
     out = []
@@ -52,16 +53,16 @@ def _bins(p: DataFrame, columns: Sequence[str]) -> list[tuple[str, Column, int]]
         cuts = sorted({x for x in row[c] or [] if x > row[f"__min_{c}"]})
         if cuts:
             number = sum((F.when(F.col(c) >= F.lit(x), 1).otherwise(0) for x in cuts[1:]), F.when(F.col(c) >= F.lit(cuts[0]), 1).otherwise(0))
-            out.append((c, number, len(cuts).bit_length()))
+            out.append((c, number, len(cuts).bit_length(), cuts))
     return out
 
 
-def _splits(bins: list[tuple[str, Column, int]], date: str) -> list[Column]:
-    """Bits of the bin numbers in the order in which the tree splits: the date's first level, then a bit of every feature in turn."""
+def _splits(bins: list[tuple[str, Column, int, list]], date: str) -> list[Column]:
+    """Bits of the bin numbers in the order in which the tree splits: two of the date, a bit of every feature in turn, the rest of the date."""
     bit = lambda number, bits, j: F.shiftright(number, bits - 1 - j).bitwiseAND(F.lit(1))
-    dated = [bit(n, bits, j) for c, n, bits in bins if c == date for j in range(bits)]
-    turns = [bit(n, bits, j) for j in range(BIN_BITS) for c, n, bits in bins if c != date and j < bits]
-    return dated[:FAN] + turns + dated[FAN:]
+    dated = [bit(n, bits, j) for c, n, bits, _ in bins if c == date for j in range(bits)]
+    turns = [bit(n, bits, j) for j in range(BIN_BITS) for c, n, bits, _ in bins if c != date and j < bits]
+    return dated[:2] + turns + dated[2:]
 
 
 def build(pool: DataFrame, scope: Column, weights: dict[str, float], payload: Sequence[str]) -> Index:
@@ -69,24 +70,26 @@ def build(pool: DataFrame, scope: Column, weights: dict[str, float], payload: Se
     features = [c for c, w in sorted(weights.items(), key=lambda x: -x[1]) if w]
     p = pool.withColumns({_SCOPE: scope, "__day": F.datediff("report_date", F.lit("1990-01-01").cast("date"))})
     p = checkpointed(p.select(_SCOPE, "__day", "analogue_id", "incident_id", "report_date", *payload, *features))
-    splits = _splits(_bins(p, [*features, "__day"]), "__day")
+    bins = _bins(p, [*features, "__day"])
+    splits, dates = _splits(bins, "__day"), [x for c, _, _, cuts in bins if c == "__day" for x in cuts]
     largest_scope = p.groupBy(_SCOPE).count().agg(F.max("count")).first()[0] or 1
     depth = max(1, min(math.ceil(math.log(max(largest_scope / LEAF, 1), 1 << FAN)), math.ceil(len(splits) / FAN)))
     path = F.lit(0).cast("bigint")
     for i in range(depth * FAN):
         path = F.shiftleft(path, 1).bitwiseOR((splits[i] if i < len(splits) else F.lit(0)).cast("bigint"))
     p = p.withColumn(_NODE, path)
-    box = [F.min("report_date").alias("__d0"), F.max("report_date").alias("__d1"), *(x for c in features for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")))]
-    leaves = checkpointed(p.groupBy(_SCOPE, _NODE).agg(F.count(F.lit(1)).alias("__n"), *box))
-    over = [F.min("__d0").alias("__d0"), F.max("__d1").alias("__d1"), *(x for c in features for x in (F.min(f"lo_{c}").alias(f"lo_{c}"), F.max(f"hi_{c}").alias(f"hi_{c}")))]
+    early = [F.sum((F.col("__day") < x).cast("bigint")).alias(f"__n{k}") for k, x in enumerate(dates, 1)]
+    box = [F.min("report_date").alias("__d0"), *early, *(x for c in features for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")))]
+    leaves = checkpointed(p.groupBy(_SCOPE, _NODE).agg(*box))
+    over = [F.min("__d0").alias("__d0"), *(F.sum(f"__n{k}").alias(f"__n{k}") for k in range(1, len(dates) + 1)), *(x for c in features for x in (F.min(f"lo_{c}").alias(f"lo_{c}"), F.max(f"hi_{c}").alias(f"hi_{c}")))]
     levels = [leaves]
     for _ in range(depth - 1):
         up = levels[0].withColumn(_NODE, F.shiftright(_NODE, FAN))
-        levels.insert(0, checkpointed(up.groupBy(_SCOPE, _NODE).agg(F.sum("__n").alias("__n"), *over)))
+        levels.insert(0, checkpointed(up.groupBy(_SCOPE, _NODE).agg(*over)))
     levels = [n.withColumn("__parent", F.shiftright(_NODE, FAN)) for n in levels]
     own = p.groupBy("incident_id").agg(F.count(F.lit(1)).alias("__own"))
     rows = p.select(_SCOPE, _NODE, "analogue_id", F.col("incident_id").alias("analogue_incident"), F.col("report_date").alias("analogue_date"), *payload, *[F.col(c).alias(f"p_{c}") for c in features])
-    return Index(rows, levels, features, own, own.agg(F.max("__own").alias("__max")))
+    return Index(rows, levels, dates, features, own, own.agg(F.max("__own").alias("__max")))
 
 
 def _sum(terms: Sequence[Column]) -> Column:
@@ -117,15 +120,17 @@ def nearest(items: DataFrame, index: Index, weights: dict[str, float], k: int, c
     it = items.join(index.own, "incident_id", "left").crossJoin(F.broadcast(index.largest))  # one row
     need = (F.lit(k) if cap is None else k * F.col("__max")) + F.coalesce("__own", F.lit(0))
     it = checkpointed(it.withColumn("__need", need).select("item_id", "incident_id", "__cut", _SCOPE, "__need", *index.features).repartition("item_id"))
-    first = descend(index, it, weights, _enough)
+    first = descend(index, it, weights, lambda at: _enough(at, index.dates))
     found = _measured(index, first, weights, k, cap).groupBy("item_id").agg(F.count(F.lit(1)).alias("__found"), F.max("distance").alias("__tau"))
     bound = checkpointed(found.select("item_id", F.when(F.col("__found") >= k, F.col("__tau")).alias("__tau")))
     return _measured(index, within(index, it.join(bound, "item_id", "left"), weights), weights, k, cap)
 
 
-def _enough(at: DataFrame) -> DataFrame:
-    """Of an item's children the nearest that surely hold as many rows as it needs; rows of nodes that reach past the cut are not counted on."""
-    sure = F.when(F.col("__d1") < F.col("__cut"), F.col("__n")).otherwise(0)
+def _enough(at: DataFrame, dates: list[int]) -> DataFrame:
+    """Of an item's children the nearest that surely hold as many rows as it needs: those before the last date cut that its own cut has reached."""
+    day, sure = F.datediff("__cut", F.lit("1990-01-01").cast("date")), F.lit(0).cast("bigint")
+    for k, x in enumerate(dates, 1):
+        sure = F.when(day >= x, F.col(f"__n{k}")).otherwise(sure)
     before = F.sum(sure).over(W.partitionBy("item_id").orderBy("__near", _NODE).rowsBetween(W.unboundedPreceding, -1))
     return at.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < F.col("__need"))
 
