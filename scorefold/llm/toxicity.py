@@ -37,8 +37,6 @@ TRAIN_ROWS = 12_000
 MIN_TEXTS = 5
 #: Standard errors at which a ratio is halved.
 Z_HALF = 3.0
-#: Costs of the classes go with this power of their inverse shares (0: alike for rows, 1: alike for classes).
-CLASS_POWER = 0.5
 STEPS, POWER_STEPS, DECAY = 30, 4, 1e-2
 #: Rows whose features are unpacked at once, and partitions of the sample.
 UNPACKED, PARTS = 100, 8
@@ -103,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     # rows in one order, so that sums do not depend on the order in which tasks are done
     rows = stored(sample.repartition(PARTS, "text").sortWithinPartitions("toxic", "text").mapInPandas(hits, "toxic int, n int, steps binary"), "toxicity-hits")
-    weights, intercept = _regress(rows, n0, n1, ratios[feature], base)
+    weights, intercept = _regress(rows, n0 + n1, ratios[feature], base)
     out = np.zeros(1 << BITS, np.float32)
     out[feature] = weights
     return Model(out, intercept)
@@ -132,7 +130,7 @@ def _gradient(rows: DataFrame, scaled: np.ndarray, slope) -> tuple[np.ndarray, f
     """Per feature the sum of the slopes of the rows that hold it, and the sum of all slopes; slope: of (sum of the features' scaled weights, toxic).
 
     One job; each task hands on one vector, which the driver adds up in the order of the partitions."""
-    shared = rows.sparkSession.sparkContext.broadcast(scaled)
+    shared = rows.sparkSession.sparkContext.broadcast(scaled.astype(np.float32))
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
@@ -148,22 +146,20 @@ def _gradient(rows: DataFrame, scaled: np.ndarray, slope) -> tuple[np.ndarray, f
         yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "g": [g.tobytes()], "total": [total]})
 
     found = rows.mapInPandas(task, "part int, g binary, total double").toArrow().sort_by("part").to_pylist()  # PARTS rows or fewer
-    shared.unpersist()
+    shared.destroy(blocking=True)  # the next step has another: its files go at once
     return np.sum([np.frombuffer(r["g"]) for r in found], 0), float(sum(r["total"] for r in found))
 
 
-def _regress(rows: DataFrame, n0: int, n1: int, ratios: np.ndarray, base: float) -> tuple[np.ndarray, float]:
+def _regress(rows: DataFrame, n: int, ratios: np.ndarray, base: float) -> tuple[np.ndarray, float]:
     """Logistic regression with ridge on present features scaled by their ratios: accelerated full gradients, step from the largest curvature."""
-    n = n0 + n1
-    cost = np.array([0.5 * n / n0, 0.5 * n / n1]) ** CLASS_POWER / n
     v = np.random.default_rng(0).normal(size=len(ratios))
     for _ in range(POWER_STEPS):
         v /= np.linalg.norm(v)
         v = _gradient(rows, ratios * v, lambda m, y: m / n)[0] * ratios
-    rate = 1 / (0.3 * (np.linalg.norm(v) + 1) * cost.max() * n + DECAY)  # 0.25 bounds the curvature of the loss; the rest allows for the few rounds
+    rate = 1 / (0.3 * (np.linalg.norm(v) + 1) + DECAY)  # 0.25 bounds the curvature of the loss; the rest allows for the few rounds
     w, b, tw, tb, t = np.zeros(len(ratios)), base, np.zeros(len(ratios)), base, 1.0
     for _ in range(STEPS):
-        g, gb = _gradient(rows, ratios * tw, lambda m, y, tb=tb: cost[y] * (1 / (1 + np.exp(-np.clip(m + tb, -700, 700))) - y))
+        g, gb = _gradient(rows, ratios * tw, lambda m, y, tb=tb: (1 / (1 + np.exp(-np.clip(m + tb, -700, 700))) - y) / n)
         nw, nb = tw - rate * (g * ratios + DECAY * tw), tb - rate * gb
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         tw, tb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
