@@ -60,15 +60,11 @@ def stretches(texts: DataFrame, key: str, prefix: str) -> DataFrame:
 def seeded(rows: DataFrame, masks: list[str], prefix: str, *kept: str) -> DataFrame:
     """A narrow row per position and mask of the stretches: k1, k2, stretch, at (in the stretch), seed (of mask and tokens), mask (its number), and `kept`."""
     c = lambda name: f"{prefix}_{name}"
-    h = F.col(c("h"))
-
-    def at(i):
-        each = [F.struct(i.alias("at"), F.lit(k).alias("mask"), F.when(i + len(m) <= F.size(h), F.xxhash64(F.lit(m), *(F.get(h, i + j) for j, bit in enumerate(m) if bit == "1"))).alias("seed")) for k, m in enumerate(masks)]
-        return F.array(*each)
-
-    seeds = F.flatten(F.transform(F.sequence(c("from"), c("to")), at))
-    out = rows.select(c("k1"), c("k2"), c("stretch"), *kept, F.explode(F.filter(seeds, lambda x: x["seed"].isNotNull())).alias("s"))
-    return out.select(c("k1"), c("k2"), c("stretch"), *kept, F.col("s.at").alias(c("at")), F.col("s.mask").alias("mask"), F.col("s.seed").alias("seed"))
+    h, at = F.col(c("h")), F.col(c("at"))
+    each = [F.struct(F.lit(k).alias("mask"), F.when(at + len(m) <= F.size(h), F.xxhash64(F.lit(m), *(F.get(h, at + j) for j, bit in enumerate(m) if bit == "1"))).alias("seed")) for k, m in enumerate(masks)]
+    out = rows.select(c("k1"), c("k2"), c("stretch"), *kept, h, F.explode(F.sequence(c("from"), c("to"))).alias(c("at")))
+    out = out.select("*", F.explode(F.array(*each)).alias("s"))  # the stretch goes no further than the task that makes the seeds
+    return out.select(c("k1"), c("k2"), c("stretch"), *kept, c("at"), "s.mask", "s.seed").where(F.col("seed").isNotNull())
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
