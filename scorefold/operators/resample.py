@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorefold.functions.columns import HASH_RANGE, hash_int
-from scorefold.operators.ordered import percentiles, positions
+from scorefold.operators.ordered import percentiles, positions, slice_count
 from scorefold.operators.scores import average_precision, count_if
 from scorefold.session import checkpointed
 
@@ -33,25 +33,29 @@ class ClusterStat:
 
 
 def numbered_clusters(df: DataFrame, by: Sequence[str], cluster: str) -> DataFrame:
-    """(by, cluster, idx, g): clusters numbered from 0 in key order, with their count."""
-    return positions(df.select(*by, cluster).distinct(), by, [cluster], "idx", "g")
+    """(by, cluster, idx, g): clusters numbered from 0 in key order, with their count. The numbering reads its input several times, so the distinct
+    clusters are written first and the plan of ``df`` occurs once, however long it is."""
+    return positions(checkpointed(df.select(*by, cluster).distinct()), by, [cluster], "idx", "g")
 
 
 def draw_indices(clusters: DataFrame, by: Sequence[str], reps: int, seed: int) -> DataFrame:
     """(by, rep, idx): G draws with replacement per replicate. Chunks of draws are spread over tasks before they are expanded, so no
-    row and no task holds a replicate's draws, however fine the clusters are."""
+    row and no task holds a replicate's draws, however fine the clusters are.
+
+    Spark takes the expanded draws for as small as what they are expanded from and would broadcast them: joins with them name their method."""
     g = clusters.groupBy(*by).agg(F.max("g").alias("g"))
     r = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    r = r.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1, F.lit(DRAW_CHUNK).cast("bigint")))).repartition(*by, "rep", "__from")
+    r = r.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1, F.lit(DRAW_CHUNK).cast("bigint"))))
+    r = r.repartition(slice_count(clusters), *by, "rep", "__from")  # a given number: by their bytes the chunks would be put together in one task
     d = r.withColumn("j", F.explode(F.sequence(F.col("__from"), F.least(F.col("g"), F.col("__from") + DRAW_CHUNK) - 1)))
     return d.select(*by, "rep", F.pmod(hash_int(seed, *by, "rep", "j"), F.col("g")).alias("idx"))
 
 
 def cluster_draws(df: DataFrame, by: Sequence[str], cluster: str, reps: int, seed: int) -> DataFrame:
     """(by, rep, cluster, w): how often each cluster was drawn; absent clusters have no row."""
-    c = numbered_clusters(df, by, cluster)
+    c = checkpointed(numbered_clusters(df, by, cluster))
     w = draw_indices(c, by, reps, seed).groupBy(*by, "rep", "idx").agg(F.count(F.lit(1)).alias("w"))
-    return w.join(c.drop("g"), [*by, "idx"]).select(*by, "rep", cluster, "w")
+    return w.join(c.drop("g").hint("shuffle_hash"), [*by, "idx"]).select(*by, "rep", cluster, "w")
 
 
 def poisson_weights(df: DataFrame, by: Sequence[str], cluster: str, reps: int, seed: int) -> DataFrame:
@@ -68,16 +72,21 @@ def poisson_weights(df: DataFrame, by: Sequence[str], cluster: str, reps: int, s
     return base.withColumn("w", w.cast("bigint")).where("w > 0")
 
 
-def replicates(df: DataFrame, by: Sequence[str], cluster: str, stat: ClusterStat, reps: int, seed: int) -> DataFrame:
-    """(by, rep, formulas...) of every replicate."""
-    c = checkpointed(numbered_clusters(df, by, cluster))
-    per = df.groupBy(*by, cluster).agg(*[F.sum(x).alias(n) for n, x in stat.sums.items()]).join(c.drop("g"), [*by, cluster])
-    s = draw_indices(c, by, reps, seed).join(per, [*by, "idx"]).groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in stat.sums])
+def cluster_sums(df: DataFrame, by: Sequence[str], cluster: str, stat: ClusterStat) -> DataFrame:
+    """(by, cluster, sums..., idx, g): a statistic's sums per numbered cluster. The one pass over ``df``: replicates and point estimates start from this table."""
+    per = checkpointed(df.groupBy(*by, cluster).agg(*[F.sum(x).alias(n) for n, x in stat.sums.items()]))
+    return checkpointed(positions(per, by, [cluster], "idx", "g"))
+
+
+def replicates(sums: DataFrame, by: Sequence[str], cluster: str, stat: ClusterStat, reps: int, seed: int) -> DataFrame:
+    """(by, rep, formulas...) of every replicate over cluster_sums; a missing cluster is drawn like any other and adds nothing."""
+    per = sums.where(F.col(cluster).isNotNull()).select(*by, "idx", *stat.sums)
+    s = draw_indices(sums, by, reps, seed).join(per.hint("shuffle_hash"), [*by, "idx"]).groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in stat.sums])
     return s.select(*by, "rep", *[f.alias(n) for n, f in stat.formulas.items()])
 
 
-def point_estimates(df: DataFrame, by: Sequence[str], stat: ClusterStat) -> DataFrame:
-    s = df.groupBy(*by).agg(*[F.sum(x).alias(n) for n, x in stat.sums.items()])
+def point_estimates(sums: DataFrame, by: Sequence[str], stat: ClusterStat) -> DataFrame:
+    s = sums.groupBy(*by).agg(*[F.sum(n).alias(n) for n in stat.sums])
     return s.select(*by, *[f.alias(n) for n, f in stat.formulas.items()])
 
 
@@ -93,9 +102,10 @@ def bootstrap(df: DataFrame, by: Sequence[str], cluster: str, stat: ClusterStat,
     """Long table (by, statistic, point, lo, hi, dropped) of every formula, all on the same draws."""
     names = list(stat.formulas)
     pairs = [x for n in names for x in (F.lit(n), F.col(n).cast("double"))]
-    r = replicates(df, by, cluster, stat, reps, seed)
+    sums = cluster_sums(df, by, cluster, stat)
+    r = replicates(sums, by, cluster, stat, reps, seed)
     r = r.select(*by, "rep", F.explode(F.create_map(*pairs)).alias("statistic", "v"))
-    p = point_estimates(df, by, stat).select(*by, F.explode(F.create_map(*pairs)).alias("statistic", "point"))
+    p = point_estimates(sums, by, stat).select(*by, F.explode(F.create_map(*pairs)).alias("statistic", "point"))
     return p.join(percentile_interval(r, [*by, "statistic"], "v"), [*by, "statistic"])
 
 
@@ -170,7 +180,7 @@ def bootstrap_iid_spearman(df: DataFrame, by: Sequence[str], ident: str, x: str,
 
     rows = checkpointed(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, ident, x, y))
     w = cluster_draws(rows, by, ident, reps, seed)
-    cells = rows.join(w, [*by, ident]).groupBy(*by, "rep", x, y).agg(F.sum("w").alias("w"))
+    cells = rows.hint("shuffle_hash").join(w, [*by, ident]).groupBy(*by, "rep", x, y).agg(F.sum("w").alias("w"))
     r = weighted_spearman(checkpointed(cells), [*by, "rep"], x, y, "w")
     return percentile_interval(r, by, "rho")
 
@@ -179,7 +189,7 @@ def bootstrap_median_difference(df: DataFrame, by: Sequence[str], ident: str, va
     """Row-level bootstrap of the difference of two groups' medians (members are a handful of runs per group)."""
     rows = checkpointed(df.withColumn("__g", group.cast("int")).where(F.col("__g").isNotNull()).select(*by, ident, "__g", value))
     w = cluster_draws(rows, [*by, "__g"], ident, reps, seed)
-    med = percentiles(rows.join(w, [*by, "__g", ident]), [*by, "rep", "__g"], value, {"m": 0.5}, weight=F.col("w"))
+    med = percentiles(rows.hint("shuffle_hash").join(w, [*by, "__g", ident]), [*by, "rep", "__g"], value, {"m": 0.5}, weight=F.col("w"))
     d = med.groupBy(*by, "rep").agg((F.max(F.when(F.col("__g") == 1, F.col("m"))) - F.max(F.when(F.col("__g") == 0, F.col("m")))).alias("v"))
     return percentile_interval(d, by, "v")
 
