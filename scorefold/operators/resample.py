@@ -21,6 +21,7 @@ from scorefold.operators.scores import average_precision, count_if
 from scorefold.session import checkpointed
 
 DRAW_CHUNK = 1 << 16
+SMALL_SUMS = 250_000  # clusters whose sums (some 60 bytes each) are broadcast, so that draws are added up where they are made and not shuffled
 Z975 = 1.959963984540054  # fixed value: normal quantile at 0.975
 
 
@@ -81,7 +82,8 @@ def cluster_sums(df: DataFrame, by: Sequence[str], cluster: str, stat: ClusterSt
 def replicates(sums: DataFrame, by: Sequence[str], cluster: str, stat: ClusterStat, reps: int, seed: int) -> DataFrame:
     """(by, rep, formulas...) of every replicate over cluster_sums; a missing cluster is drawn like any other and adds nothing."""
     per = sums.where(F.col(cluster).isNotNull()).select(*by, "idx", *stat.sums)
-    s = draw_indices(sums, by, reps, seed).join(per.hint("shuffle_hash"), [*by, "idx"]).groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in stat.sums])
+    per = per.hint("broadcast" if sums.count() <= SMALL_SUMS else "shuffle_hash")
+    s = draw_indices(sums, by, reps, seed).join(per, [*by, "idx"]).groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in stat.sums])
     return s.select(*by, "rep", *[f.alias(n) for n, f in stat.formulas.items()])
 
 
