@@ -8,7 +8,7 @@ from scorefold.operators import scores as S
 from scorefold.operators import trained as T
 from scorefold.plans.calibration import labelled_days
 from scorefold.plans.registry import query
-from scorefold.plans.retrieve import SEED, items, pool, training
+from scorefold.plans.retrieve import SEED, drawable, pool, sides, training
 from scorefold.session import checkpointed
 from scorefold.sources import standins as V
 
@@ -47,9 +47,10 @@ def _(spark, sf):
 
 @query("retrieve_quota_model")
 def _(spark, sf):
-    models = T.fit_movement(checkpointed(T.movement_rows(training(spark, sf).drop("moved"))))
-    it = T.with_move_probability(items(spark, sf), models)
-    return R.retrieve_quota(it, pool(spark, sf), "band", "pers_band", 6, SEED, "model").select("item_id", "grp", "analogue_id")
+    it, p = sides(spark, sf)
+    models = T.fit_movement(checkpointed(T.movement_rows(training(spark, sf, p).drop("moved"))))
+    it = T.with_move_probability(it, models)
+    return R.retrieve_quota(it, drawable(p, "band", "pers_band"), "band", "pers_band", 6, SEED, "model").select("item_id", "grp", "analogue_id")
 
 
 @query("predictions_as_log", "SELECT 'numeric' AS task, o_orderpriority AS model, 'trained' AS arm, count(*) AS n FROM (SELECT o_orderpriority, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders) WHERE prev IS NOT NULL GROUP BY o_orderpriority")

@@ -69,3 +69,24 @@ def test_a_missing_cluster_is_drawn_and_adds_nothing(spark):
     stat = R.ratio(F.col("v"))
     r = R.replicates(R.cluster_sums(df, [], "c", stat), [], "c", stat, 60, 2).collect()
     assert len(r) > 40 and all(1 <= x["value"] <= 3 for x in r)
+
+
+def test_draws_of_few_clusters_are_added_up_where_they_are_made(rows, monkeypatch):
+    stat = R.ratio(F.col("x"))
+    sums = R.cluster_sums(rows, ["model"], "item", stat)
+    one = R.replicates(sums, ["model"], "item", stat, 5, 1)
+    assert "BroadcastHashJoin" in plan(one) and not broadcast_draws(plan(one)) and "ShuffledHashJoin" not in plan(one)
+    monkeypatch.setattr(R, "SMALL_SUMS", 0)
+    two = R.replicates(sums, ["model"], "item", stat, 5, 1)
+    assert "ShuffledHashJoin" in plan(two) and sorted(one.collect()) == sorted(two.collect())
+
+
+@pytest.mark.parametrize("name", ["rule_difference", "error_by_period", "same_draws", "retrieve_quota", "analogue_prediction"])
+def test_a_query_over_items_and_pool_makes_one_panel(spark, name, monkeypatch):
+    import __spark_entry__ as entry
+    from scorefold.sources import standins as V
+
+    made = []
+    monkeypatch.setattr(V, "reports", lambda *a, keep=V.reports: (made.append(1), keep(*a))[1])
+    entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
