@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,16 @@ def test_exact_duplicates_over_partition_ends(spark):
 # ---- phrases --------------------------------------------------------------------------------------------------------------------------------------
 
 
+def test_sums_are_finished_by_the_python_that_made_them(spark):
+    shards = [phrases._shard(np.arange(20_000, dtype=np.int64) % 7), phrases._shard(np.arange(20_000, dtype=np.int64) % 5)]
+    df = spark.createDataFrame(pa.Table.from_batches(shards))
+    finish = lambda block, n: pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([int(n.sum())], pa.int64())], names=["block", "total"])
+    out = phrases._summed(df, finish, "block int, total bigint")
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # a second one keeps a second Python beside each task
+    i = np.arange(20_000)
+    assert {r["block"]: r["total"] for r in out.collect()} == {k: int((i % 7 + i % 5)[k * phrases.BLOCK : (k + 1) * phrases.BLOCK].sum()) for k in range(3)}
+
+
 def plain_phrases(rows, least, top=2000, longest=5):
     f, n = defaultdict(Counter), Counter()
     for r in rows:
