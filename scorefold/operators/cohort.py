@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scorefold.functions.columns import hash_int
-from scorefold.operators.ordered import positions, top_rows
+from scorefold.operators.ordered import positions, table_positions, top_rows
 
 
 # --- sampling ---------------------------------------------------------------------------------------------------------
@@ -114,8 +114,8 @@ def id_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def same_order(a: DataFrame, b: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Positions compared, and at how many the two lists hold a different id."""
-    pa = positions(a.select(key, *[c for c in order if c != key]), [], list(order), "pos").select("pos", F.col(key).alias("__a"))
-    pb = positions(b.select(key, *[c for c in order if c != key]), [], list(order), "pos").select("pos", F.col(key).alias("__b"))
+    pa = table_positions(a.select(key, *[c for c in order if c != key]), list(order)).select("pos", F.col(key).alias("__a"))
+    pb = table_positions(b.select(key, *[c for c in order if c != key]), list(order)).select("pos", F.col(key).alias("__b"))
     j = pa.join(pb, "pos", "full_outer")
     return j.agg(F.count(F.lit(1)).alias("positions"), F.count(F.when(~F.col("__a").eqNullSafe(F.col("__b")), 1)).alias("different"))
 
