@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scorefold.functions.columns import hash_int
+from scorefold.functions.columns import HASH_DIGITS, hash_int
 from scorefold.operators.ordered import percentiles, positions, value_counts
 from scorefold.operators.scores import count_if, spearman
+from scorefold.session import checkpointed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of the package
 
+HASH_BITS = 8  # leading bits of a hash by which the rows of a draw are counted
+
 
 # --- distributions as columns -----------------------------------------------------------------------------------------
 TERMS = 400  # of a continued fraction; past convergence a further term changes nothing
@@ -184,15 +187,27 @@ def chi2_rx2(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 def chi2_permutation(log: DataFrame, by: Sequence[str], ident: str, stratum: str, event: Column, draws: int, seed: int) -> DataFrame:
     """Monte Carlo p with both margins kept: in every draw the rows with the smallest hashes fail, as many as failed in truth.
 
-    Ranks inside a draw come from the sliced positions, so a long run stays parallel.
+    Rows of a draw are counted by the leading bits of their hashes. The count says in which bucket the last failing row lies; only that bucket's rows,
+    one in 2 ** HASH_BITS, are put in order, by the sliced positions.
     """
-    rows = log.select(*by, ident, stratum, event.cast("int").alias("__e"))
+    rows = checkpointed(log.select(*by, ident, stratum, event.cast("int").alias("__e")))
     counts = rows.groupBy(*by, stratum).agg(F.sum("__e").alias("failed"), (F.count(F.lit(1)) - F.sum("__e")).alias("ok"))
     truth = chi2_rx2(counts, by).select(*by, F.col("stat").alias("observed"))
     tot = counts.groupBy(*by).agg(F.sum("failed").alias("tf"), F.sum("ok").alias("tk"))
     reps = rows.join(truth.select(*by), list(by), "left_semi").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__h", hash_int(seed, "rep", ident))
-    p = positions(reps.select(*by, "rep", "__h", ident, stratum), [*by, "rep"], ["__h", ident], "__pos").join(tot, list(by))
-    hit = p.groupBy(*by, "rep", stratum).agg(count_if(F.col("__pos") < F.col("tf")).alias("failed"), count_if(F.col("__pos") >= F.col("tf")).alias("ok"))
+    reps = reps.withColumn("__b", F.shiftright("__h", 4 * HASH_DIGITS - HASH_BITS))
+    hist = checkpointed(reps.groupBy(*by, "rep", stratum, "__b").agg(F.count(F.lit(1)).alias("n")))
+    before = W.partitionBy(*by, "rep").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)  # 2 ** HASH_BITS rows at most
+    cum = hist.groupBy(*by, "rep", "__b").agg(F.sum("n").alias("__in")).withColumn("__below", F.coalesce(F.sum("__in").over(before), F.lit(0)))
+    last = cum.join(tot, list(by)).where((F.col("__below") < F.col("tf")) & (F.col("__below") + F.col("__in") >= F.col("tf")))
+    last = checkpointed(last.select(*by, "rep", F.col("__b").alias("__last"), (F.col("tf") - F.col("__below")).alias("__more")))  # a row per draw
+    n = F.col("n")
+    whole = hist.join(last, [*by, "rep"]).where(F.col("__b") != F.col("__last"))
+    whole = whole.select(*by, "rep", stratum, F.when(F.col("__b") < F.col("__last"), n).otherwise(0).alias("failed"), F.when(F.col("__b") > F.col("__last"), n).otherwise(0).alias("ok"))
+    cut = checkpointed(reps.join(last, [*by, "rep"]).where(F.col("__b") == F.col("__last")).select(*by, "rep", "__h", ident, stratum, "__more"))
+    fails = F.col("__pos") < F.col("__more")
+    part = positions(cut, [*by, "rep"], ["__h", ident], "__pos").select(*by, "rep", stratum, fails.cast("bigint").alias("failed"), (~fails).cast("bigint").alias("ok"))
+    hit = whole.unionByName(part).groupBy(*by, "rep", stratum).agg(F.sum("failed").alias("failed"), F.sum("ok").alias("ok"))
     stat = chi2_rx2(hit, [*by, "rep"]).join(truth, list(by))
     g = stat.groupBy(*by).agg(F.max("observed").alias("observed"), count_if(F.col("stat") >= F.col("observed") - 1e-12).alias("hits"), F.count(F.lit(1)).alias("draws"))
     return g.withColumn("p", (F.col("hits") + 1) / (F.col("draws") + 1))
