@@ -1,13 +1,14 @@
-"""Trained comparators with Spark's own learners: ratio and count regressors, event classifiers, movement models."""
+"""Trained comparators with Spark's own learners and, where many boosted fits run, trees grown in shared jobs (``boost``): ratio and count regressors, event classifiers, movement models."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorefold.functions.arrays import lin_features
+from scorefold.operators import boost
 from scorefold.operators.calibration import group_folds
 from scorefold.operators.retrieve import MOVE, outcome_ratio
 from scorefold.operators.scores import auroc, average_precision
@@ -66,16 +68,12 @@ def train_regressors(train: DataFrame, evaluation: DataFrame, features: Sequence
 
 
 def grouped_cv(train: DataFrame, features: Sequence[str], group: str, key: Sequence[str], folds: int = 5, seed: int = 1, iterations: int = 100) -> DataFrame:
-    """Out-of-fold ratio predictions with whole groups held out (a fit per fold, each a Spark job over the other folds)."""
+    """Out-of-fold ratio predictions with whole groups held out (a fit per fold; the fits of all folds share their jobs)."""
     t = checkpointed(group_folds(_filled(train, features), group, folds, seed).withColumn("__ratio", F.col("target") / F.greatest(F.col("persistence"), F.lit(1.0))))
-    out = None
-    gbt = lambda: Pipeline(stages=[_assembled(features), GBTRegressor(labelCol="__ratio", lossType="absolute", maxIter=iterations, maxDepth=3, seed=seed, predictionCol="__p")])
-    models = _together([lambda k=k: gbt().fit(t.where(F.col("fold") != k)) for k in range(folds)])
-    for k, m in enumerate(models):
-        p = m.transform(t.where(F.col("fold") == k))
-        rows = p.select(*key, "target", "persistence", "scale", "fold", F.lit("gbt_ratio").alias("run"), (F.col("__p") * F.greatest(F.col("persistence"), F.lit(1.0))).alias("prediction"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    fits = [boost.Fit(3, iterations, loss="absolute", without=k) for k in range(folds)]
+    at, trees = boost.fitted(t, features, "__ratio", fits, "fold")
+    p = boost.held_out(t, features, at, fits, trees, "fold", "__p")
+    return p.select(*key, "target", "persistence", "scale", "fold", F.lit("gbt_ratio").alias("run"), (F.col("__p") * F.greatest(F.col("persistence"), F.lit(1.0))).alias("prediction"))
 
 
 def first_rounds(fit: PipelineModel, n: int) -> PipelineModel:
@@ -95,30 +93,33 @@ def train_classifiers(train: DataFrame, validation: DataFrame, test: DataFrame,
                       depths: Sequence[int] = (2, 3, 4, 5), iterations: Sequence[int] = (5, 10, 20, 40, 50, 100, 150, 200), seed: int = 1,
                       rates: Sequence[float] = (0.03, 0.05, 0.1, 0.2)) -> DataFrame:
     """Test scores (long form) of boosted trees, whose depth, learning rate and rounds are chosen by average precision on a validation split,
-    and of logistic regression. One fit per depth and rate: its first rounds are the fits with fewer rounds. Every fit and every score is a Spark job."""
+    and of logistic regression. One fit per depth and rate, all in the same jobs: its first rounds are the fits with fewer rounds."""
     t, v = checkpointed(_filled(train, features)), checkpointed(_filled(validation, features))
+    fits = [boost.Fit(d, max(iterations), r) for d in depths for r in rates]
+    at, trees = boost.fitted(t, features, label, fits)
+    model = t.sparkSession.sparkContext.broadcast((at, trees))
+
+    def tried(parts):
+        """Rows of equal score and label counted, per fit and number of rounds."""
+        at, trees = model.value
+        for p in parts:
+            for k, fit in enumerate(fits):
+                for n, s in boost.scores(p, features, at, fit, trees[k], iterations):
+                    yield pd.DataFrame({"fit": k, "rounds": n, label: p[label].astype(int), "score": s}).groupby(["fit", "rounds", label, "score"], as_index=False).size()
+
+    s = v.where(F.col(label).isNotNull()).select(*features, label).mapInPandas(tried, f"fit int, rounds int, `{label}` int, score double, size long")
+    aps = {(r["fit"], r["rounds"]): r["ap"] or 0.0 for r in average_precision(s, ["fit", "rounds"], "score", label, F.col("size")).select("fit", "rounds", "ap").collect()}  # a row per setting
+    k, n = max(((k, n) for k in range(len(fits)) for n in iterations), key=lambda x: aps.get(x, 0.0))  # the first of equal ones
+
+    def chosen(parts):
+        at, trees = model.value
+        for p in parts:
+            yield p.assign(score=next(boost.scores(p, features, at, fits[k], trees[k][:n]))[1])
 
-    def tried(depth: int, rate: float) -> tuple[PipelineModel, dict]:
-        gbt = GBTClassifier(labelCol=label, maxDepth=depth, maxIter=max(iterations), stepSize=rate, seed=seed)
-        m = Pipeline(stages=[_assembled(features), gbt]).fit(t)
-        s = None
-        for n in iterations:
-            x = first_rounds(m, n).transform(v).select(F.lit(n).alias("rounds"), label, vector_to_array("probability")[1].alias("score"))
-            s = x if s is None else s.unionByName(x)
-        return m, {r["rounds"]: r["ap"] or 0.0 for r in average_precision(s, ["rounds"], "score", label).select("rounds", "ap").collect()}  # a row per number of rounds
-
-    grid = [(d, r) for d in depths for r in rates]
-    best, best_ap = None, -1.0
-    for m, aps in _together([lambda d=d, r=r: tried(d, r) for d, r in grid]):
-        for n in iterations:
-            if aps.get(n, 0.0) > best_ap:
-                best, best_ap = first_rounds(m, n), aps.get(n, 0.0)
     logit = Pipeline(stages=[_assembled(features, "raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(labelCol=label, regParam=0.01)]).fit(t)
-    out = None
-    for run, m in (("gbt", best), ("logistic", logit)):
-        p = m.transform(_filled(test, features)).select(*key, label, F.lit(run).alias("run"), vector_to_array("probability")[1].alias("score"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    e = _filled(test, features).select(*key, label, *[f for f in features if f not in (*key, label)])
+    p = e.mapInPandas(chosen, ", ".join(f"`{c}` {kind}" for c, kind in [*e.dtypes, ("score", "double")])).select(*key, label, F.lit("gbt").alias("run"), "score")
+    return p.unionByName(logit.transform(e).select(*key, label, F.lit("logistic").alias("run"), vector_to_array("probability")[1].alias("score")))
 
 
 def movement_rows(pool: DataFrame) -> DataFrame:
@@ -144,18 +145,18 @@ def with_move_probability(df: DataFrame, models: tuple) -> DataFrame:
 
 
 def movement_cv(pool: DataFrame, folds: int = 5, seed: int = 1, iterations: int = 300) -> DataFrame:
-    """Out-of-fold AUC of the logistic and boosted move models, folds by incident."""
+    """Out-of-fold AUC of the logistic and boosted move models, folds by incident. The boosted fits of all folds share their jobs."""
     cols = list(lin_features())
-    t = checkpointed(group_folds(movement_rows(pool), "incident_id", folds, seed))
-    learners = {
-        "logistic": lambda: LogisticRegression(labelCol="moved", regParam=0.001, maxIter=50),
-        "gbt": lambda: GBTClassifier(labelCol="moved", maxDepth=3, maxIter=iterations, seed=seed)}
-    fits = [(k, run) for k in range(folds) for run in learners]
-    models = _together([lambda k=k, run=run: Pipeline(stages=[_assembled(cols), learners[run]()]).fit(t.where(F.col("fold") != k)) for k, run in fits])
-    out = None
-    for (k, run), m in zip(fits, models):
-        p = m.transform(t.where(F.col("fold") == k)).select(F.lit(run).alias("run"), "moved", F.round(vector_to_array("probability")[1], 9).alias("score"))
-        out = p if out is None else out.unionByName(p)
+    t = checkpointed(group_folds(movement_rows(pool), "incident_id", folds, seed).select("fold", "moved", *cols))
+    logistic = lambda: Pipeline(stages=[_assembled(cols), LogisticRegression(labelCol="moved", regParam=0.001, maxIter=50)])
+    models = _together([lambda k=k: logistic().fit(t.where(F.col("fold") != k)) for k in range(folds)])
+    fits = [boost.Fit(3, iterations, without=k) for k in range(folds)]
+    at, trees = boost.fitted(t, cols, "moved", fits, "fold")
+    score = lambda x: F.round(x, 9).alias("score")
+    out = boost.held_out(t, cols, at, fits, trees, "fold", "__p").select(F.lit("gbt").alias("run"), "moved", score(F.col("__p")))
+    for k, m in enumerate(models):
+        p = m.transform(t.where(F.col("fold") == k)).select(F.lit("logistic").alias("run"), "moved", score(vector_to_array("probability")[1]))
+        out = out.unionByName(p)
     return auroc(out, ["run"], "score", "moved")
 
 
