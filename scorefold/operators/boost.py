@@ -57,9 +57,41 @@ def _codes(pdf: pd.DataFrame, features: Sequence[str], at: Sequence[np.ndarray])
     return x
 
 
+def _packs(at: Sequence[np.ndarray]) -> list[list[int]]:
+    """Features whose joint codes fit into the bins of one, so that one count serves them all: features of few bins first."""
+    out, room = [], 0
+    for j in sorted(range(len(at)), key=lambda j: len(at[j])):
+        bins = len(at[j]) + 1
+        if bins > room:
+            out.append([])
+            room = BINS
+        out[-1].append(j)
+        room //= bins
+    return out
+
+
+def _packed(x: np.ndarray, at: Sequence[np.ndarray], packs: Sequence[Sequence[int]]) -> np.ndarray:
+    z = np.zeros((len(packs), x.shape[1]), np.uint8)
+    for g, pack in enumerate(packs):
+        for j in pack:
+            z[g] = z[g] * (len(at[j]) + 1) + x[j]
+    return z
+
+
+def _unpacked(sums: np.ndarray, at: Sequence[np.ndarray], packs: Sequence[Sequence[int]]) -> np.ndarray:
+    """Sums per feature and bin out of sums per joint code."""
+    out = np.zeros((*sums.shape[:2], len(at), BINS, 2))
+    for g, pack in enumerate(packs):
+        bins = [len(at[j]) + 1 for j in pack]
+        joint = sums[:, :, g, : int(np.prod(bins))].reshape(*sums.shape[:2], *bins, 2)
+        for i, j in enumerate(pack):
+            out[:, :, j, : bins[i]] = joint.sum(tuple(2 + o for o in range(len(pack)) if o != i))
+    return out
+
+
 def _leaf(x: np.ndarray, tree: Tree, levels: int) -> np.ndarray:
     """Number of each row's node within the level below ``levels`` levels."""
-    node, rows = np.zeros(x.shape[1], np.int32), np.arange(x.shape[1])
+    node, rows = np.zeros(x.shape[1], np.intp), np.arange(x.shape[1])
     for level in range(levels):
         i = node + (1 << level) - 1
         node = 2 * node + (x[tree[0][i], rows] > tree[1][i])
@@ -80,21 +112,22 @@ def _target(y: np.ndarray, score: np.ndarray, loss: str, nth: int) -> np.ndarray
 
 
 def _sums(chunks: Iterator, fits: Sequence[Fit], trees: Sequence[Tree | None], level: int, nth: int) -> Iterator[np.ndarray]:
-    """(fit, node, feature, bin, weight and weighted target) of a part's rows, for the fits that have this level."""
+    """(fit, node, joint code of packed features, weight and weighted target) of a part's rows, for the fits that have this level. Weights of whole trees
+    are those of the first round and left out later."""
     out = None
-    for x, y, w, fold, score in chunks:
+    for x, z, y, w, fold, score in chunks:
         if out is None:
-            out = np.zeros((len(fits), 1 << level, len(x), BINS, 2))
+            out = np.zeros((len(fits), 1 << level, len(z), BINS, 2))
         for k, (fit, tree) in enumerate(zip(fits, trees)):
             if tree is None or fit.depth <= level:
                 continue
             wk = w if fit.without is None else w * (fold != fit.without)
             wt = wk * _target(y, score[k], fit.loss, nth)
             base = _leaf(x, tree, level) * BINS
-            for j in range(len(x)):
-                i = base + x[j]
-                for s, v in ((0, wk), (1, wt)):
-                    out[k, :, j, :, s] += np.bincount(i, v, BINS << level).reshape(-1, BINS)
+            for g in range(len(z)):
+                i = base + z[g]
+                for s, v in ((0, wk), (1, wt)) if nth == 0 or level else ((1, wt),):
+                    out[k, :, g, :, s] += np.bincount(i, v, BINS << level).reshape(-1, BINS)
     if out is not None:
         yield out
 
@@ -120,8 +153,8 @@ def _grow(tree: Tree, sums: np.ndarray, level: int, last: bool) -> None:
             leaf[2 * node : 2 * node + 2] = (mean(left[node, f, c]), mean(right[node, f, c])) if split else mean((n, s))
 
 
-def _chunks(df: DataFrame, features: Sequence[str], at: Sequence[np.ndarray], label: str, fold: str | None) -> RDD:
-    """Arrays of codes, labels, weights and folds. Equal rows are one row with their number as its weight."""
+def _chunks(df: DataFrame, features: Sequence[str], at: Sequence[np.ndarray], packs: Sequence[Sequence[int]], label: str, fold: str | None) -> RDD:
+    """Arrays of codes, joint codes, labels, weights and folds. Equal rows are one row with their number as its weight."""
 
     def coded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -136,7 +169,8 @@ def _chunks(df: DataFrame, features: Sequence[str], at: Sequence[np.ndarray], la
                 yield pd.DataFrame({"x": [x.tobytes()], "y": [c["y"].to_numpy(float).tobytes()], "w": [c["n"].to_numpy(float).tobytes()], "fold": [c["fold"].to_numpy(np.int16).tobytes()]})
 
     def arrays(r) -> tuple:
-        return np.frombuffer(r["x"], np.uint8).reshape(len(features), -1), np.frombuffer(r["y"]), np.frombuffer(r["w"]), np.frombuffer(r["fold"], np.int16)
+        x = np.frombuffer(r["x"], np.uint8).reshape(len(features), -1)
+        return x, _packed(x, at, packs), np.frombuffer(r["y"]), np.frombuffer(r["w"]), np.frombuffer(r["fold"], np.int16)
 
     d = df.select(*features, F.col(label).cast("double").alias("__y"), (F.lit(0) if fold is None else F.col(fold)).cast("int").alias("__fold"))
     rows = d.where(F.col("__y").isNotNull()).mapInPandas(coded, "x binary, y double, fold int").groupBy("x", "y", "fold").agg(F.count(F.lit(1)).alias("n"))
@@ -147,34 +181,39 @@ def _chunks(df: DataFrame, features: Sequence[str], at: Sequence[np.ndarray], la
 def fitted(df: DataFrame, features: Sequence[str], label: str, fits: Sequence[Fit], fold: str | None = None) -> tuple[list[np.ndarray], list[list[Tree]]]:
     """(cuts, trees per fit) of all fits on the same rows; a fit leaves out the rows of its fold."""
     at = cuts(df, features)
-    rows = _chunks(df, features, at, label, fold).persist(StorageLevel.MEMORY_AND_DISK)
+    packs = _packs(at)
+    rows = _chunks(df, features, at, packs, label, fold).persist(StorageLevel.MEMORY_AND_DISK)
     done: list[list[Tree | None]] = []
 
     def scored(upto: int):
         made = list(done[:upto])
 
         def one(c):
-            score = np.zeros((len(fits), len(c[1])))
+            score = np.zeros((len(fits), len(c[2])))
             for n, trees in enumerate(made):
                 _add(c[0], score, fits, trees, n)
-            return *c[:4], score
+            return *c[:5], score
 
         return rows.map(one)
 
     def stepped(state: RDD, trees: list[Tree | None], n: int) -> RDD:
         def one(c):
-            score = c[4].copy()
+            score = c[5].copy()
             _add(c[0], score, fits, trees, n)
-            return *c[:4], score
+            return *c[:5], score
 
         return state.map(one)
 
-    state, old = scored(0).persist(StorageLevel.MEMORY_AND_DISK), None
+    state, old, weights = scored(0).persist(StorageLevel.MEMORY_AND_DISK), None, None
     for n in range(max(f.rounds for f in fits)):
         trees = [(np.zeros((1 << f.depth) - 1, np.int32), np.full((1 << f.depth) - 1, ALL_LEFT, np.uint8), np.zeros(1 << f.depth)) if n < f.rounds else None for f in fits]
         for level in range(max(f.depth for f, t in zip(fits, trees) if t is not None)):
             sums = state.mapPartitions(lambda it, t=trees, v=level, n=n: _sums(it, fits, t, v, n)).collect()  # a part's sums do not grow with its rows
             total = sum(sums[1:], sums[0])
+            if level == 0:
+                weights = total[..., 0].copy() if n == 0 else weights
+                total[..., 0] = weights
+            total = _unpacked(total, at, packs)
             for k, (f, t) in enumerate(zip(fits, trees)):
                 if t is not None and f.depth > level:
                     _grow(t, total[k], level, level == f.depth - 1)

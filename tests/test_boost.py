@@ -73,3 +73,16 @@ def test_a_feature_of_many_values_has_at_most_32_bins(spark):
     d = spark.range(5000).select((F.col("id") % 997).cast("double").alias("a"), (F.col("id") % 32).cast("double").alias("b"), F.lit(1.0).alias("c"))
     a, b, c = boost.cuts(d, ["a", "b", "c"])
     assert 28 <= len(a) < boost.BINS and list(b) == [float(i) for i in range(31)] and len(c) == 0
+
+
+def test_packed_features_have_the_sums_of_each():
+    rng = np.random.default_rng(2)
+    at = [np.arange(n - 1.0) for n in (2, 32, 2, 13, 2, 2, 5, 2, 1)]
+    x = np.array([rng.integers(0, len(a) + 1, 500) for a in at], np.uint8)
+    packs = boost._packs(at)
+    assert sorted(j for p in packs for j in p) == list(range(len(at))) and len(packs) < 5
+    fit, w, y = boost.Fit(1, 1, loss="absolute"), rng.integers(1, 4, 500).astype(float), rng.random(500)
+    (got,) = boost._sums([(x, boost._packed(x, at, packs), y, w, np.zeros(500), np.zeros((1, 500)))], [fit], [(np.zeros(1, int), np.zeros(1), np.zeros(2))], 0, 0)
+    got = boost._unpacked(got, at, packs)[0, 0]
+    for j in range(len(at)):
+        assert np.allclose(got[j, :, 0], np.bincount(x[j], w, boost.BINS)) and np.allclose(got[j, :, 1], np.bincount(x[j], w * y, boost.BINS))
