@@ -58,3 +58,41 @@ def test_pairs_are_numbers_and_rows_beyond_the_bound_are_dropped_when_measured(s
     leaves = N.within(index, it, BY)
     assert leaves.columns == ["__item", "__scope", "__node"]
     assert N._measured(index, it, leaves, BY, ["analogue_id"], None).agg(F.max("distance")).first()[0] <= 30.0 + 1e-6
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows equal in all features, equal distances, incidents with many rows, items of every scope, one without a scope's rows, one before all rows."""
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    pool = [(f"r{i * 7919 % 3001:05d}", i % 13, day(i * 5 % 31), "ab"[i % 5 == 0], float(i % 3), float(i * i % 7), 1.0) for i in range(3000)]
+    items = [(f"i{i}", i % 17, day(i % 33), "abc"[i % 40 // 19], float(i % 4) / 2, float(i % 5) if i % 4 else None) for i in range(200)]
+    schema = "analogue_id string, incident_id bigint, report_date date, scope string, z_a double, z_b double, today double"
+    return spark.createDataFrame(items, "item_id string, incident_id bigint, __cut date, __scope string, z_a double, z_b double"), spark.createDataFrame(pool, schema), items, pool
+
+
+@pytest.mark.parametrize("cap", [None, 2])
+@pytest.mark.parametrize("sizes", [(64, 40, 50), (500, 10_000, 1 << 18)])
+def test_leaves_in_pieces_and_few_distances_at_once_change_nothing(odd, cap, sizes, monkeypatch):
+    for name, n in zip(("LEAF", "FULL_LEAF", "CELLS"), sizes):
+        monkeypatch.setattr(N, name, n)
+    it, p, items, pool = odd
+    got = {}
+    for r in N.nearest(it, N.build(p, F.col("scope"), BY, ["today"]), BY, 4, cap).orderBy("item_id", "draw").collect():
+        got.setdefault(r.item_id, []).append((r.analogue_id, r.analogue_date, r.analogue_incident, r.distance, r.draw))
+    for name, inc, cut, scope, a, b in items:
+        near, seen, want = sorted((2.0 * (x - a) ** 2 + (0.0 if b is None else (y - b) ** 2), r, d, j) for r, j, d, s, x, y, _ in pool if s == scope and j != inc and d < cut), {}, []
+        for d, r, day, j in near:
+            seen[j] = seen.get(j, 0) + 1
+            if cap is None or seen[j] <= cap:
+                want.append((r, day, j, d, len(want) + 1))
+        assert got.get(name, []) == want[:4]
+
+
+@pytest.mark.parametrize("cap", [None, 2])
+def test_at_most_k_rows_of_an_item_leave_a_leaf(odd, cap):
+    it, p, items, pool = odd
+    index = N.build(p, F.col("scope"), BY, ["today"])
+    it = it.withColumns({"__item": F.monotonically_increasing_id(), "__tau": F.lit(None).cast("double")})
+    leaves = N.within(index, it, BY)
+    out = N._measured(index, it, leaves, BY, [], cap, 4)
+    assert out.count() <= 4 * leaves.count() < N._measured(index, it, leaves, BY, [], cap).count()
