@@ -15,10 +15,11 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorefold.functions.arrays import lin_features
+from scorefold.functions.arrays import lin_features, tree_features
+from scorefold.functions.columns import PCT_EDGES, band
 from scorefold.operators import boost
 from scorefold.operators.calibration import group_folds
-from scorefold.operators.retrieve import MOVE, outcome_ratio
+from scorefold.operators.retrieve import DOR_EDGES, MOVE, PHASE_SHRINK, outcome_ratio
 from scorefold.operators.scores import auroc, average_precision
 from scorefold.session import checkpointed
 
@@ -145,19 +146,45 @@ def with_move_probability(df: DataFrame, models: tuple) -> DataFrame:
 
 
 def movement_cv(pool: DataFrame, folds: int = 5, seed: int = 1, iterations: int = 300) -> DataFrame:
-    """Out-of-fold AUC of the logistic and boosted move models, folds by incident. The boosted fits of all folds share their jobs."""
-    cols = list(lin_features())
-    t = checkpointed(group_folds(movement_rows(pool), "incident_id", folds, seed).select("fold", "moved", *cols))
-    logistic = lambda: Pipeline(stages=[_assembled(cols), LogisticRegression(labelCol="moved", regParam=0.001, maxIter=50)])
-    models = _together([lambda k=k: logistic().fit(t.where(F.col("fold") != k)) for k in range(folds)])
-    fits = [boost.Fit(3, iterations, without=k) for k in range(folds)]
-    at, trees = boost.fitted(t, cols, "moved", fits, "fold")
+    """Out-of-fold AUC of the move models (logistic, boosted, and the phase table) on all rows, and of the direction model on the rows that moved, with the
+    share of them whose direction it has right; folds by incident, and a fold's direction model sees the moved rows of the others only.
+
+    Logistic models have a unit penalty on the standardised weights, summed over the rows, and run until they converge. The boosted fits of all folds share
+    their jobs."""
+    lin, tree = list(lin_features()), list(tree_features())
+    rows = movement_rows(pool).withColumns({**tree_features(), "phase": F.concat_ws("|", band("day_of_run", DOR_EDGES), band("pct", PCT_EDGES))})
+    t = checkpointed(_filled(group_folds(rows, "incident_id", folds, seed).select("fold", "moved", "up", "phase", *lin, *tree), tree))
     score = lambda x: F.round(x, 9).alias("score")
-    out = boost.held_out(t, cols, at, fits, trees, "fold", "__p").select(F.lit("gbt").alias("run"), "moved", score(F.col("__p")))
-    for k, m in enumerate(models):
-        p = m.transform(t.where(F.col("fold") == k)).select(F.lit("logistic").alias("run"), "moved", score(vector_to_array("probability")[1]))
-        out = out.unionByName(p)
-    return auroc(out, ["run"], "score", "moved")
+    out = phase_scores(t, folds).select(F.lit("phase").alias("run"), F.col("moved").alias("hit"), score(F.col("p_move")))
+
+    trained = {k: t.where(F.col("fold") != k) for k in range(folds)}
+    n = t.groupBy("fold").agg(F.count(F.lit(1)).alias("moved"), F.sum("moved").alias("up")).collect()  # a row per fold
+    rest = lambda k, y: sum(r[y] for r in n if r["fold"] != k)
+    logistic = lambda y, k: Pipeline(stages=[_assembled(lin), LogisticRegression(labelCol=y, regParam=1.0 / max(rest(k, y), 1), maxIter=2000)])
+    seen = {"moved": lambda d: d, "up": lambda d: d.where(F.col("moved") == 1)}
+    both = [(y, k) for y in seen for k in range(folds)]
+    models = _together([lambda y=y, k=k: logistic(y, k).fit(seen[y](trained[k])) for y, k in both])
+    for (y, k), m in zip(both, models):
+        p = m.transform(seen[y](t.where(F.col("fold") == k)))
+        out = out.unionByName(p.select(F.lit({"moved": "logistic", "up": "direction"}[y]).alias("run"), F.col(y).alias("hit"), score(vector_to_array("probability")[1])))
+
+    fits = [boost.Fit(3, iterations, 0.05, without=k) for k in range(folds)]
+    at, trees = boost.fitted(t, tree, "moved", fits, "fold")
+    p = boost.held_out(t.select("fold", "moved", *tree), tree, at, fits, trees, "fold", "__p")
+    out = checkpointed(out.unionByName(p.select(F.lit("gbt").alias("run"), F.col("moved").alias("hit"), score(F.col("__p")))))
+    right = out.where(F.col("run") == "direction").groupBy("run").agg(F.avg(((F.col("score") > 0.5).cast("int") == F.col("hit")).cast("double")).alias("accuracy"))
+    return auroc(out, ["run"], "score", "hit").join(right, "run", "left")
+
+
+def phase_scores(rows: DataFrame, folds: int) -> DataFrame:
+    """rows (fold, moved, phase) with p_move: the move rate of their phase in the other folds, shrunken toward the rate of all their rows."""
+    cells = rows.groupBy("phase", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("moved").alias("m"))  # day bands x containment bands x folds
+    out = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("without")
+    rest = cells.select("*", out).where(F.col("without") != F.col("fold"))
+    rate = rest.groupBy("without").agg((F.sum("m") / F.sum("n")).alias("__g")).withColumnRenamed("without", "fold")
+    mine = rest.groupBy("without", "phase").agg(F.sum("n").alias("__n"), F.sum("m").alias("__m")).withColumnRenamed("without", "fold")
+    p = (F.coalesce("__m", F.lit(0)) + PHASE_SHRINK * F.col("__g")) / (F.coalesce("__n", F.lit(0)) + PHASE_SHRINK)
+    return rows.join(F.broadcast(mine), ["fold", "phase"], "left").join(F.broadcast(rate), "fold").withColumn("p_move", p)
 
 
 def predictions_as_log(preds: DataFrame, task: str, arm: str, item: Column, prediction: Column) -> DataFrame:
