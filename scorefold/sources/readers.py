@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,7 @@ from scorefold.functions.columns import nan_to_null
 from scorefold.operators.ordered import positions
 from scorefold.session import checkpointed
 
+PIECE = 4 << 20  # bytes of a file that are read at once
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy/MM/dd")
 
 
@@ -89,12 +92,37 @@ def read_qa_pool(spark: SparkSession, glob: str, schema: T.StructType) -> DataFr
 
 # --- file inventories -------------------------------------------------------------------------------------------------
 def file_inventory(spark: SparkSession, glob: str) -> DataFrame:
-    """Name, size, modification time, sha256 and the sha256 with CRLF line ends of every file (logs are small files)."""
+    """Name, size, modification time, sha256 and the sha256 with CRLF line ends of every file that is not empty (Spark's readers pass over empty ones).
+
+    A file's bytes form one chain, so one task reads them all. Local files are read as a stream of `PIECE` bytes, so neither a row nor a task holds a file,
+    whatever its size. Files of a store that only Spark reads are rows with their contents, which end at 2 GB each."""
     b = spark.read.format("binaryFile").load(glob)
-    crlf = F.regexp_replace(F.regexp_replace(F.decode("content", "ISO-8859-1"), "\r\n", "\n"), "\n", "\r\n")
-    return b.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"),
-        F.sha2("content", 256).alias("sha256"), F.sha2(F.encode(crlf, "ISO-8859-1"), 256).alias("sha256_crlf"))
+    listed = b.select("path", "length", "modificationTime")  # without contents
+    if listed.where(~F.col("path").startswith("file:")).limit(1).count():
+        crlf = F.regexp_replace(F.regexp_replace(F.decode("content", "ISO-8859-1"), "\r\n", "\n"), "\n", "\r\n")
+        h = b.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"), F.sha2(F.encode(crlf, "ISO-8859-1"), 256).alias("sha256_crlf"))
+    else:
+        h = listed.mapInPandas(_hashed, "path string, length bigint, modificationTime timestamp, sha256 string, sha256_crlf string")
+    return h.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), "sha256", "sha256_crlf")
+
+
+def _hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        both = [_digests("/" + x.removeprefix("file:").lstrip("/")) for x in p["path"]]
+        yield p.assign(sha256=[a for a, _ in both], sha256_crlf=[b for _, b in both])
+
+
+def _digests(path: str) -> tuple[str, str]:
+    """SHA-256 of a file as it is and with CRLF line ends; a CR at the end of a piece waits for what follows it."""
+    plain, crlf, held = hashlib.sha256(), hashlib.sha256(), b""
+    with open(path, "rb") as f:
+        while piece := f.read(PIECE):
+            plain.update(piece)
+            piece = held + piece
+            held = b"\r" if piece.endswith(b"\r") else b""
+            crlf.update(piece[: len(piece) - len(held)].replace(b"\r\n", b"\n").replace(b"\n", b"\r\n"))
+    crlf.update(held)
+    return plain.hexdigest(), crlf.hexdigest()
 
 
 def line_inventory(spark: SparkSession, glob: str, served: str = "model", fan: int = 4096, name: Column | None = None) -> DataFrame:
