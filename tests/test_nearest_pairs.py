@@ -96,3 +96,15 @@ def test_at_most_k_rows_of_an_item_leave_a_leaf(odd, cap):
     leaves = N.within(index, it, BY)
     out = N._measured(index, it, leaves, BY, [], cap, 4)
     assert out.count() <= 4 * leaves.count() < N._measured(index, it, leaves, BY, [], cap).count()
+
+
+def test_draws_bring_the_bands_of_the_pool_along(spark):
+    """The pool is not joined again to learn the band of a drawn row."""
+    from scorefold.operators import retrieve as R
+    from scorefold.plans.retrieve import sides
+
+    it, p = sides(spark, "/root/testdata/sf0.001")
+    d = R.retrieve_nearest(it, p, R.fit_scales(p, "2024-01-20"), None, k=2, payload=["band"])
+    assert {"band", "analogue_incident", "analogue_date"} <= set(d.columns) and "today" not in d.columns
+    got, known = d.select("analogue_id", "band").collect(), {r["analogue_id"]: r["band"] for r in p.select("analogue_id", "band").collect()}
+    assert got and all(known[r["analogue_id"]] == r["band"] for r in got)
